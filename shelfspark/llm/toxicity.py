@@ -1,7 +1,10 @@
-"""Toxicity: a counterfactual-regularised linear classifier over the words a text has.
+"""Toxicity: a counterfactual-regularised linear classifier over the words a text has and how they begin.
 
-Its words are those of the learning rows that tell the classes apart best, by chi-square, and a fixed list of
-identity terms. Each learning row is paired with a counterfactual: its identity terms swapped for others of their
+A text's marks are its distinct words and, for insults that come with many endings, the first four, five and six
+letters of them. A word counts 1; a beginning counts by the share of the text's distinct words that have it, as long
+texts have any beginning by chance. The fit uses the marks of the learning rows that tell the classes apart best, by
+chi-square, and a fixed list of identity terms. Of learning rows that are near copies, told by the least hash of
+their longer words, one is used, lest the odd words of a copied text pass for insults. Each learning row is paired with a counterfactual: its identity terms swapped for others of their
 group or, if it has none, one inserted. The fit minimises the log loss plus a ridge plus a penalty on the squared
 change of the logit between a row and its counterfactual, so naming a group doesn't by itself move a score.
 
@@ -12,6 +15,7 @@ ignored. Texts are read whole.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -21,16 +25,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
+from ..plans.cut import cut
 from . import labelled
 from .quality import sigmoid
 
 WORD = re.compile(r"[^\W_]+")
-MAX_WORDS, LEAST_ROWS = 512, 5
+MAX_MARKS, LEAST_ROWS, LEAST_SHARE = 300, 5, 0.02
 RIDGE, COUNTERFACTUAL = 1.0, 50.0
+SWEEPS = 3
 THRESHOLD = 0.5
 LONGEST = 40
+BEGINNINGS = (4, 5, 6)
+#: Marks counted in a task before it hands over what it has, and words whose marks a worker remembers.
+HELD = 300_000
 #: Identity terms by group, in the languages of the corpus: fixed values.
 IDENTITY = [
     "women men woman man girls boys female male mujeres hombres mujer hombre frauen männer frau mann femmes hommes femme homme".split(),
@@ -47,6 +56,36 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def share(n: int, words: int) -> float:
+    """What a beginning of ``n`` of a text's ``words`` distinct words counts: nothing if one word has it, 1 from about one in 100."""
+    return min(1.0, 100 * (n - 1) / (words + 50))
+
+
+def marks_of(words: set[str]) -> dict[str, float]:
+    """Words and, as ``^begin``, their beginnings, with what they count."""
+    starts = Counter(w[:k] for w in words for k in BEGINNINGS if len(w) >= k)
+    return dict.fromkeys((w for w in words if len(w) <= LONGEST), 1.0) | {f"^{b}": share(n, len(words)) for b, n in starts.items() if n > 1}
+
+
+class Known(dict):
+    """Of a word, its own weight and the known beginnings it has; None if it has no mark of the model."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+        self.begins = {m[1:] for m in weights if m[0] == "^"}
+
+    def __missing__(self, word: str) -> tuple[float, tuple[str, ...]] | None:
+        if len(self) >= HELD:
+            self.clear()
+        own = self.weights.get(word, 0.0)
+        begins = tuple(word[:k] for k in BEGINNINGS if len(word) >= k and word[:k] in self.begins)
+        found = (own, begins) if own or begins else None
+        if len(word) <= LONGEST:
+            self[word] = found
+        return found
+
+
 def counterfactual(words: set[str], doc_id: object) -> set[str]:
     """``words`` with each identity term swapped for the next of its group; without any, with one inserted."""
     named = words & GROUP.keys()
@@ -66,17 +105,27 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def score_text(self, text: str | None) -> float:
-        known = self.weights.keys() & words_of(text)
-        return float(sigmoid(np.float64(self.bias + sum(self.weights[w] for w in sorted(known)))))
+    def known(self) -> Known:
+        return Known(self.weights)
+
+    def score_text(self, text: str | None, known: Known | None = None) -> float:
+        known = self.known() if known is None else known
+        starts: Counter = Counter()
+        own = []
+        words = words_of(text)
+        for hit in filter(None, map(known.__getitem__, words)):
+            own.append(hit[0])
+            starts.update(hit[1])
+        own += [self.weights[f"^{b}"] * share(n, len(words)) for b, n in starts.items()]
+        return float(sigmoid(np.float64(self.bias + math.fsum(own))))
 
     def scorer(self):
         """A UDF from texts to scores, for use on a column."""
-        model = self
+        model, known = self, self.known()
 
         @F.arrow_udf(DoubleType())
         def score(texts: pa.Array) -> pa.Array:
-            return pa.array([model.score_text(t.as_py()) for t in texts], pa.float64())
+            return pa.array([model.score_text(t.as_py(), known) for t in texts], pa.float64())
 
         return score
 
@@ -84,67 +133,95 @@ class Model:
 def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> np.ndarray:
     """Weights and, last, bias of the penalised logistic fit, by Newton's method; both classes weigh alike.
 
-    change: of each row, its counterfactual less itself. The penalty is quadratic in the weights, so its part of
+    The ridge of a word is then divided by its weight and the fit repeated, so words that only go with others that
+    explain the label lose theirs. change: of each row, its counterfactual less itself. The penalty is quadratic in the weights, so its part of
     the second derivative is constant.
     """
     a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     fixed = np.zeros((a.shape[1], a.shape[1]))
-    fixed[:-1, :-1] = ridge * np.eye(x.shape[1]) + penalty * (change.T @ change)
+    fixed[:-1, :-1] = penalty * (change.T @ change)
     fixed[-1, -1] = 1e-6
     w = np.zeros(a.shape[1])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(25):
-        p = sigmoid(a @ w)
-        step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + fixed, a.T @ (weight * (p - y)) + fixed @ w)
-        norm = np.abs(step).max()
-        w = w - step * min(1.0, 2.0 / max(norm, 1e-12))  # no step of more than 2, against overshooting
-        if norm < 1e-6:
-            break
+    for sweep in range(SWEEPS):
+        shrink = ridge if not sweep else ridge / (np.abs(w[:-1]) + 0.1)
+        held = fixed.copy()
+        held[range(len(w) - 1), range(len(w) - 1)] += shrink
+        for _ in range(25):
+            p = sigmoid(a @ w)
+            step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + held, a.T @ (weight * (p - y)) + held @ w)
+            norm = np.abs(step).max()
+            w = w - step * min(1.0, 2.0 / max(norm, 1e-12))  # no step of more than 2, against overshooting
+            if norm < 1e-4:
+                break
     return w
 
 
-def vocabulary(rows: DataFrame, n1: int, n: int, max_words: int) -> list[str]:
-    """The words of most chi-square among learning rows ``rows`` (text, y), at most ``max_words``."""
+def vocabulary(rows: DataFrame, n1: int, n: int, max_marks: int) -> list[str]:
+    """The marks of most chi-square among learning rows ``rows`` (text, y), at most ``max_marks``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: tuple[Counter, Counter] = Counter(), Counter()
+
+        def handed() -> pa.RecordBatch:
+            every = list(met[0].keys() | met[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([m[w] for w in every], pa.float64()) for m in met)], names=["word", "n0", "n1"])
+            for m in met:
+                m.clear()
+            return out
+
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                met[y].update(w for w in words_of(text.as_py()) if len(w) <= LONGEST)
-        every = list(met[0].keys() | met[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([m[w] for w in every], pa.int64()) for m in met)], names=["word", "n0", "n1"])
+                for mark, value in marks_of(words_of(text.as_py())).items():
+                    met[y][mark] += value
+                if len(met[0]) + len(met[1]) > HELD:
+                    yield handed()
+        yield handed()
 
-    total = rows.select("text", "y").mapInArrow(counted, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    total = rows.select("text", "y").mapInArrow(counted, "word string, n0 double, n1 double").groupBy("word").agg(F.round(F.sum("n0"), 6).alias("n0"), F.round(F.sum("n1"), 6).alias("n1"))
     a, b, n0 = F.col("n1").cast("double"), F.col("n0").cast("double"), n - n1
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / ((a + b) * (n - a - b + F.lit(1e-9)) * n1 * n0)
-    best = total.where(F.col("n0") + F.col("n1") >= LEAST_ROWS).withColumn("chi", chi).orderBy(F.col("chi").desc(), "word").limit(max_words)
+    best = total.where(F.col("n0") + F.col("n1") >= max(LEAST_ROWS, LEAST_SHARE * n1)).withColumn("chi", chi).orderBy(F.col("chi").desc(), "word").limit(max_marks)
     return [r.word for r in best.collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
+def copy_mark(texts: pa.Array) -> pa.Array:
+    """Of each text, the least hash of its words of eight letters or more; without any, the hash of the text."""
+    out = []
+    for t in texts:
+        text = t.as_py() or ""
+        out.append(min((zlib.crc32(w.encode()) for w in words_of(text) if len(w) >= 8), default=zlib.crc32(text.encode())))
+    return pa.array(out, pa.int64())
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS, max_marks: int = MAX_MARKS) -> Model:
     """Learns from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text), at most ``max_rows`` rows, half of each class."""
     rows = labelled.learning_rows(docs, labels, "toxic", max_rows, balanced=True).withColumn("y", F.col("y").cast("int"))
+    rows = cut(rows.withColumn("copy", F.arrow_udf(copy_mark, LongType())("text")).dropDuplicates(["copy", "y"]))
     share = rows.agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
     n, n1 = share.n, share.n1 or 0
     if n1 in (0, n):
         rate = (n1 + 1) / (n + 2)
         return Model({}, float(np.log(rate / (1 - rate))) if n else -40.0)
-    names = sorted({*vocabulary(rows, n1, n, max_words), *GROUP})
+    names = sorted({*vocabulary(rows, n1, n, max_marks), *GROUP})
     place = {w: i for i, w in enumerate(names)}
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.float64())]))
 
-    @F.arrow_udf("struct<own:array<int>,other:array<int>>")
+    @F.arrow_udf("struct<own:array<struct<at:int,n:double>>,other:array<struct<at:int,n:double>>>")
     def features(ids: pa.Array, texts: pa.Array) -> pa.Array:
         out = []
         for i, t in zip(ids.to_pylist(), texts, strict=True):
-            own = words_of(t.as_py())
-            out.append({"own": sorted(place[w] for w in own & place.keys()), "other": sorted(place[w] for w in counterfactual(own, i) & place.keys())})
-        return pa.array(out, pa.struct([("own", pa.list_(pa.int32())), ("other", pa.list_(pa.int32()))]))
+            words = words_of(t.as_py())
+            both = (words, counterfactual(words, i))
+            out.append(dict(zip(("own", "other"), ([{"at": place[m], "n": n} for m, n in marks_of(x).items() if m in place] for x in both), strict=True)))
+        return pa.array(out, pa.struct([("own", kind), ("other", kind)]))
 
     got = sorted((str(r.doc_id), r.y, r.x.own, r.x.other) for r in rows.select("doc_id", "y", features("doc_id", "text").alias("x")).collect())
-    x, other = (np.zeros((len(got), len(names)), dtype=np.float32) for _ in range(2))
+    x, other = (np.zeros((len(got), len(names))) for _ in range(2))
     for k, (_, _, own, swapped) in enumerate(got):
-        x[k, own] = 1
-        other[k, swapped] = 1
+        for into, marks in ((x, own), (other, swapped)):
+            for m in marks:
+                into[k, m.at] = m.n
     w = solve(x, np.array([g[1] for g in got], dtype=np.float64), other - x)
     return Model({n: float(v) for n, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-9}, float(w[-1]))
 
