@@ -18,48 +18,94 @@ Defined results: null and empty texts are one end token; repeated rows are packe
 from __future__ import annotations
 
 import bisect
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ..plans.cut import cut, ranked
 
 CAPACITY = 2048
 #: Characters that str.split() takes for white space and the tokenizer's \s does not: fixed values.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Distinct words whose ids a worker remembers before it forgets all and begins again.
-REMEMBERED = 200_000
+#: Words, and pieces between white space, that a worker remembers before it forgets all and begins again.
+REMEMBERED = 400_000
+LONGEST = 48
+#: Letters that the normaliser only lower-cases and that a split never parts, then marks that always stand apart.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(rf"([{LETTERS}]+)([.,!?:;]*)")
 
 
 class WordIds(dict):
-    """Ids of a word, as little-endian 32-bit bytes.
+    """Ids of a piece between white space, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and neither its normaliser nor its splits look across it, so a text's ids are
-    those of its words in turn.
+    The tokenizer drops white space, and neither its normaliser nor its splits look across it, so a text's ids are
+    those of its pieces in turn. A piece of plain letters and then plain marks is split there by any rule it has, so
+    its ids are those of the two; any other piece, and all pieces if the file has other rules, go to it whole.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = tokenizer
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.tokenizer = Tokenizer.from_file(path)
+        kinds = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])], [x["type"] for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_piece = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and rules["normalizer"]["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+        self.words: dict[str, bytes] = {}
+        if self.by_piece:
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256) if PLAIN.fullmatch(chr(i))}
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, letters: str) -> bytes:
+        found = self.words.get(letters)
+        if found is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            ids = [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.letters))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            self.words[letters] = found
+        return found
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.encoded(piece)
         if len(self) >= REMEMBERED:
             self.clear()
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = found
+        parts = PLAIN.fullmatch(piece)
+        if not parts:
+            found = self.encoded(piece)
+        else:
+            found = self.word(parts[1].lower())
+            if parts[2]:
+                found += self[parts[2]]
+        self[piece] = found
         return found
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not self.by_piece or any(c in text for c in ODD_SPACE):
+            return self.encoded(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(tokenizer: str) -> WordIds:
+    """One for a worker, whatever tasks it runs."""
+    import public_tokenizers
+
+    return WordIds(public_tokenizers.path(tokenizer))
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces; ``tokenizer``: a name of public_tokenizers."""
     rows = docs.select("doc_id", "text")
@@ -68,10 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_file(public_tokenizers.path(tokenizer)))
+        words = word_ids(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
