@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray]) -> np.ndarray | None:
-    """The sum over all partitions of the int64 array that ``work`` makes of a partition's ``column``; None without rows.
+def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray], plus: Callable = np.add) -> np.ndarray | None:
+    """The sum, by ``plus``, over all partitions of the int64 array that ``work`` makes of a partition's ``column``; None without rows.
 
     Each partition gives one array; ``FAN_IN`` of them are added in a task, and so on, so no task and not the driver
     meets more than that many.
@@ -54,7 +55,7 @@ def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.n
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([got.tobytes()], pa.binary())], names=["part", "data"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(d, dtype=np.int64) for d in group["data"])
+        total = reduce(plus, (np.frombuffer(d, dtype=np.int64) for d in group["data"]))
         return pd.DataFrame({"part": [int(group["part"].iloc[0])], "data": [total.tobytes()]})
 
     out = rows.mapInArrow(one, "part long, data binary")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, packing, quality, sharding, toxicity, url_filter
+from . import html_text, jaccard_join, packing, quality, sharding, toxicity, url_filter
 
 #: (action, host, path): fixed values.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -38,13 +38,17 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op9_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "action string, host string, path string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_word_vectors, op4_line_blocks, op5_hilbert_shards, op6_counterfactual, op7_best_fit, op9_redirect_rules)}
+    return {f.__name__: f for f in (op1_word_vectors, op4_line_blocks, op5_hilbert_shards, op6_counterfactual, op7_best_fit, op8_signature_trees, op9_redirect_rules)}
 
 
 #: Host, path and node of {u}, as DuckDB expressions.
@@ -92,5 +96,25 @@ from r left join matched m using (host, path) left join aliases a on a.node = r.
 """
 
 
+OP8_SQL = """
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as w
+    from documents),
+sets as (
+    select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from words),
+each as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+pairs as (
+    select a.doc_id as a, b.doc_id as b from each a join each b on a.shingle = b.shingle and a.doc_id < b.doc_id
+        and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges as (select a, b from pairs union select b, a from pairs),
+reach(node, other) as (select a, a from edges union select r.node, e.b from reach r join edges e on r.other = e.a),
+least as (select node, min(other) as component from reach group by node)
+select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(component, doc_id) as component_id from sets left join least on node = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_redirect_rules": OP9_SQL}
+    return {"op8_signature_trees": OP8_SQL, "op9_redirect_rules": OP9_SQL}
