@@ -350,7 +350,7 @@ def _traversed(contested: DataFrame, nodes: DataFrame, percent: int) -> DataFram
 
 
 class Joined(NamedTuple):
-    """members: doc_id, n_shingles, node, component_id of each row; links: verified pairs of nodes (a, b) that span the components."""
+    """members: doc_id, n_shingles, node, comp (a node) and component_id of each row; links: verified pairs of nodes (a, b) that span the components."""
 
     members: DataFrame
     links: DataFrame
@@ -383,12 +383,29 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Joine
     second = connected_components(between).select(F.col("node").alias("comp"), F.col("component").alias("last"))
     placed = nodes.select("node", "doc_id").join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).join(second, "comp", "left")
     placed = placed.select("node", "doc_id", F.coalesce("last", "comp").alias("comp"))
-    named = placed.join(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "component_id")
+    named = placed.join(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "comp", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = members.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"), own.alias("component_id"))
+    out = members.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"), "comp", own.alias("component_id"))
     return Joined(out, links.unionAll(more))
 
 
 def components(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that links reach, of each row of ``docs``."""
     return similar(docs, percent, size).members.select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of their component, one of each; all rows without words."""
+    chosen = similar(docs, percent, size).members.where("node is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("c"))
+    chosen = cut(chosen.select(F.col("c.node").alias("_chosen"), F.col("c.doc_id").alias("_id")))
+
+    @F.arrow_udf(LongType())
+    def named(texts: pa.Array) -> pa.Array:
+        words = WordHashes()
+        found = (shingles(t.as_py(), words, size) for t in texts)
+        return pa.array([node_of(s) if len(s) else None for s in found], pa.int64())
+
+    rows = docs.withColumn("_node", named(F.col("text").cast("binary")))
+    rows = rows.join(chosen, (F.col("_node") == F.col("_chosen")) & docs.doc_id.eqNullSafe(F.col("_id")), "left")
+    rows = rows.where("_node is null or _chosen is not null").withColumn("_row", F.when(F.col("_node").isNull(), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_node", "doc_id", "_row"]).select(*(docs[c] for c in docs.columns))

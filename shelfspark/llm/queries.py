@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, jaccard_join, packing, quality, sharding, toxicity, url_filter
+from . import decontaminate, html_text, jaccard_join, multi_index, packing, quality, quotes, sharding, toxicity, url_filter
 
 #: (action, host, path): fixed values.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -21,6 +21,14 @@ def op1_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 10)
+
+
 def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -47,8 +55,24 @@ def op9_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_word_vectors, op4_line_blocks, op5_hilbert_shards, op6_counterfactual, op7_best_fit, op8_signature_trees, op9_redirect_rules)}
+    every = (
+        op1_word_vectors,
+        op2_templates,
+        op3_multi_index,
+        op4_line_blocks,
+        op5_hilbert_shards,
+        op6_counterfactual,
+        op7_best_fit,
+        op8_signature_trees,
+        op9_redirect_rules,
+        op10_quotation,
+    )
+    return {f.__name__: f for f in every}
 
 
 #: Host, path and node of {u}, as DuckDB expressions.
@@ -116,5 +140,15 @@ select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(component, doc_id)
 """
 
 
+OP3_SQL = """
+with v as (select distinct vec_id, list_transform(embedding[1:64], lambda x: coalesce(x > 0 and not isnan(x), false)) as code from embeddings where embedding is not null),
+p as (
+    select q.vec_id as query_id, v.vec_id, min(len(list_filter(range(1, 65), lambda i: coalesce(q.code[i], false) <> coalesce(v.code[i], false)))) as d
+    from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id group by all),
+r as (select query_id, vec_id, d, row_number() over (partition by query_id order by d, vec_id) as rank from p)
+select query_id, cast(rank as int) as rank, vec_id, cast(d as int) as distance from r where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_signature_trees": OP8_SQL, "op9_redirect_rules": OP9_SQL}
+    return {"op3_multi_index": OP3_SQL, "op8_signature_trees": OP8_SQL, "op9_redirect_rules": OP9_SQL}
