@@ -23,6 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
+    """From now on rows go to Python in batches of at most so many rows and about so many bytes, however long texts are."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key, str(most)).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as written to the shared checkpoint folder: lineage ends there and partitions stay as they are."""
     shared_folder(df.sparkSession)
