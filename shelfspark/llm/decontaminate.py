@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..plans.cut import cut
+from ..plans.cut import bounded_batches, cut
 from . import labelled
+from .memo import remembered
 
 WINDOW, LITERALS = 8, 4
 COVERAGE, ENOUGH = 0.5, 13
@@ -44,6 +45,8 @@ UNITS = frozenset(
     " volt volts joule joules newton newtons degree degrees celsius fahrenheit".split()
 )
 EDGE = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
+#: Letters, then marks that EDGE strips: most pieces.
+PLAIN = re.compile(r"([^\W\d_]+)[.,;:!?]*")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 PLACEHOLDERS = ("", "<num>", "<unit>", "<name>")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -51,9 +54,10 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 
 def token(piece: str) -> tuple[int, str]:
     """The kind of a piece between white space, and its lower-cased core; an empty core is no word."""
-    core = EDGE.sub("", piece)
+    plain = PLAIN.fullmatch(piece)
+    core = plain[1] if plain else EDGE.sub("", piece)
     low = core.lower()
-    if any(c.isdigit() for c in core):
+    if not plain and any(c.isdigit() for c in core):
         return NUMBER, low
     if low in UNITS or low in ("%", "$", "€", "£"):
         return UNIT, low
@@ -65,11 +69,14 @@ def token(piece: str) -> tuple[int, str]:
 class Tokens(dict):
     """Of a piece, 17 bytes: the hash of its placeholder or word, the hash of its word, and its kind; empty if it is no word."""
 
+    held = tuple(xxhash.xxh3_64_digest(p) for p in PLACEHOLDERS)
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         kind, low = token(piece)
-        found = xxhash.xxh3_64_digest(PLACEHOLDERS[kind] or low) + xxhash.xxh3_64_digest(low) + bytes([kind]) if low else b""
+        own = xxhash.xxh3_64_digest(low)
+        found = (self.held[kind] if kind else own) + own + bytes((kind,)) if low else b""
         if len(piece) <= 64:
             self[piece] = found
         return found
@@ -81,13 +88,18 @@ class Tokens(dict):
         return one, two, raw[:, 16]
 
 
+def known_tokens() -> Tokens:
+    """One for a worker, whatever tasks it runs."""
+    return remembered("known_tokens", Tokens)
+
+
 def windows(canonical: np.ndarray, raw: np.ndarray, kinds: np.ndarray, size: int) -> np.ndarray:
     """The hash of each window of ``size`` words: of its canonical words or, with few literal ones, of its raw words."""
     n = len(kinds) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    plain = literal[size:] - literal[:-size] < min(LITERALS, size)
+    few = literal[size:] - literal[:-size] < min(LITERALS, size)
 
     def rolled(h: np.ndarray) -> np.ndarray:
         out = np.full(n, np.uint64(size))
@@ -96,7 +108,10 @@ def windows(canonical: np.ndarray, raw: np.ndarray, kinds: np.ndarray, size: int
             out ^= out >> np.uint64(29)
         return out
 
-    return np.where(plain, rolled(raw) ^ np.uint64(1), rolled(canonical))
+    out = rolled(canonical)
+    if few.any():
+        out[few] = rolled(raw)[few] ^ np.uint64(1)
+    return out
 
 
 def _told(pieces: list[tuple[int, str]], at: int, size: int) -> tuple[str, list[str]]:
@@ -136,7 +151,7 @@ def _item_windows(classes: DataFrame) -> DataFrame:
     rows = classes.select("item_id", "n_items", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens = known_tokens()
         for batch in batches:
             row, out = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -163,7 +178,7 @@ def _text_windows(docs: DataFrame, sizes: list[int], table: np.ndarray) -> DataF
     schema = StructType([rows.schema["doc_id"], StructField("place", LongType()), StructField("size", LongType()), StructField("hash", LongType())]).add("window", "string").add("values", ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, marked = Tokens(), held.value.view(np.uint8)
+        tokens, marked = known_tokens(), held.value.view(np.uint8)
         for batch in batches:
             row, out = [], []
             for i, value in enumerate(batch.column(1)):
@@ -194,6 +209,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, enough:
     More columns: n_items (items of the class), place (of the item's first word among the text's words), matched and
     windows (the item's windows that were found, and all), and coverage, their quotient.
     """
+    bounded_batches(docs.sparkSession)
     known = cut(_item_windows(_classes(items)))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # eight values at most
 
