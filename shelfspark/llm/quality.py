@@ -16,6 +16,7 @@ columns are ignored. Very long texts are read whole.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -25,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..plans.cut import bounded_batches
 from . import labelled
+from .memo import remembered
 
 FORMS, BUCKETS = 32, 32
 CLASSES = 2 * FORMS * BUCKETS  # the upper half: words that repeat the word before
@@ -33,52 +36,75 @@ DIMENSIONS, NONZERO, REACH = 32, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 16, 400, 0.02, 1e-4
 PRIOR = 8
 THRESHOLD = 0.3
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Marks that may stand before or after a word: fixed values.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2022\u2026\u20ac"
+WIDE = struct.Struct("<q")
 #: Words whose vectors are gathered at once.
 BLOCK = 400_000
 
 
 class WordClasses(dict):
-    """A word's hash above its class, as one number."""
+    """Of a word, eight bytes: its hash above its class."""
+
+    def __init__(self):
+        super().__init__()
+        self.forms: dict[tuple[str, str], int] = {}
+
+    def form(self, shape: str, end: str) -> int:
+        found = self.forms.get((shape, end))
+        if found is None:
+            found = zlib.crc32(f"{shape} {end}".encode()) % FORMS
+            if len(self.forms) < REMEMBERED:
+                self.forms[shape, end] = found
+        return found
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        core = word.strip("".join({c for c in word if not c.isalnum()}))
-        end = word[len(word.rstrip("".join({c for c in word if not c.isalnum()}))) :][-3:] if core else word[-3:]
+        left = word.rstrip(MARKS)
+        core = left.lstrip(MARKS)
         if not core:
-            shape = "none"
-        elif any(c.isdigit() for c in core):
-            shape = "digits"
-        elif core.islower():
-            shape = "lower"
-        elif core.isupper() and len(core) > 1:
-            shape = "upper"
+            form = self.form("none", word[-3:])
         else:
-            shape = "capital" if core[0].isupper() and core[1:].islower() or len(core) == 1 else "mixed"
-        form = zlib.crc32(f"{shape} {end}".encode()) % FORMS
-        found = (zlib.crc32(word.encode()) << 16) | (form * BUCKETS + zlib.crc32(core.lower().encode()) % BUCKETS)
+            if core.islower():
+                shape = "lower" if core.isalpha() else "digits"
+            elif not core.isalpha():
+                shape = "digits"
+            elif core.isupper() and len(core) > 1:
+                shape = "upper"
+            else:
+                shape = "capital" if core[1:].islower() or len(core) == 1 else "mixed"
+            form = self.form(shape, word[len(left) :][-3:])
+        found = WIDE.pack((zlib.crc32(word.encode()) << 16) | (form * BUCKETS + zlib.crc32(core.lower().encode()) % BUCKETS))
         if len(word) <= 64:
             self[word] = found
         return found
 
 
+def word_classes() -> WordClasses:
+    """One for a worker, whatever tasks it runs."""
+    return remembered("word_classes", WordClasses)
+
+
 def classed(texts: pa.Array, words: WordClasses) -> Iterable[tuple[np.ndarray, np.ndarray]]:
     """Classes of all words of some texts, and where each text ends among them; texts in blocks of bounded size."""
-    held: list[int] = []
+    held: list[bytes] = []
     ends: list[int] = []
+    total = 0
     for text in texts:
-        held.extend(map(words.__getitem__, (text.as_py() or "").split()))
-        ends.append(len(held))
-        if len(held) >= BLOCK:
+        held.append(b"".join(map(words.__getitem__, (text.as_py() or "").split())))
+        total += len(held[-1]) // 8
+        ends.append(total)
+        if total >= BLOCK:
             yield _classes(held, ends), np.array(ends)
-            held, ends = [], []
+            held, ends, total = [], [], 0
     if ends:
         yield _classes(held, ends), np.array(ends)
 
 
-def _classes(held: list[int], ends: list[int]) -> np.ndarray:
-    both = np.array(held, dtype=np.int64)
+def _classes(held: list[bytes], ends: list[int]) -> np.ndarray:
+    both = np.frombuffer(b"".join(held), dtype="<i8")
     again = np.zeros(len(both), bool)
     again[1:] = both[1:] == both[:-1]
     again[[e for e in ends if e < len(both)]] = False  # a text's first word repeats none
@@ -97,7 +123,7 @@ def index_vectors() -> np.ndarray:
 
 def contexts(batches: Iterable[pa.Array]) -> np.ndarray:
     """Summed index vectors of each class's neighbours in the texts, flat."""
-    words, met = WordClasses(), np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    words, met = word_classes(), np.zeros(CLASSES * CLASSES, dtype=np.int64)
     for texts in batches:
         for ids, ends in classed(texts, words):
             text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
@@ -191,27 +217,26 @@ class Model:
     def scorer(self):
         """A UDF from texts to scores, for use on a column."""
         vectors, prior, network, constant = self.vectors, self.prior, self.network, self.constant
-        words = WordClasses()
 
         @F.arrow_udf(DoubleType())
         def score(texts: pa.Array) -> pa.Array:
             if network is None:
                 return pa.array(np.full(len(texts), constant))
-            return pa.array(network.probabilities(pooled(sums(texts, words, vectors), prior)))
+            return pa.array(network.probabilities(pooled(sums(texts, word_classes(), vectors), prior)))
 
         return score
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS) -> Model:
     """Word vectors from all of ``docs`` (doc_id, text), the network from ``labels`` (doc_id, quality)."""
+    bounded_batches(docs.sparkSession)
     total = labelled.summed(docs, "text", contexts)
     raw = (np.zeros(CLASSES * DIMENSIONS) if total is None else total.astype(np.float64)).reshape(CLASSES, DIMENSIONS)
     vectors = (raw / (np.linalg.norm(raw, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
-    words = WordClasses()
 
     @F.arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array(sums(texts, words, vectors).tolist(), pa.list_(pa.float64()))
+        return pa.array(sums(texts, word_classes(), vectors).tolist(), pa.list_(pa.float64()))
 
     rows = labelled.learning_rows(docs, labels, "quality", max_rows).select("doc_id", "y", features("text").alias("x"))
     got = sorted(((str(r.doc_id), r.y, r.x) for r in rows.collect()))
