@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..plans.cut import bounded_batches
+
 WINDOW = 3
 #: Characters a window needs to surge, where no element marks the article.
 SURGE = 80
@@ -61,7 +63,7 @@ def noisy(name: str, attributes: str, inside: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters within links, inside article or main) of each block that is not noise, in page order."""
+    """(text, characters within links, inside article or main) of each block in page order; noise and gaps are empty."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = 0
@@ -71,11 +73,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
     def flush() -> None:
         nonlocal linked
-        if text:
-            line = " ".join(entities.unescape("".join(text)).split())
-            if line:
-                out.append((line, linked, inside > 0))
-            text.clear()
+        out.append((" ".join(entities.unescape("".join(text)).split()), linked, inside > 0))
+        text.clear()
         linked = 0
 
     def close(depth: int) -> None:
@@ -152,7 +151,7 @@ def kept(weights: np.ndarray, window: int, surge: float) -> np.ndarray:
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """The article's blocks, joined by an empty line."""
     found = lines(page or "")
-    marked = any(inside for _, _, inside in found)
+    marked = any(inside for text, _, inside in found if text)
     weights = np.array([len(t) if marked and inside else 0 if marked else max(0, len(t) - 2 * linked) for t, linked, inside in found], dtype=np.int64)
     keep = kept(weights, window, 0 if marked else surge)
     return "\n\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k)
@@ -162,6 +161,7 @@ def extract_text(pages: DataFrame, window: int = WINDOW, surge: float = SURGE) -
     """page_id, url, text and n_chars (code points) of each row of ``pages`` (page_id, url, html): one pass, no shuffle."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
     schema = StructType([rows.schema["page_id"], rows.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())])
 

@@ -23,7 +23,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer, pre_tokenizers
 
-from ..plans.cut import cut, ranked
+from ..plans.cut import bounded_batches, cut, ranked
+from .memo import remembered
 
 CAPACITY = 2048
 #: Characters that str.split() takes for white space and the tokenizer's \s does not: fixed values.
@@ -98,12 +98,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=1)
 def word_ids(tokenizer: str) -> WordIds:
     """One for a worker, whatever tasks it runs."""
     import public_tokenizers
 
-    return WordIds(public_tokenizers.path(tokenizer))
+    return remembered(("word_ids", tokenizer), lambda: WordIds(public_tokenizers.path(tokenizer)))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -188,6 +187,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     Texts are read and tokenised once; what is shuffled, once, is five numbers a piece. Returns doc_id, piece,
     start, length, ids_crc32, sequence_id and offset.
     """
+    bounded_batches(docs.sparkSession)
     pieces = cut(token_pieces(docs, tokenizer, capacity, end_id))
     counts = {int(r.length): r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]

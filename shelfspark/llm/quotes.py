@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..operators.graph import connected_components
-from ..plans.cut import cut, ranked
+from ..plans.cut import bounded_batches, cut, ranked
 
 QUOTED = re.compile(r"^\s*((?:>[ \t]?)+)(.*)$")
 #: What announces a quote: fixed patterns of mail programs in four languages.
@@ -55,6 +55,7 @@ def parsed(text: str | None) -> tuple[str, list[int], list[tuple[int, int]]]:
 
 def linked(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text without quotes, n_quoted, n_linked, reply_to, thread and position of each row."""
+    bounded_batches(messages.sparkSession)
     rows = messages.select("conv_id", "turn", "role", "text")
     level = StructType([StructField("level", IntegerType()), StructField("hash", LongType())])
     schema = StructType([*rows.schema.fields, StructField("own", ArrayType(LongType())), StructField("quotes", ArrayType(level))])
