@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     if found.isDefined():
         return found.get()
     named = context.getConf().get("spark.checkpoint.dir")
-    if not named and not context.master.startswith("local["):
+    if not named and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shelfspark-"))
     return context._jsc.sc().getCheckpointDir().get()

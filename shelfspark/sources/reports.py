@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: How model input is made, for those who read it elsewhere: fixed values.
+PREPROCESS = {"image_size": 224, "resize_shortest": 224, "resample": "bicubic", "crop": "center", "layout": "CHW", "range": [0.0, 1.0], "alpha": "white"}
 
 
 def write_json(row: DataFrame, path: str) -> dict:
@@ -13,6 +16,11 @@ def write_json(row: DataFrame, path: str) -> dict:
     return row.first().asDict(recursive=True)
 
 
+def write_preprocess(spark: SparkSession, path: str) -> None:
+    """The preprocessing settings as one line of JSON."""
+    spark.createDataFrame([(json.dumps(PREPROCESS, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_ranks(ranks: DataFrame, path: str) -> None:
     """(system, query_id, rank) as JSON lines, a folder a system."""
     ranks.write.mode("overwrite").partitionBy("system").json(path)
