@@ -71,9 +71,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     noise = inside = links = 0
     at = 0
 
-    def flush() -> None:
+    def flush(opening: bool) -> None:
         nonlocal linked
-        out.append((" ".join(entities.unescape("".join(text)).split()), linked, inside > 0))
+        line = " ".join(entities.unescape("".join(text)).split())
+        if line or opening:  # a block that opens upon nothing is a gap of one line
+            out.append((line, linked, inside > 0))
         text.clear()
         linked = 0
 
@@ -101,7 +103,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         if name in BLOCKS:
-            flush()
+            flush(not tag[1])
         elif name == "br" and not noise:
             text.append(" ")
         if tag[1]:
@@ -125,7 +127,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         noise += loud
         inside += name in ("article", "main")
         links += name == "a"
-    flush()
+    flush(False)
     return out
 
 
