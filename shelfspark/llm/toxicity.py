@@ -137,7 +137,7 @@ def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE
     explain the label lose theirs. change: of each row, its counterfactual less itself. The penalty is quadratic in the weights, so its part of
     the second derivative is constant.
     """
-    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    a = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1, dtype=np.float32)
     fixed = np.zeros((a.shape[1], a.shape[1]))
     fixed[:-1, :-1] = penalty * (change.T @ change)
     fixed[-1, -1] = 1e-6
@@ -148,8 +148,10 @@ def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE
         held = fixed.copy()
         held[range(len(w) - 1), range(len(w) - 1)] += shrink
         for _ in range(25):
-            p = sigmoid(a @ w)
-            step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + held, a.T @ (weight * (p - y)) + held @ w)
+            p = sigmoid((a @ w.astype(np.float32)).astype(np.float64))
+            bend = (a * (weight * p * (1 - p) + 1e-9).astype(np.float32)[:, None]).T @ a
+            slope = a.T @ (weight * (p - y)).astype(np.float32)
+            step = np.linalg.solve(bend.astype(np.float64) + held, slope.astype(np.float64) + held @ w)
             norm = np.abs(step).max()
             w = w - step * min(1.0, 2.0 / max(norm, 1e-12))  # no step of more than 2, against overshooting
             if norm < 1e-4:
@@ -206,24 +208,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS, m
         return Model({}, float(np.log(rate / (1 - rate))) if n else -40.0)
     names = sorted({*vocabulary(rows, n1, n, max_marks), *GROUP})
     place = {w: i for i, w in enumerate(names)}
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.float64())]))
 
-    @F.arrow_udf("struct<own:array<struct<at:int,n:double>>,other:array<struct<at:int,n:double>>>")
+    @F.arrow_udf("struct<own:binary,other:binary>")
     def features(ids: pa.Array, texts: pa.Array) -> pa.Array:
         out = []
         for i, t in zip(ids.to_pylist(), texts, strict=True):
             words = words_of(t.as_py())
-            both = (words, counterfactual(words, i))
-            out.append(dict(zip(("own", "other"), ([{"at": place[m], "n": n} for m, n in marks_of(x).items() if m in place] for x in both), strict=True)))
-        return pa.array(out, pa.struct([("own", kind), ("other", kind)]))
-
-    got = sorted((str(r.doc_id), r.y, r.x.own, r.x.other) for r in rows.select("doc_id", "y", features("doc_id", "text").alias("x")).collect())
-    x, other = (np.zeros((len(got), len(names))) for _ in range(2))
-    for k, (_, _, own, swapped) in enumerate(got):
-        for into, marks in ((x, own), (other, swapped)):
-            for m in marks:
-                into[k, m.at] = m.n
-    w = solve(x, np.array([g[1] for g in got], dtype=np.float64), other - x)
+            both = ([v for m, n in marks_of(x).items() if m in place for v in (place[m], n)] for x in (words, counterfactual(words, i)))
+            out.append(dict(zip(("own", "other"), (np.array(v, dtype=np.float32).tobytes() for v in both), strict=True)))
+        return pa.array(out, pa.struct([("own", pa.binary()), ("other", pa.binary())]))
+
+    got = sorted((str(r.doc_id), r.y, bytes(r.x.own), bytes(r.x.other)) for r in rows.select("doc_id", "y", features("doc_id", "text").alias("x")).toLocalIterator())
+    x, change = (np.zeros((len(got), len(names)), dtype=np.float32) for _ in range(2))
+    for k, (_, _, own, other) in enumerate(got):
+        (at, n), (to, m) = (np.frombuffer(v, dtype=np.float32).reshape(-1, 2).T for v in (own, other))
+        x[k, at.astype(int)] = n
+        change[k, to.astype(int)] = m
+        change[k] -= x[k]
+    w = solve(x, np.array([g[1] for g in got], dtype=np.float64), change)
     return Model({n: float(v) for n, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-9}, float(w[-1]))
 
 
