@@ -137,15 +137,12 @@ def contexts(batches: Iterable[pa.Array]) -> np.ndarray:
 
 def sums(texts: pa.Array, words: WordClasses, vectors: np.ndarray) -> np.ndarray:
     """The sum of the word vectors of each text and, last, the number of its words."""
-    out = []
+    out, wide = [], vectors.astype(np.float64)
     for ids, ends in classed(texts, words):
         starts = np.concatenate([[0], ends[:-1]])
-        full = ends > starts
-        found = np.zeros((len(ends), vectors.shape[1] + 1))
-        found[:, -1] = ends - starts
-        if full.any():
-            found[full, :-1] = np.add.reduceat(vectors[ids], starts[full], axis=0, dtype=np.float64)
-        out.append(found)
+        for k in range(0, len(ends), 256):
+            counts = np.stack([np.bincount(ids[i:j], minlength=CLASSES) for i, j in zip(starts[k : k + 256], ends[k : k + 256], strict=True)]).astype(np.float64)
+            out.append(np.concatenate([counts @ wide, counts.sum(1, keepdims=True)], axis=1))
     return np.concatenate(out) if out else np.zeros((0, vectors.shape[1] + 1))
 
 
