@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import cut, release
 
 
 def _marks(edges: DataFrame) -> tuple[int, int]:
@@ -15,7 +15,7 @@ def _marks(edges: DataFrame) -> tuple[int, int]:
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -42,6 +42,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     while seen[0]:
         now = cut(_small(_large(now)))
         marks = _marks(now)
+        release(edges.sparkSession)
         if marks == seen:
             break
         seen, rounds = marks, rounds + 1
