@@ -6,15 +6,16 @@ hash of the set; the rest works on nodes.
 1. Keys. With shingles in one order for all, rarest first, two linked nodes share one of their first
    n - ceil(0.75 n) + 1. Rarity is a count over all documents in a table of fixed width, so words, lines and
    passages that many documents share come last and are seldom keys.
-2. Pivots. In the group of a key every node is paired with the smallest. Pairs that survive their bitmaps are
-   verified by their texts; verified links give first components.
+2. Pivots. In the group of a key every node is paired with the smallest; in a further round, with
+   a few that are drawn, if of other components. Pairs that survive their bitmaps are verified by their texts, and links join components.
 3. Trees. A group that still holds nodes of different components gets a signature tree: its nodes sorted by component
    and size, leaves of 64 nodes, inner nodes of 64 below them, each with the OR of the bitmaps, the range of sizes
    and the least number of bits that a link must share. A dual traversal starts at the root and itself and drops
    pairs whose sizes cannot match, whose common bits are too few for any link, or that lie in one component. Pairs of
-   single nodes that are left are verified by their texts.
+   single nodes that are left, and that no round has tested, are verified by their texts.
 
 No pruning loses a link: if at most n_a - o shingles of a are not in b, at most as many bits of a are not in b.
+Bitmaps have two bits a shingle or more; in trees they are folded to 1024.
 
 Hot groups: equal texts are one node; near copies end in one component after step 2 and are not compared again;
 large groups are split over leaves. No partner is capped.
@@ -39,22 +40,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..operators.graph import connected_components
-from ..plans.cut import cut
+from ..plans.cut import bounded_batches, cut, release
 from . import labelled
+from .memo import remembered
 
 WORDS, PERCENT = 5, 75
-#: Counters of shingles, by the first bits of their hash; bits of a bitmap; children of a tree's node.
-COUNTERS, BITS, FAN = 17, 10, 64
+#: Counters of shingles, by the first bits of their hash; least and greatest width of a bitmap; children of a tree's node.
+COUNTERS, BITS, WIDEST, FAN = 17, 10, 17, 64
+#: Keys that a tree's member carries, the least it has, and words remembered while texts are verified.
+KEYS, REMEMBERED_FEW = 16, 40_000
+#: Rounds of pivots, and pivots of a group from the second on. What they leave, however much, the trees find.
+ROUNDS, PIVOTS = 2, 8
 #: Bits of the table that tells which documents are wanted, and words or sets that a worker remembers.
-WANTED, REMEMBERED = 23, 400_000
+WANTED, REMEMBERED = 23, 250_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class WordHashes(dict):
     """Eight bytes of hash for each word."""
 
+    def __init__(self, most: int = REMEMBERED):
+        super().__init__()
+        self.most = most
+
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         found = xxhash.xxh3_64_digest(word)
         if len(word) <= 64:
@@ -81,11 +91,30 @@ def node_of(found: np.ndarray) -> int:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    bits = np.zeros(1 << BITS, bool)
-    bits[(found >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    """A bit for each shingle at the first bits of its hash, as many as give two places a shingle, within limits."""
+    width = min(WIDEST, max(BITS, (2 * len(found) - 1).bit_length() if len(found) else 0))
+    bits = np.zeros(1 << width, bool)
+    bits[(found >> np.uint64(64 - width)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap as ``size`` bytes: places that come to share one are combined by OR."""
+    found = np.frombuffer(bits, dtype=np.uint8)
+    if len(found) == size:
+        return found
+    return np.packbits(np.unpackbits(found).reshape(8 * size, -1).any(1))
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether bitmaps allow a link of sets of these sizes."""
+    size = min(len(a), len(b))
+    x, y = folded(a, size), folded(b, size)
+    common = int(np.bitwise_count(x & y).sum())
+    need = -(-percent * (n_a + n_b) // (100 + percent))
+    return int(np.bitwise_count(x).sum()) - common <= n_a - need and int(np.bitwise_count(y).sum()) - common <= n_b - need
+
+
 def counter_of(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
@@ -104,7 +133,7 @@ def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     schema = StructType([rows.schema["doc_id"], StructField("n", LongType()), StructField("node", LongType()), StructField("bits", BinaryType()), StructField("counts", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHashes(), np.zeros(1 << COUNTERS, dtype=np.int64)
+        words, counts = word_hashes(), np.zeros(1 << COUNTERS, dtype=np.int64)
         for batch in batches:
             found = [shingles(t.as_py(), words, size) for t in batch.column(1)]
             if found:
@@ -132,7 +161,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataF
     held = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, seen = WordHashes(), held.value, set()
+        words, counts, seen = word_hashes(), held.value, set()
 
         def handed(some: list) -> pa.RecordBatch:
             sizes = [len(k) for _, _, k in some]
@@ -187,7 +216,9 @@ def bits_fit(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
 
 
 def _unpacked(packed: Iterable[bytes]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, (1 << BITS) // 8), axis=1)
+    """Bits of bitmaps folded to the least width, a row each."""
+    rows = [folded(x, (1 << BITS) // 8) for x in packed]
+    return np.unpackbits(np.stack(rows), axis=1) if rows else np.zeros((0, 1 << BITS), np.uint8)
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -195,23 +226,27 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     @F.arrow_udf(BooleanType())
     def fits(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        a, b = (_unpacked(x.to_pylist()) for x in (bits_a, bits_b))
-        n_a, n_b = (x.to_numpy().astype(np.int64) for x in (n_a, n_b))
-        common = (a & b).sum(1)
-        need = least_common(n_a, n_b, percent)
-        return pa.array((a.sum(1) - common <= n_a - need) & (b.sum(1) - common <= n_b - need))
+        columns = (x.to_pylist() for x in (bits_a, bits_b, n_a, n_b))
+        return pa.array([may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     return both.where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
 
 
+def word_hashes() -> WordHashes:
+    """One for a worker, whatever tasks it runs."""
+    return remembered("word_hashes", WordHashes)
+
+
+def few_hashes() -> WordHashes:
+    """As ``word_hashes``, for the several workers that a task uses at once while pairs are verified."""
+    return remembered("few_hashes", lambda: WordHashes(REMEMBERED_FEW))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are linked. Only texts that pairs name are shuffled, and few others."""
-    pairs = cut(pairs)
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id")
-    wanted = cut(wanted)
-    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << WANTED))
+    wanted = nodes.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi").select("doc_id")
 
     def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
         table = np.zeros(1 << WANTED, bool)
@@ -219,52 +254,64 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
             table[x.to_numpy()] = True
         return np.packbits(table).view(np.int64)
 
-    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a | b
-
-    table = labelled.summed(wanted.select(slot.alias("slot")), "slot", marked, merged)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED))
+    table = labelled.summed(wanted.select(slot.alias("slot")), "slot", marked, np.bitwise_or)
     held = docs.sparkSession.sparkContext.broadcast(np.zeros((1 << WANTED) // 64, np.int64) if table is None else table)  # of fixed width
 
-    @F.arrow_udf(BooleanType())
-    def named(slots: pa.Array) -> pa.Array:
+    @F.arrow_udf(LongType())
+    def node(slots: pa.Array, texts: pa.Array) -> pa.Array:
         at = slots.to_numpy()
-        return pa.array(((held.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
-
-    @F.arrow_udf(BooleanType())
-    def own(names: pa.Array, found: pa.Array) -> pa.Array:
-        words = WordHashes()
-        return pa.array([node_of(shingles(t.as_py(), words, size)) == n for n, t in zip(names.to_pylist(), found, strict=True)], pa.bool_())
+        marked = (held.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return pa.array([node_of(shingles(t.as_py(), few_hashes(), size)) if m else None for m, t in zip(marked, texts, strict=True)], pa.int64())
 
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where(named(F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED))))
-    texts = wanted.join(rows, F.col("doc_id").eqNullSafe(F.col("id"))).where(own("node", "text")).groupBy("node").agg(F.first("text").alias("text"))
+    node = node.asNondeterministic()  # else it is evaluated anew in each filter that the optimizer adds
+    rows = docs.select(slot.alias("slot"), F.col("text").cast("binary").alias("text"))
+    texts = rows.select(node("slot", "text").alias("node"), "text").where("node is not null").dropDuplicates(["node"])
 
     @F.arrow_udf(BooleanType())
-    def linked(a: pa.Array, text_a: pa.Array, text_b: pa.Array) -> pa.Array:
-        words, recent, out = WordHashes(), OrderedDict(), []
-        for name, one, other in zip(a.to_pylist(), text_a, text_b, strict=True):
-            if name not in recent:
-                recent[name] = shingles(one.as_py(), words, size)
-                if len(recent) > 64:
+    def linked(a: pa.Array, b: pa.Array, text_a: pa.Array, text_b: pa.Array) -> pa.Array:
+        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def found(name: int, text: pa.Scalar) -> np.ndarray:
+            if name in recent:
+                recent.move_to_end(name)
+            else:
+                recent[name] = shingles(text.as_py(), few_hashes(), size)
+                if len(recent) > 256:
                     recent.popitem(last=False)
-            x, y = recent[name], shingles(other.as_py(), words, size)
+            return recent[name]
+
+        out = []
+        for i, j, one, other in zip(a.to_pylist(), b.to_pylist(), text_a, text_b, strict=True):
+            x, y = found(i, one), found(j, other)
             common = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * common >= percent * (len(x) + len(y) - common))
         return pa.array(out, pa.bool_())
 
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return cut(pairs.join(side("b"), "b").join(side("a"), "a").where(linked("a", "text_a", "text_b")).select("a", "b"))
+    out = cut(pairs.join(side("b"), "b").join(side("a"), "a").where(linked("a", "b", "text_a", "text_b")).select("a", "b"))
+    release(docs.sparkSession)
+    return out
 
 
 def _or_bits(packed: Iterable[bytes]) -> bytes:
-    return np.bitwise_or.reduce(np.stack([np.frombuffer(x, dtype=np.uint8) for x in packed])).tobytes()
+    return np.bitwise_or.reduce(np.stack([folded(x, (1 << BITS) // 8) for x in packed])).tobytes()
 
 
 def _leaves(contested: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Leaves of the trees: key, at, what a node of a tree has, and their members."""
+    """Leaves of the trees: key, at, and their members with folded bitmaps and the least of their keys."""
+
+    @F.arrow_udf(BinaryType())
+    def small(bits: pa.Array) -> pa.Array:
+        return pa.array([folded(x, (1 << BITS) // 8).tobytes() for x in bits.to_pylist()], pa.binary())
+
     order = Window.partitionBy("key").orderBy("comp", "n", "node")
     placed = contested.withColumn("at", F.floor((F.row_number().over(order) - 1) / FAN).cast("long"))
-    member = F.struct("node", "n", "comp", "bits")
-    return placed.join(nodes.select("node", "bits"), "node").groupBy("key", "at").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    # a node has no more keys than shingles
+    own = contested.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, KEYS).alias("keys"))
+    known = own.join(nodes, "node").select("node", small("bits").alias("bits"), "keys")
+    member = F.struct("node", "n", "comp", "bits", "keys")
+    return placed.join(known, "node").groupBy("key", "at").agg(F.array_sort(F.collect_list(member)).alias("members"))
 
 
 def _described(leaves: DataFrame, percent: int) -> DataFrame:
@@ -315,38 +362,84 @@ def _met(pairs: DataFrame, level: DataFrame, percent: int) -> DataFrame:
     return both.where(apart & sizes).where(enough).select("key", "x", "y")
 
 
+def _compared(key: int, x: list[dict], y: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of two leaves that may be linked and are in two components.
+
+    A pair that is known to share a lesser key is left to that key's tree, so pairs aren't made again and again.
+    """
+    n, c, k = ([np.array([m[f] for m in z], dtype=np.int64) for z in (x, y)] for f in ("n", "comp", "node"))
+    names: dict[int, int] = {}
+    for z in (x, y):
+        for m in z:
+            for lesser in m["keys"]:
+                if lesser < key:
+                    names.setdefault(lesser, len(names))
+    has = [np.zeros((len(z), len(names)), np.float32) for z in (x, y)]
+    for z, into in zip((x, y), has, strict=True):
+        for i, m in enumerate(z):
+            into[i, [names[lesser] for lesser in m["keys"] if lesser < key]] = 1
+    fit = (has[0] @ has[1].T == 0) & (c[0][:, None] != c[1][None, :])
+    if fit.any():
+        fit &= bits_fit(*(_unpacked(m["bits"] for m in z) for z in (x, y)), *n, percent)
+    i, j = np.nonzero(fit)
+    return np.minimum(k[0][i], k[1][j]), np.maximum(k[0][i], k[1][j])
+
+
+def _pairs_of(rows: DataFrame, percent: int) -> DataFrame:
+    """``_compared`` over rows of a key and one list of members (with itself) or two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, *lists = (c[row].as_py() for c in batch.columns)
+                a, b = _compared(key, lists[0], lists[-1], percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _traversed(contested: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that the dual traversal of each key's tree leaves."""
+    """Pairs (a, b) of nodes that the dual traversal of each key's tree leaves.
+
+    A leaf meets itself where it lies; only trees of two leaves and more are walked by joins.
+    """
     leaves = cut(_leaves(contested, nodes))
-    levels = [cut(_described(leaves, percent))]
+    own = _pairs_of(leaves.select("key", "members"), percent)
+    tall = leaves.join(leaves.where("at > 0").select("key").distinct(), "key", "left_semi")
+    levels = [cut(_described(tall, percent))]
     while (levels[-1].agg(F.max("at").alias("m")).first().m or 0) > 0:
         levels.append(cut(_above(levels[-1])))
     pairs = levels[-1].select("key", F.col("at").alias("x"), F.col("at").alias("y"))
-    for depth in range(len(levels) - 1, -1, -1):
-        pairs = _met(pairs, levels[depth], percent)
-        if depth:
-            below = levels[depth - 1].select("key", "at", F.floor(F.col("at") / FAN).cast("long").alias("up"))
-            child = lambda x: below.select("key", F.col("up").alias(x), F.col("at").alias(f"{x}_below"))  # noqa: E731, B023
-            pairs = cut(
-                pairs.join(child("x"), ["key", "x"]).join(child("y"), ["key", "y"]).where("x_below <= y_below").select("key", F.col("x_below").alias("x"), F.col("y_below").alias("y"))
-            )
-    side = lambda x: leaves.select("key", F.col("at").alias(x), F.col("members").alias(f"members_{x}"))
-    both = pairs.join(side("x"), ["key", "x"]).join(side("y"), ["key", "y"]).select("members_x", "members_y")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for one, other in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = one.as_py(), other.as_py()
-                u, v = (_unpacked(m["bits"] for m in z) for z in (x, y))
-                n, c, k = ([np.array([m[f] for m in z], dtype=np.int64) for z in (x, y)] for f in ("n", "comp", "node"))
-                fit = bits_fit(u, v, *n, percent) & (c[0][:, None] != c[1][None, :])
-                i, j = np.nonzero(fit)
-                a.append(np.minimum(k[0][i], k[1][j]))
-                b.append(np.maximum(k[0][i], k[1][j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z) if z else np.zeros(0, np.int64)) for z in (a, b)], names=["a", "b"])
-
-    return both.mapInArrow(compared, "a long, b long").distinct()
+    for depth in range(len(levels) - 1, 0, -1):
+        below = levels[depth - 1].select("key", "at", F.floor(F.col("at") / FAN).cast("long").alias("up"))
+        child = lambda x: below.select("key", F.col("up").alias(x), F.col("at").alias(f"{x}_below"))  # noqa: E731, B023
+        met = pairs.join(child("x"), ["key", "x"]).join(child("y"), ["key", "y"]).select("key", F.col("x_below").alias("x"), F.col("y_below").alias("y"))
+        pairs = cut(_met(met.where("x < y"), levels[depth - 1], percent).unionAll(met.where("x = y")) if depth > 1 else _met(met.where("x < y"), levels[0], percent))
+    side = lambda x: tall.select("key", F.col("at").alias(x), F.col("members").alias(f"members_{x}"))
+    both = pairs.where("x < y").join(side("x"), ["key", "x"]).join(side("y"), ["key", "y"]).select("key", "members_x", "members_y")
+    return own.unionAll(_pairs_of(both, percent)).distinct()
+
+
+def _stars(contested: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, in each key's group: of each node with the smallest, and later with a few drawn, if of other components."""
+    if not turn:
+        met = contested.select("node", "n", F.col("first").alias("pivot"), F.col("first_n").alias("pivot_n"))
+    else:
+        drawn = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+        few = contested.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= PIVOTS)
+        few = few.select("key", F.col("comp").alias("pivot_comp"), F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+        met = contested.join(few, "key").where(F.col("comp") != F.col("pivot_comp"))
+    fit = met.where((F.col("node") != F.col("pivot")) & sizes_fit(F.col("n"), F.col("pivot_n"), percent))
+    return fit.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _contested(shared: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows of groups that hold nodes of two components or more, with the component; of groups of the same nodes, one."""
+    known = shared.join(names, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
+    groups = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), *marks).where("c0 <> c1")
+    return known.join(groups.groupBy("k", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 class Joined(NamedTuple):
@@ -358,35 +451,41 @@ class Joined(NamedTuple):
 
 def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Joined:
     """Joins ``docs`` (doc_id, text) with itself on shingle sets of Jaccard similarity ``percent`` / 100 or more."""
+    bounded_batches(docs.sparkSession)
     members, counts = _sets(docs, size)
     nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("n").cast("int").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
     group = Window.partitionBy("key").orderBy("n", "node")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = cut(
-        _keys(docs, counts, size, percent)
-        .withColumn("last", F.last("node").over(whole))
-        .withColumn("pivot", F.first("node").over(whole))
-        .withColumn("pivot_n", F.first("n").over(whole))
-        .where("last <> pivot and node <> pivot")
-        .select("key", "node", "n", "pivot", "pivot_n")
-        .distinct()
-    )
-    stars = shared.where(sizes_fit(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(_pruned(stars, nodes, percent), nodes, docs, size, percent)
+    keyed = _keys(docs, counts, size, percent)
+    for name, column in (("first", F.first("node")), ("first_n", F.first("n")), ("last", F.last("node"))):
+        keyed = keyed.withColumn(name, column.over(whole))
+    # the smallest node of a group is paired with all others at first, so it is left out from then on
+    release(docs.sparkSession)
+    shared = cut(keyed.where("first <> last and node <> first").select("key", "node", "n", "first", "first_n").distinct())
+    contested = shared
+    names, links, tested = None, None, None  # names: of nodes that rounds have put in another's component
+    for turn in range(ROUNDS):
+        pairs = _stars(contested, turn, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(_pruned(pairs, nodes, percent))
+        found = _verified(pairs, nodes, docs, size, percent)
+        links, tested = (found, pairs) if links is None else (links.unionAll(found), tested.unionAll(pairs))
+        names = cut(connected_components(links))
+        contested = cut(_contested(shared, names))
+        release(docs.sparkSession)
+        if turn and found.isEmpty():
+            break
+    left = _traversed(contested, nodes, percent).join(tested, ["a", "b"], "left_anti")
+    pairs = cut(_pruned(left, nodes, percent))
+    release(docs.sparkSession)
+    links = links.unionAll(_verified(pairs, nodes, docs, size, percent))
     first = cut(connected_components(links))
-    known = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    contested = cut(known.join(mixed, "key", "left_semi"))
-    more = _verified(_traversed(contested, nodes, percent), nodes, docs, size, percent)
-    name = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp"))
-    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    second = connected_components(between).select(F.col("node").alias("comp"), F.col("component").alias("last"))
-    placed = nodes.select("node", "doc_id").join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).join(second, "comp", "left")
-    placed = placed.select("node", "doc_id", F.coalesce("last", "comp").alias("comp"))
+    placed = nodes.select("node", "doc_id").join(first, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
     named = placed.join(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "comp", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = members.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"), "comp", own.alias("component_id"))
-    return Joined(out, links.unionAll(more))
+    return Joined(out, links)
 
 
 def components(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -401,8 +500,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> D
 
     @F.arrow_udf(LongType())
     def named(texts: pa.Array) -> pa.Array:
-        words = WordHashes()
-        found = (shingles(t.as_py(), words, size) for t in texts)
+        found = (shingles(t.as_py(), word_hashes(), size) for t in texts)
         return pa.array([node_of(s) if len(s) else None for s in found], pa.int64())
 
     rows = docs.withColumn("_node", named(F.col("text").cast("binary")))
