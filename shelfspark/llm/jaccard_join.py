@@ -51,6 +51,8 @@ COUNTERS, BITS, WIDEST, FAN = 17, 10, 17, 64
 KEYS, REMEMBERED_FEW = 16, 40_000
 #: Rounds of pivots, and pivots of a group from the second on. What they leave, however much, the trees find.
 ROUNDS, PIVOTS = 2, 8
+#: Wanted documents whose ids may be broadcast.
+FEW = 100_000
 #: Bits of the table that tells which documents are wanted, and words or sets that a worker remembers.
 WANTED, REMEMBERED = 23, 250_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -246,26 +248,38 @@ def few_hashes() -> WordHashes:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are linked. Only texts that pairs name are shuffled, and few others."""
-    wanted = nodes.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi").select("doc_id")
+    wanted = nodes.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi")
+    wanted = cut(wanted.select("doc_id").distinct())
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+    if wanted.count() <= FEW:
+        few = F.broadcast(wanted.withColumnRenamed("doc_id", "wanted"))
+        rows = rows.join(few, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").withColumn("slot", F.lit(None).cast("long"))
+        table = None
+    else:
+        # too many to broadcast: a table of fixed width lets through those that are wanted, and few others
 
-    def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
-        table = np.zeros(1 << WANTED, bool)
-        for x in arrays:
-            table[x.to_numpy()] = True
-        return np.packbits(table).view(np.int64)
+        def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
+            table = np.zeros(1 << WANTED, bool)
+            for x in arrays:
+                table[x.to_numpy()] = True
+            return np.packbits(table).view(np.int64)
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED))
-    table = labelled.summed(wanted.select(slot.alias("slot")), "slot", marked, np.bitwise_or)
-    held = docs.sparkSession.sparkContext.broadcast(np.zeros((1 << WANTED) // 64, np.int64) if table is None else table)  # of fixed width
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED))
+        table = labelled.summed(wanted.select(slot.alias("slot")), "slot", marked, np.bitwise_or)
+        rows = rows.withColumn("slot", slot)
+    held = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf(LongType())
     def node(slots: pa.Array, texts: pa.Array) -> pa.Array:
-        at = slots.to_numpy()
-        marked = (held.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return pa.array([node_of(shingles(t.as_py(), few_hashes(), size)) if m else None for m, t in zip(marked, texts, strict=True)], pa.int64())
+        if held.value is None:
+            named = np.ones(len(slots), bool)
+        else:
+            at = slots.to_numpy()
+            named = (held.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return pa.array([node_of(shingles(t.as_py(), few_hashes(), size)) if m else None for m, t in zip(named, texts, strict=True)], pa.int64())
 
     node = node.asNondeterministic()  # else it is evaluated anew in each filter that the optimizer adds
-    rows = docs.select(slot.alias("slot"), F.col("text").cast("binary").alias("text"))
     texts = rows.select(node("slot", "text").alias("node"), "text").where("node is not null").dropDuplicates(["node"])
 
     @F.arrow_udf(BooleanType())

@@ -338,6 +338,7 @@ def test_join(spark, seed):
 def test_trees_alone_find_all(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
     monkeypatch.setattr(jaccard_join, "FAN", 4)
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
     texts = near_copies(7, 6, 25)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(documents(spark, texts)).collect()}
     assert got == brute_components(list(enumerate(texts)))
