@@ -2,8 +2,9 @@
 
 Words are lower-cased and stripped of marks; numbers, units and capitalised words become typed placeholders, whose
 values are kept as slots. Items that have one template and one pattern of equal slots are one class, told apart by
-their least item_id. Windows of eight words are hash-joined between texts and classes; windows of few literal words
-keep their slots' values instead, so placeholders alone never match.
+their least item_id. Windows of eight words are hash-joined between texts and classes, twice: by their raw words, of
+each item of the class, so the case of letters doesn't matter; and by their template. Windows of few literal words have
+no template key, so placeholders alone never match.
 
 Matches of one text and one class on one diagonal (place in the text less place in the item) are a candidate: it is a
 leak if it covers half of the item's windows, or 13 in number, and its slots are consistent: wherever the item repeats
@@ -49,7 +50,9 @@ EDGE = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
 PLAIN = re.compile(r"([^\W\d_]+)[.,;:!?]*")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 PLACEHOLDERS = ("", "<num>", "<unit>", "<name>")
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+#: What a window is matched by: its canonical words, or its raw ones.
+TEMPLATE, RAW = 0, 1
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def token(piece: str) -> tuple[int, str]:
@@ -81,9 +84,9 @@ class Tokens(dict):
             self[piece] = found
         return found
 
-    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Canonical hashes, raw hashes and kinds of the words of ``text``."""
-        raw = np.frombuffer(b"".join(map(self.__getitem__, text.split())), dtype=np.uint8).reshape(-1, 17)
+    def arrays(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Canonical hashes, raw hashes and kinds of the words among ``pieces``."""
+        raw = np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype=np.uint8).reshape(-1, 17)
         one, two = (np.ascontiguousarray(raw[:, i : i + 8]).view("<u8").ravel() for i in (0, 8))
         return one, two, raw[:, 16]
 
@@ -93,36 +96,39 @@ def known_tokens() -> Tokens:
     return remembered("known_tokens", Tokens)
 
 
-def windows(canonical: np.ndarray, raw: np.ndarray, kinds: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window of ``size`` words: of its canonical words or, with few literal ones, of its raw words."""
-    n = len(kinds) - size + 1
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a * _MIX[0] + b) * _MIX[1]
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def windows(hashes: np.ndarray, size: int, by: int) -> np.ndarray:
+    """The hash of each window of ``size`` words, from those of windows of 1, 2, 4 .. words."""
+    n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    few = literal[size:] - literal[:-size] < min(LITERALS, size)
-
-    def rolled(h: np.ndarray) -> np.ndarray:
-        out = np.full(n, np.uint64(size))
-        for i in range(size):
-            out = (out ^ h[i : i + n]) * _MIX[i % 8]
-            out ^= out >> np.uint64(29)
-        return out
-
-    out = rolled(canonical)
-    if few.any():
-        out[few] = rolled(raw)[few] ^ np.uint64(1)
+    out, at, step = _MIX[2 + by], 0, 1
+    while step <= size:
+        if size & step:
+            out = _mixed(out, hashes[at : at + n])
+            at += step
+        if 2 * step <= size:
+            hashes = _mixed(hashes[:-step], hashes[step:])
+        step *= 2
     return out
 
 
-def _told(pieces: list[tuple[int, str]], at: int, size: int) -> tuple[str, list[str]]:
-    """A window spelt out, and the values of its slots."""
-    held = pieces[at : at + size]
-    plain = sum(k == LITERAL for k, _ in held) < min(LITERALS, size)
-    return " ".join(w if plain else PLACEHOLDERS[k] or w for k, w in held), [w for k, w in held if k != LITERAL]
+def _told(held: list[tuple[int, str]], by: int) -> str:
+    """A window spelt out."""
+    return " ".join(w if by == RAW else PLACEHOLDERS[k] or w for k, w in held)
+
+
+def _values(held: list[tuple[int, str]]) -> list[str]:
+    return [w for k, w in held if k != LITERAL]
 
 
 def _classes(items: DataFrame) -> DataFrame:
-    """item_id, n_items and text of each class of items."""
+    """item_id, n_items and text: each item's own text, with the least item_id of its class and the number of its items."""
 
     @F.arrow_udf(StringType())
     def template(texts: pa.Array) -> pa.Array:
@@ -141,13 +147,14 @@ def _classes(items: DataFrame) -> DataFrame:
             out.append(" ".join(words) + "|" + ",".join(map(str, pattern)))
         return pa.array(out, pa.string())
 
-    known = items.select("item_id", "text", template("text").alias("template")).where("template is not null")
-    return known.groupBy("template").agg(F.min("item_id").alias("item_id"), F.countDistinct("item_id").alias("n_items"), F.min_by("text", F.struct("item_id", "text")).alias("text")).drop("template")
+    known = cut(items.select("item_id", "text", template("text").alias("template")).where("template is not null"))
+    classes = known.groupBy("template").agg(F.min("item_id").alias("item_id"), F.countDistinct("item_id").alias("n_items"))
+    return known.select("template", "text").distinct().join(classes, "template").select("item_id", "n_items", "text")
 
 
 def _item_windows(classes: DataFrame) -> DataFrame:
-    """Each window of each class: item_id, n_items, at, windows, size, hash, window, and the first place of each slot's value."""
-    schema = StructType([classes.schema["item_id"], *(StructField(n, LongType()) for n in ("n_items", "at", "windows", "size", "hash"))]).add("window", "string").add("slots", ArrayType(IntegerType()))
+    """Each window of each class: item_id, n_items, at, windows, by, size, hash, window, and of each slot the first place of its value and the value."""
+    schema = StructType([classes.schema["item_id"], *(StructField(n, LongType()) for n in ("n_items", "at", "windows", "by", "size", "hash"))]).add("window", "string").add("slots", ArrayType(IntegerType())).add("own", ArrayType(StringType()))
     rows = classes.select("item_id", "n_items", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,27 +162,33 @@ def _item_windows(classes: DataFrame) -> DataFrame:
         for batch in batches:
             row, out = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                pieces = [p for p in map(token, text.split()) if p[1]]
+                split = text.split()
+                pieces = [p for p in map(token, split) if p[1]]
                 size = min(WINDOW, len(pieces))
                 first: dict[tuple[int, str], int] = {}
                 slot = [first.setdefault(p, k) if p[0] != LITERAL else -1 for k, p in enumerate(pieces)]
-                found = windows(*tokens.arrays(text), size).view(np.int64)
-                for at, h in enumerate(found.tolist()):
-                    row.append(i)
-                    out.append((at, len(found), size, h, _told(pieces, at, size)[0], [s for s in slot[at : at + size] if s >= 0]))
+                for by, hashes in zip((TEMPLATE, RAW), tokens.arrays(split)[:2], strict=True):
+                    found = windows(hashes, size, by).view(np.int64)
+                    for at, h in enumerate(found.tolist()):
+                        held = pieces[at : at + size]
+                        if by == TEMPLATE and sum(k == LITERAL for k, _ in held) < min(LITERALS, size):
+                            continue
+                        row.append(i)
+                        # what is matched by raw words has the item's own values; else the text tells its values
+                        out.append((at, len(found), by, size, h, _told(held, by), [s for s in slot[at : at + size] if s >= 0], _values(held) if by == RAW else None))
             take = pa.array(row, pa.int64())
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32())]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).dropDuplicates(["item_id", "at", "by", "size", "hash", "window"])
 
 
-def _text_windows(docs: DataFrame, sizes: list[int], table: np.ndarray) -> DataFrame:
-    """Those windows of each text that the table lets through: doc_id, place, size, hash, window, values."""
+def _text_windows(docs: DataFrame, wanted: list[tuple[int, int]], table: np.ndarray) -> DataFrame:
+    """Those windows of each text, of each ``wanted`` (by, size), that the table lets through: doc_id, place, by, size, hash, window, values."""
     held = docs.sparkSession.sparkContext.broadcast(table)  # of fixed width
     rows = docs.select("doc_id", "text")
-    schema = StructType([rows.schema["doc_id"], StructField("place", LongType()), StructField("size", LongType()), StructField("hash", LongType())]).add("window", "string").add("values", ArrayType(StringType()))
+    schema = StructType([rows.schema["doc_id"], *(StructField(n, LongType()) for n in ("place", "by", "size", "hash"))]).add("window", "string").add("values", ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, marked = known_tokens(), held.value.view(np.uint8)
@@ -185,19 +198,21 @@ def _text_windows(docs: DataFrame, sizes: list[int], table: np.ndarray) -> DataF
                 text = value.as_py()
                 if not text:
                     continue
-                arrays = tokens.arrays(text)
-                pieces = None
-                for size in sizes:
-                    found = windows(*arrays, size)
+                split = text.split()
+                arrays = tokens.arrays(split)
+                words = None
+                for by, size in wanted:
+                    found = windows(arrays[by], size, by)
                     slot = found >> np.uint64(64 - TABLE)
                     hit = np.flatnonzero((marked[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1)
-                    if len(hit) and pieces is None:
-                        pieces = [p for p in map(token, text.split()) if p[1]]
+                    if len(hit) and words is None:
+                        words = [p for p in split if tokens[p]] if len(split) != len(arrays[0]) else split
                     for at in hit.tolist():
+                        pieces = [token(p) for p in words[at : at + size]]
                         row.append(i)
-                        out.append((at, size, int(found[at : at + 1].view(np.int64)[0]), *_told(pieces, at, size)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.string())]
+                        out.append((at, by, size, int(found[at : at + 1].view(np.int64)[0]), _told(pieces, by), None if by == RAW else _values(pieces)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -211,7 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, enough:
     """
     bounded_batches(docs.sparkSession)
     known = cut(_item_windows(_classes(items)))
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # eight values at most
+    wanted = sorted(tuple(r) for r in known.select("by", "size").distinct().collect())  # eight sizes at most
 
     def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
         bits = np.zeros(1 << TABLE, bool)
@@ -220,10 +235,10 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, enough:
         return np.packbits(bits).view(np.int64)
 
     table = labelled.summed(known, "hash", marked, np.bitwise_or)
-    found = _text_windows(docs, sizes, np.zeros((1 << TABLE) // 64, np.int64) if table is None else table)
-    met = found.join(known, ["hash", "size", "window"])
+    found = _text_windows(docs, wanted, np.zeros((1 << TABLE) // 64, np.int64) if table is None else table)
+    met = found.join(known, ["hash", "by", "size", "window"])
     diagonal = ["doc_id", "item_id", "n_items", "windows", "diagonal"]
-    slots = F.explode_outer(F.arrays_zip("slots", "values")).alias("slot")
+    slots = F.explode_outer(F.arrays_zip("slots", F.coalesce("values", "own").alias("values"))).alias("slot")
     each = met.select(*diagonal[:4], (F.col("place") - F.col("at")).alias("diagonal"), "at", slots)
     each = each.select(*diagonal, "at", "slot.slots", "slot.values")
     by_slot = each.groupBy(*diagonal, "slots").agg((F.min("values") != F.max("values")).alias("odd"), F.collect_set("at").alias("at"))

@@ -139,6 +139,27 @@ def test_exact_passages_are_found(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} >= want
 
 
+def test_passages_in_other_case(spark):
+    # most windows hold a sentence start or a name, and the copies have other ones
+    item = "La casa. Rio verde. Sol alto. Mar frio. Pan duro. Luz roja. Voz baja. Fin."
+    one = "If Anna often buys three apples for her neighbours and they then sell 9 pears to Bob, how much does she still have left?"
+    other = one.replace("Anna", "Clara").replace("9", "17")
+    items = spark.createDataFrame([(1, item), (2, one), (3, other)], "item_id long, text string")
+    docs = documents(spark, [item.upper(), "he said: " + item.lower(), one.upper(), other.upper(), other.lower() + " so", item.lower()[:30]])
+    got = decontaminate.leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 2)}
+    assert all(r.matched == r.windows for r in got) and {r.doc_id: r.place for r in got}[1] == 2
+
+
+def test_exact_passages_are_found_at_scale(spark):
+    docs, items = (queries.table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "benchmark"))
+    flat = lambda t: " ".join((t or "").lower().split())
+    passages = [(i.item_id, flat(i.text)) for i in items.collect()]
+    texts = [(d.doc_id, flat(d.text)) for d in docs.select("doc_id", "text").collect()]
+    want = {(d, i) for d, text in texts for i, passage in passages if passage in text}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} >= want
+
+
 # 3 Top-k ------------------------------------------------------------------------------------------------------
 
 
