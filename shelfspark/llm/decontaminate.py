@@ -3,8 +3,10 @@
 Words are lower-cased and stripped of marks; numbers, units and capitalised words become typed placeholders, whose
 values are kept as slots. Items that have one template and one pattern of equal slots are one class, told apart by
 their least item_id. Windows of eight words are hash-joined between texts and classes, twice: by their raw words, of
-each item of the class, so the case of letters doesn't matter; and by their template. Windows of few literal words have
-no template key, so placeholders alone never match.
+each item of the class, so the case of letters doesn't matter; and by their template. Where a window has few literal
+words, a longer one around it (or the whole item) stands for it, of which ``SHARE`` and ``LITERALS`` at least are
+literal; failing that, the same with the marks that stand alone, as + or =, each told apart counting once beside a
+literal word. What has no such window is matched by its raw words only, so placeholders alone never match.
 
 Matches of one text and one class on one diagonal (place in the text less place in the item) are a candidate: it is a
 leak if it covers half of the item's windows, or 13 in number, and its slots are consistent: wherever the item repeats
@@ -21,7 +23,8 @@ window. Repeated rows of a doc_id give one row a class. Without items there are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from .memo import remembered
 
 WINDOW, LITERALS = 8, 4
 COVERAGE, ENOUGH = 0.5, 13
+#: Sizes of longer windows, and what share of them is literal; shorter items than ``WHOLE`` are also taken whole.
+LONGER, SHARE, WHOLE = (12, 16, 24, 32, 48, 64), 0.25, 16
 #: Bits of the table of marked windows, and words a worker remembers.
 TABLE, REMEMBERED = 24, 400_000
 #: Units: fixed values.
@@ -48,10 +53,10 @@ UNITS = frozenset(
 EDGE = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
 #: Letters, then marks that EDGE strips: most pieces.
 PLAIN = re.compile(r"([^\W\d_]+)[.,;:!?]*")
-LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
-PLACEHOLDERS = ("", "<num>", "<unit>", "<name>")
-#: What a window is matched by: its canonical words, or its raw ones.
-TEMPLATE, RAW = 0, 1
+LITERAL, NUMBER, UNIT, NAME, MARK = 0, 1, 2, 3, 4
+PLACEHOLDERS = ("", "<num>", "<unit>", "<name>", "")
+#: What a window is matched by: its canonical words, its raw ones, or its canonical words and the marks between.
+TEMPLATE, RAW, MARKED = 0, 1, 2
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -69,26 +74,33 @@ def token(piece: str) -> tuple[int, str]:
     return LITERAL, low
 
 
+def told(piece: str) -> tuple[int, str]:
+    """As ``token``, but what is no word is a mark, as it stands."""
+    kind, low = token(piece)
+    return (kind, low) if low else (MARK, piece)
+
+
 class Tokens(dict):
-    """Of a piece, 17 bytes: the hash of its placeholder or word, the hash of its word, and its kind; empty if it is no word."""
+    """Of a piece, 17 bytes: the hash of its placeholder or word, the hash of its word, and its kind."""
 
     held = tuple(xxhash.xxh3_64_digest(p) for p in PLACEHOLDERS)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        kind, low = token(piece)
+        kind, low = told(piece)
         own = xxhash.xxh3_64_digest(low)
-        found = (self.held[kind] if kind else own) + own + bytes((kind,)) if low else b""
+        found = (self.held[kind] if PLACEHOLDERS[kind] else own) + own + bytes((kind,))
         if len(piece) <= 64:
             self[piece] = found
         return found
 
-    def arrays(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Canonical hashes, raw hashes and kinds of the words among ``pieces``."""
+    def arrays(self, pieces: list[str]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Of ``pieces``, the hashes by TEMPLATE, RAW and MARKED, and whether each is a word."""
         raw = np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype=np.uint8).reshape(-1, 17)
         one, two = (np.ascontiguousarray(raw[:, i : i + 8]).view("<u8").ravel() for i in (0, 8))
-        return one, two, raw[:, 16]
+        word = raw[:, 16] != MARK
+        return ((one, two, one) if word.all() else (one[word], two[word], one)), word
 
 
 def known_tokens() -> Tokens:
@@ -102,19 +114,19 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(hashes: np.ndarray, size: int, by: int) -> np.ndarray:
-    """The hash of each window of ``size`` words, from those of windows of 1, 2, 4 .. words."""
-    n = len(hashes) - size + 1
+def windows(levels: list[np.ndarray], size: int, by: int) -> np.ndarray:
+    """The hash of each window of ``size`` words. ``levels``: the words' hashes, and then those of windows of 2, 4, 8 .. words, added as needed."""
+    n = len(levels[0]) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, at, step = _MIX[2 + by], 0, 1
-    while step <= size:
+    out, at = _MIX[2 + by], 0
+    for k in range(size.bit_length()):
+        step = 1 << k
+        if k == len(levels):
+            levels.append(_mixed(levels[-1][: -step // 2], levels[-1][step // 2 :]))
         if size & step:
-            out = _mixed(out, hashes[at : at + n])
+            out = _mixed(out, levels[k][at : at + n])
             at += step
-        if 2 * step <= size:
-            hashes = _mixed(hashes[:-step], hashes[step:])
-        step *= 2
     return out
 
 
@@ -124,7 +136,44 @@ def _told(held: list[tuple[int, str]], by: int) -> str:
 
 
 def _values(held: list[tuple[int, str]]) -> list[str]:
-    return [w for k, w in held if k != LITERAL]
+    return [w for k, w in held if k not in (LITERAL, MARK)]
+
+
+def _around(held: list[tuple[int, str]], where: Sequence[int], at: int, size: int) -> tuple[int, int] | None:
+    """The first word and the size of the least longer window of ``held``, whose words lie at ``where``, around that of ``size`` words at ``at``."""
+    for longer in sorted({*LONGER, *([len(held)] if len(held) < WHOLE else [])}):
+        if longer > len(held):
+            return None
+        word = min(at, bisect_right(where, len(held) - longer) - 1)
+        if word < 0 or where[word] + longer <= where[at + size - 1]:
+            continue
+        within = held[where[word] : where[word] + longer]
+        literal = sum(k == LITERAL for k, _ in within)
+        if literal and literal + len({w for k, w in within if k == MARK}) >= max(LITERALS, SHARE * longer):
+            return word, longer
+    return None
+
+
+def _keys(pieces: list[tuple[int, str]]) -> tuple[int, set[tuple[int, int, int, int]], set[int]]:
+    """Of an item: how many windows it has; the keys that stand for them, as by, first word, last window covered and size; and by what all its windows are matched."""
+    where = [i for i, (k, _) in enumerate(pieces) if k != MARK]
+    words = [pieces[i] for i in where]
+    size = min(WINDOW, len(words))
+    n = len(words) - size + 1
+    keys, used = {(RAW, at, at, size) for at in range(n)}, set()
+    for at in range(n):
+        if sum(k == LITERAL for k, _ in words[at : at + size]) >= min(LITERALS, size):
+            keys.add((TEMPLATE, at, at, size))
+            used.add(TEMPLATE)
+        elif found := _around(words, range(len(words)), at, size):
+            keys.add((TEMPLATE, found[0], sum(found) - size, found[1]))
+            used.add(TEMPLATE)
+        elif found := _around(pieces, where, at, size):
+            keys.add((MARKED, found[0], bisect_left(where, where[found[0]] + found[1]) - size, found[1]))
+            used.add(MARKED)
+        else:
+            used.add(RAW)
+    return n, keys, used
 
 
 def _classes(items: DataFrame) -> DataFrame:
@@ -134,16 +183,16 @@ def _classes(items: DataFrame) -> DataFrame:
     def template(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
-            pieces = [p for p in map(token, (t.as_py() or "").split()) if p[1]]
+            marked = list(map(told, (t.as_py() or "").split()))
+            pieces = [p for p in marked if p[0] != MARK]
             if not pieces:
                 out.append(None)
                 continue
-            size = min(WINDOW, len(pieces))
-            literal = np.convolve([k == LITERAL for k, _ in pieces], np.ones(size, int), "valid")
             first: dict[tuple[int, str], int] = {}
             pattern = [first.setdefault(p, i) for i, p in enumerate(pieces) if p[0] != LITERAL]
-            # a window of few literal words holds its values, and so then does the class
-            words = [w if literal.min() < min(LITERALS, size) else PLACEHOLDERS[k] or w for k, w in pieces]
+            # what only values or marks tell apart, they tell apart as a class too
+            used = _keys(marked)[2]
+            words = [w if RAW in used else PLACEHOLDERS[k] or w for k, w in (marked if MARKED in used else pieces)]
             out.append(" ".join(words) + "|" + ",".join(map(str, pattern)))
         return pa.array(out, pa.string())
 
@@ -153,8 +202,8 @@ def _classes(items: DataFrame) -> DataFrame:
 
 
 def _item_windows(classes: DataFrame) -> DataFrame:
-    """Each window of each class: item_id, n_items, at, windows, by, size, hash, window, and of each slot the first place of its value and the value."""
-    schema = StructType([classes.schema["item_id"], *(StructField(n, LongType()) for n in ("n_items", "at", "windows", "by", "size", "hash"))]).add("window", "string").add("slots", ArrayType(IntegerType())).add("own", ArrayType(StringType()))
+    """Each key of each class: item_id, n_items, at, last (the last window it stands for), windows, by, size, hash, window, and of each slot the first place of its value and the value."""
+    schema = StructType([classes.schema["item_id"], *(StructField(n, LongType()) for n in ("n_items", "at", "last", "windows", "by", "size", "hash"))]).add("window", "string").add("slots", ArrayType(IntegerType())).add("own", ArrayType(StringType()))
     rows = classes.select("item_id", "n_items", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,22 +212,23 @@ def _item_windows(classes: DataFrame) -> DataFrame:
             row, out = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 split = text.split()
-                pieces = [p for p in map(token, split) if p[1]]
-                size = min(WINDOW, len(pieces))
+                marked = list(map(told, split))
+                where = [k for k, p in enumerate(marked) if p[0] != MARK]
+                words = [marked[k] for k in where]
                 first: dict[tuple[int, str], int] = {}
-                slot = [first.setdefault(p, k) if p[0] != LITERAL else -1 for k, p in enumerate(pieces)]
-                for by, hashes in zip((TEMPLATE, RAW), tokens.arrays(split)[:2], strict=True):
-                    found = windows(hashes, size, by).view(np.int64)
-                    for at, h in enumerate(found.tolist()):
-                        held = pieces[at : at + size]
-                        if by == TEMPLATE and sum(k == LITERAL for k, _ in held) < min(LITERALS, size):
-                            continue
-                        row.append(i)
-                        # what is matched by raw words has the item's own values; else the text tells its values
-                        out.append((at, len(found), by, size, h, _told(held, by), [s for s in slot[at : at + size] if s >= 0], _values(held) if by == RAW else None))
+                slot = [first.setdefault(p, k) if p[0] != LITERAL else -1 for k, p in enumerate(words)]
+                levels = [[h] for h in tokens.arrays(split)[0]]
+                n, keys, _ = _keys(marked)
+                hashes = {by_size: windows(levels[by_size[0]], by_size[1], by_size[0]).view(np.int64) for by_size in {(by, size) for by, _, _, size in keys}}
+                for by, at, last, size in sorted(keys):
+                    start, end = (where[at], bisect_left(where, where[at] + size)) if by == MARKED else (at, at + size)
+                    held = (marked if by == MARKED else words)[start : start + size]
+                    row.append(i)
+                    # what is matched by raw words has the item's own values; else the text tells its values
+                    out.append((at, last, n, by, size, int(hashes[by, size][start]), _told(held, by), [s for s in slot[at:end] if s >= 0], _values(held) if by == RAW else None))
             take = pa.array(row, pa.int64())
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
     return rows.mapInArrow(run, schema).dropDuplicates(["item_id", "at", "by", "size", "hash", "window"])
@@ -199,18 +249,21 @@ def _text_windows(docs: DataFrame, wanted: list[tuple[int, int]], table: np.ndar
                 if not text:
                     continue
                 split = text.split()
-                arrays = tokens.arrays(split)
+                hashes, word = tokens.arrays(split)
+                levels = [[h] for h in hashes]
                 words = None
                 for by, size in wanted:
-                    found = windows(arrays[by], size, by)
+                    found = windows(levels[by], size, by)
                     slot = found >> np.uint64(64 - TABLE)
                     hit = np.flatnonzero((marked[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1)
                     if len(hit) and words is None:
-                        words = [p for p in split if tokens[p]] if len(split) != len(arrays[0]) else split
+                        words = [split[k] for k in np.flatnonzero(word)]
+                        before = np.cumsum(word) - 1
                     for at in hit.tolist():
-                        pieces = [token(p) for p in words[at : at + size]]
+                        pieces = [told(p) for p in (split if by == MARKED else words)[at : at + size]]
                         row.append(i)
-                        out.append((at, by, size, int(found[at : at + 1].view(np.int64)[0]), _told(pieces, by), None if by == RAW else _values(pieces)))
+                        place = int(before[at]) if by == MARKED else at
+                        out.append((place, by, size, int(found[at : at + 1].view(np.int64)[0]), _told(pieces, by), None if by == RAW else _values(pieces)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
@@ -226,7 +279,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, enough:
     """
     bounded_batches(docs.sparkSession)
     known = cut(_item_windows(_classes(items)))
-    wanted = sorted(tuple(r) for r in known.select("by", "size").distinct().collect())  # eight sizes at most
+    wanted = sorted(tuple(r) for r in known.select("by", "size").distinct().collect())  # few sizes, whatever the items
 
     def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
         bits = np.zeros(1 << TABLE, bool)
@@ -239,10 +292,10 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, enough:
     met = found.join(known, ["hash", "by", "size", "window"])
     diagonal = ["doc_id", "item_id", "n_items", "windows", "diagonal"]
     slots = F.explode_outer(F.arrays_zip("slots", F.coalesce("values", "own").alias("values"))).alias("slot")
-    each = met.select(*diagonal[:4], (F.col("place") - F.col("at")).alias("diagonal"), "at", slots)
+    each = met.select(*diagonal[:4], (F.col("place") - F.col("at")).alias("diagonal"), F.sequence("at", "last").alias("at"), slots)
     each = each.select(*diagonal, "at", "slot.slots", "slot.values")
     by_slot = each.groupBy(*diagonal, "slots").agg((F.min("values") != F.max("values")).alias("odd"), F.collect_set("at").alias("at"))
-    whole = by_slot.groupBy(*diagonal).agg(F.max(F.coalesce("odd", F.lit(False))).alias("odd"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"))
+    whole = by_slot.groupBy(*diagonal).agg(F.max(F.coalesce("odd", F.lit(False))).alias("odd"), F.size(F.array_distinct(F.flatten(F.flatten(F.collect_list("at"))))).cast("long").alias("matched"))
     sure = whole.where(~F.col("odd") & ((F.col("matched") >= coverage * F.col("windows")) | (F.col("matched") >= enough)))
     best = sure.groupBy(*diagonal[:4]).agg(F.max(F.struct("matched", (-F.col("diagonal")).alias("back"))).alias("b"))
     return best.select("doc_id", "item_id", "n_items", (-F.col("b.back")).alias("place"), "b.matched", "windows", (F.col("b.matched") / F.col("windows")).alias("coverage"))

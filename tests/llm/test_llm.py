@@ -151,6 +151,18 @@ def test_passages_in_other_case(spark):
     assert all(r.matched == r.windows for r in got) and {r.doc_id: r.place for r in got}[1] == 2
 
 
+def test_items_rich_in_slots(spark):
+    maria = "Maria Lopez paid 45 dollars for 9 tickets, John Smith paid 60 dollars for 12 tickets."
+    anna = maria.replace("Maria Lopez", "Anna Berg").replace("45", "7").replace("John", "Otto").replace("12", "8")
+    item = "What is 17 + 25 - 4 * 3 ?"
+    items = spark.createDataFrame([(1, maria), (2, item), (3, "What is 4 * 9 * 2 * 7 ?"), (4, "Berlin 45"), (5, "Paris 60")], "item_id long, text string")
+    texts = ["well, " + anna, anna.replace("60 dollars", "60 euros"), "so: What is 8 + 90 - 12 * 5 ? tell", "What is 8 + 90 + 12 * 5 ?", "It is 8 , 9 , 10 , 11", "Rome 45", "paris 60", "| 1 | 2 | 3 | 4 |"]
+    got = decontaminate.leaks(documents(spark, texts), items).collect()
+    # a repeated unit must stay repeated; other marks are another question; placeholders alone are none
+    assert {(r.doc_id, r.item_id, r.place) for r in got} == {(0, 1, 1), (2, 2, 1), (6, 5, 0)}
+    assert all(r.matched == r.windows and r.n_items == 1 for r in got)
+
+
 def test_exact_passages_are_found_at_scale(spark):
     docs, items = (queries.table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "benchmark"))
     flat = lambda t: " ".join((t or "").lower().split())
