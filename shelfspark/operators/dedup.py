@@ -30,18 +30,19 @@ def bands(h: Column, most: int, bits: int = 64) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("band"), piece(i).alias("bits")) for i in range(n)))
 
 
-def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, distance), a < b, of rows of ``hashes`` (idx, hash) at a distance of ``most`` or less. Exact, without a cross join.
 
-    Equal hashes meet once, as one row each; pairs of distinct hashes come from the first band that they share.
+    Equal hashes meet once, as one row each; pairs of distinct hashes come from the first band that they share. Only
+    rows meet that are equal in the columns ``within``.
     """
-    codes = hashes.select("hash").distinct().withColumn("b", F.explode(bands(F.col("hash"), most, bits))).select("hash", "b.band", "b.bits")
-    x, y = codes.select(F.col("hash").alias("x"), "band", "bits"), codes.select(F.col("hash").alias("y"), "band", "bits")
-    met = x.join(y, ["band", "bits"]).where("x < y")
-    near = met.withColumn("distance", hamming(F.col("x"), F.col("y"))).where(F.col("distance") <= most).select("x", "y", "distance").distinct()
-    both = near.unionByName(hashes.select(F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("distance")).distinct())
-    a, b = hashes.select(F.col("idx").alias("a"), F.col("hash").alias("x")), hashes.select(F.col("idx").alias("b"), F.col("hash").alias("y"))
-    pairs = both.join(a, "x").join(b, "y").where("a <> b")
+    codes = hashes.select(*within, "hash").distinct().withColumn("b", F.explode(bands(F.col("hash"), most, bits))).select(*within, "hash", "b.band", "b.bits")
+    x, y = codes.select(*within, F.col("hash").alias("x"), "band", "bits"), codes.select(*within, F.col("hash").alias("y"), "band", "bits")
+    met = x.join(y, [*within, "band", "bits"]).where("x < y")
+    near = met.withColumn("distance", hamming(F.col("x"), F.col("y"))).where(F.col("distance") <= most).select(*within, "x", "y", "distance").distinct()
+    both = near.unionByName(hashes.select(*within, F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("distance")).distinct())
+    a, b = hashes.select(*within, F.col("idx").alias("a"), F.col("hash").alias("x")), hashes.select(*within, F.col("idx").alias("b"), F.col("hash").alias("y"))
+    pairs = both.join(a, [*within, "x"]).join(b, [*within, "y"]).where("a <> b")
     # rows of one hash meet both ways; rows of two hashes one way
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     return pairs.distinct()
@@ -101,14 +102,15 @@ def tile_pairs(hashes: DataFrame, most: int, per_tile: int, n_tiles: int) -> Dat
     return met.withColumn("distance", tile_distance(F.col("ta"), F.col("tb"), per_tile)).where(F.col("distance") <= most).select("a", "b", "distance")
 
 
-def group_mismatches(hashes: DataFrame, most: int, min_std: float = THRESHOLDS["min_detail_std"]) -> DataFrame:
+def group_mismatches(hashes: DataFrame, most: int, min_std: float = THRESHOLDS["min_detail_std"], within: tuple[str, ...] = ()) -> DataFrame:
     """Tagged rows of ``hashes`` (idx, hash, tag, detail_std) whose nearest tagged neighbour has another tag and is near.
 
     (idx, own, nearest, nearest_idx, distance, own_distance): ties go to the lesser idx; own_distance is the nearest of
-    the own tag within ``most``, null if none. Only neighbours within ``most`` can make a mismatch, so only these meet.
+    the own tag within ``most``, null if none. Only neighbours within ``most`` can make a mismatch, so only these meet,
+    and only if equal in the columns ``within``; idx is unique over all of these.
     """
     tagged = hashes.where(F.col("tag").isNotNull() & (F.col("detail_std") >= min_std))
-    pairs = hamming_pairs(tagged.select("idx", "hash"), most)
+    pairs = hamming_pairs(tagged.select(*within, "idx", "hash"), most, within=within)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     own = tagged.select(F.col("idx").alias("a"), F.col("tag").alias("own"))
     other = tagged.where("tag <> ''").select(F.col("idx").alias("b"), F.col("tag").alias("other"))

@@ -21,13 +21,13 @@ def run(images: DataFrame, main: DataFrame | None = None, rules: dict = RULES, t
     rows = cut(rows.withColumn("is_main", audit.main_flag(F.col("idx"), F.col("main_index"))))
     checked = cut(audit.checks(rows.drop("main_index"), rules))
     supplied = rows.groupBy("set_id").agg(F.count("*").alias("n_images"))
-    # duplicates and mismatches are told within a set: its id parts the hashes of sets
+    # duplicates and mismatches are told within a set
     report = dedup.near_duplicates(rows.select(F.struct("set_id", "idx").alias("idx"), "dhash", "phash", "tiles", "detail_std"), thresholds)
     pairs = report["pairs"].where("a.set_id = b.set_id")
     clusters = dedup.clusters(pairs).select("idx.set_id", F.col("cluster.idx").alias("cluster"), F.col("idx.idx").alias("idx"))
     most = report["threshold"]
     mismatches = None
     if most is not None:
-        tagged = rows.where("tag is not null").select(F.struct("set_id", "idx").alias("idx"), F.col(report["method"]).alias("hash"), "tag", "detail_std")
-        mismatches = dedup.group_mismatches(tagged, most).where("idx.set_id = nearest_idx.set_id").select("idx.set_id", F.col("idx.idx").alias("idx"), "own", "nearest")
+        tagged = rows.where("tag is not null").select("set_id", F.struct("set_id", "idx").alias("idx"), F.col(report["method"]).alias("hash"), "tag", "detail_std")
+        mismatches = dedup.group_mismatches(tagged, most, within=("set_id",)).select("idx.set_id", F.col("idx.idx").alias("idx"), "own", "nearest")
     return {"checks": checked, "pairs": pairs, "mismatches": mismatches, "payloads": audit.payloads(checked, supplied, rules, clusters, mismatches)}

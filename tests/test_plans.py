@@ -145,6 +145,14 @@ def test_audit(spark):
     assert json.loads(image_audit.run(table)["payloads"].first().payload)["caveat"]
 
 
+def test_audit_of_sets_that_share_photos(spark):
+    # in set b, an equal image of set a comes first in order, and is tagged as the image itself
+    rows = [(s, i, f"{s}{i}", 96, 96, 3, bytearray(_pixels(2).tobytes()), "JPEG", t) for s, i, t in [("a", 0, "x"), ("b", 0, "x"), ("b", 1, "y")]]
+    table = spark.createDataFrame(rows, "set_id string, idx long, image_id string, width int, height int, n_channels int, data binary, format string, tag string")
+    found = image_audit.run(table)["mismatches"].collect()
+    assert {(r.set_id, r.idx, r.own, r.nearest) for r in found} == {("b", 0, "x", "y"), ("b", 1, "y", "x")}
+
+
 def test_calibration(spark):
     from shelfspark.operators import calibration, pixels
 
