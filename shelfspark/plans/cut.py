@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,13 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is no longer referred to: it does so only when garbage is collected.
+def tabled(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as written to Parquet in the shared folder, and where: narrower than a checkpoint, for ``dropped`` to delete."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
-    Loops of many small rounds call it, as their files would else stay until the driver's heap happens to fill.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes what ``tabled`` wrote, once nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def width(spark: SparkSession) -> int:
