@@ -1,35 +1,38 @@
 """N-gram Jaccard join by signature trees: documents whose sets of word shingles are alike, and their components.
 
-A document's set holds the hashes (64 bits) of its distinct shingles of five words. Equal sets are one node, told by a
-hash of the set; the rest works on nodes.
+A document's set holds the hashes (64 bits) of its distinct shingles of five words. Equal sets are one node, told by 128
+bits; a node goes by the first 64 of them unless two nodes have these in common. The rest works on nodes.
 
 1. Keys. With shingles in one order for all, rarest first, two linked nodes share one of their first
    n - ceil(0.75 n) + 1. Rarity is a count over all documents in a table of fixed width, so words, lines and
-   passages that many documents share come last and are seldom keys.
-2. Pivots. In the group of a key every node is paired with the smallest; in a further round, with
-   a few that are drawn, if of other components. Pairs that survive their bitmaps are verified by their texts, and links join components.
+   passages that many documents share come last and are seldom keys. Keys are range-sorted by (key, size, node), so a
+   common key spans partitions, and a group is read off the sorted rows; nothing is gathered by key.
+2. Pivots. In a group, a node of every 64 is a pivot, told by its own hash and so the same one in many groups, and so is
+   the first of each range of sizes. Each node is paired with the pivot before it, and pivots likewise with one of 4096.
+   Pairs that survive their bitmaps are verified by their shingles, and links join components. A second round does
+   the same with one node of each component of a group.
 3. Trees. A group that still holds nodes of different components gets a signature tree: its nodes sorted by component
    and size, leaves of 64 nodes, inner nodes of 64 below them, each with the OR of the bitmaps, the range of sizes
    and the least number of bits that a link must share. A dual traversal starts at the root and itself and drops
    pairs whose sizes cannot match, whose common bits are too few for any link, or that lie in one component. Pairs of
-   single nodes that are left, and that no round has tested, are verified by their texts.
+   single nodes that are left, and that no round has tested, are verified by their shingles. Subtrees of one group in
+   several partitions meet by a traversal of the levels above them.
 
 No pruning loses a link: if at most n_a - o shingles of a are not in b, at most as many bits of a are not in b.
 Bitmaps have two bits a shingle or more; in trees they are folded to 1024.
 
 Hot groups: equal texts are one node; near copies end in one component after step 2 and are not compared again;
-large groups are split over leaves. No partner is capped.
+large groups are split over partitions, subtrees and leaves. No partner is capped. There is one way for all sizes.
 
 Defined results: null and empty texts, or white space only, have an empty set, link with nothing and are their own
-component; fewer than five words are one shingle. Repeated rows of a doc_id are given back each, in one component if
-their sets are equal. A null doc_id is never the name of a component if there is another. An empty table gives no
-rows. Extra columns are ignored.
+component; fewer than five words are one shingle. Very long texts are read whole, in batches bounded by bytes. Repeated
+rows of a doc_id are given back each, in one component if their sets are equal. A null doc_id is never the name of a
+component if there is another. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import struct
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -40,33 +43,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..operators.graph import connected_components
-from ..plans.cut import bounded_batches, cut, release
+from ..plans.cut import bounded_batches, cut, dropped, tabled, width
 from . import labelled
 from .memo import remembered
 
 WORDS, PERCENT = 5, 75
 #: Counters of shingles, by the first bits of their hash; least and greatest width of a bitmap; children of a tree's node.
-COUNTERS, BITS, WIDEST, FAN = 17, 10, 17, 64
-#: Keys that a tree's member carries, the least it has, and words remembered while texts are verified.
-KEYS, REMEMBERED_FEW = 16, 40_000
-#: Rounds of pivots, and pivots of a group from the second on. What they leave, however much, the trees find.
-ROUNDS, PIVOTS = 2, 8
-#: Wanted documents whose ids may be broadcast.
-FEW = 100_000
+COUNTERS, BITS, WIDEST, FAN = 19, 10, 17, 64
+#: Rounds of pivots. What they leave, however much, the trees find.
+ROUNDS = 2
+#: Members of a subtree that one task walks, and rows of the sorted keys that it reads at once.
+SUBTREE, BLOCK = 4096, 200_000
 #: Bits of the table that tells which documents are wanted, and words or sets that a worker remembers.
-WANTED, REMEMBERED = 23, 250_000
+WANTED, REMEMBERED = 23, 150_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class WordHashes(dict):
     """Eight bytes of hash for each word."""
 
-    def __init__(self, most: int = REMEMBERED):
-        super().__init__()
-        self.most = most
-
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
+        if len(self) >= REMEMBERED:
             self.clear()
         found = xxhash.xxh3_64_digest(word)
         if len(word) <= 64:
@@ -74,6 +71,11 @@ class WordHashes(dict):
         return found
 
 
+def word_hashes() -> WordHashes:
+    """One for a worker, whatever tasks it runs."""
+    return remembered("word_hashes", WordHashes)
+
+
 def shingles(text: bytes | None, words: WordHashes, size: int = WORDS) -> np.ndarray:
     """The sorted hashes of the distinct shingles of ``text``; lower() and split() of bytes know ASCII only, as the words do."""
     h = np.frombuffer(b"".join(map(words.__getitem__, (text or b"").lower().split())), dtype="<u8")
@@ -87,9 +89,9 @@ def shingles(text: bytes | None, words: WordHashes, size: int = WORDS) -> np.nda
     return np.unique(out)
 
 
-def node_of(found: np.ndarray) -> int:
-    """A set's name."""
-    return struct.unpack("<q", xxhash.xxh3_64_digest(found.tobytes()))[0]
+def name_of(found: np.ndarray) -> tuple[int, int]:
+    """A set's 128 bits, as two numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(found.tobytes()))
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -117,6 +119,14 @@ def may_link(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
     return int(np.bitwise_count(x).sum()) - common <= n_a - need and int(np.bitwise_count(y).sum()) - common <= n_b - need
 
 
+def are_linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets have a similarity of ``percent`` / 100 or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def counter_of(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
@@ -129,38 +139,51 @@ def keys_of(found: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np
     return found[np.partition(place, p - 1)[:p] % n] if p < n else found
 
 
+def row_marks(text: Column) -> list[Column]:
+    """128 bits that tell a row's text, as two numbers, without Python."""
+    return [F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(7919), text).alias("m2")]
+
+
 def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, node and bitmap of each row, and how many documents have a shingle of each counter."""
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    schema = StructType([rows.schema["doc_id"], StructField("n", LongType()), StructField("node", LongType()), StructField("bits", BinaryType()), StructField("counts", BinaryType())])
+    """doc_id, m1, m2, n, h1 and h2 (the set's name) of each row, and how many documents have a shingle of each counter."""
+    rows = docs.select("doc_id", *row_marks(F.col("text")), F.col("text").cast("binary").alias("text"))
+    longs = [StructField(c, LongType()) for c in ("m1", "m2", "n", "h1", "h2")]
+    schema = StructType([rows.schema["doc_id"], *longs, StructField("counts", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = word_hashes(), np.zeros(1 << COUNTERS, dtype=np.int64)
+        kind = None
         for batch in batches:
-            found = [shingles(t.as_py(), words, size) for t in batch.column(1)]
-            if found:
-                counts += np.bincount(counter_of(np.concatenate(found)), minlength=1 << COUNTERS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([node_of(s) for s in found], pa.int64()),
-                    pa.array([bitmap(s) for s in found], pa.binary()),
-                    pa.nulls(len(found), pa.binary()),
-                ],
-                names=schema.names,
-            )
+            kind = batch.column(0).type
+            found = [shingles(t.as_py(), words, size) for t in batch.column(3)]
+            for s in found:
+                np.add.at(counts, counter_of(s), 1)
+            names = np.array([name_of(s) for s in found], dtype=np.int64).reshape(-1, 2)
+            made = [pa.array(x) for x in ([len(s) for s in found], names[:, 0], names[:, 1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made[0].cast(pa.int64()), *made[1:], pa.nulls(len(found), pa.binary())], names=schema.names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in longs), pa.array([labelled.packed(counts)], pa.binary())], names=schema.names)
 
     both = cut(rows.mapInArrow(run, schema))
-    total = labelled.summed(both.where("counts is not null"), "counts", lambda arrays: sum((np.frombuffer(x.as_py(), dtype=np.int64) for a in arrays for x in a), np.zeros(1 << COUNTERS, dtype=np.int64)))
-    return both.where("counts is null").drop("counts"), np.zeros(1 << COUNTERS, dtype=np.int64) if total is None else total
+    none = np.zeros(1 << COUNTERS, dtype=np.int64)
+    total = labelled.summed(both.where("counts is not null"), "counts", lambda arrays: sum((labelled.unpacked(x.as_py()) for a in arrays for x in a), none))
+    return both.where("counts is null").drop("counts"), none if total is None else total
+
+
+def _clashes(sets: DataFrame) -> list[int]:
+    """First halves that sets with other second halves share: of m sets, m^2 / 2^65 may be expected, so none or very few."""
+    met = sets.where("n > 0").groupBy("h1").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a <> b")
+    return sorted(r.h1 for r in met.select("h1").collect())
 
 
-def _keys(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+def _node(h1: int, h2: int, clashes: frozenset[int]) -> int:
+    return h2 if h1 in clashes else h1
+
+
+def _keys(docs: DataFrame, counts: np.ndarray, clashes: list[int], size: int, percent: int) -> DataFrame:
     """(key, node, n) of each node and each of its keys; a node that a task meets again is left out there."""
     held = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed width
+    odd = frozenset(clashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, seen = word_hashes(), held.value, set()
@@ -182,7 +205,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataF
                 found = shingles(text.as_py(), words, size)
                 if not len(found):
                     continue
-                node = node_of(found)
+                node = _node(*name_of(found), odd)
                 if node in seen:
                     continue
                 if len(seen) >= REMEMBERED:
@@ -199,10 +222,6 @@ def _keys(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataF
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, n int")
 
 
-def sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def least_common(n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The shingles that sets of these sizes share at least if linked."""
     return -(-percent * (n_a + n_b) // (100 + percent))
@@ -217,133 +236,288 @@ def bits_fit(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
     return (only_a <= n_a - need) & (only_b <= n_b - need) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def _unpacked(packed: Iterable[bytes]) -> np.ndarray:
-    """Bits of bitmaps folded to the least width, a row each."""
-    rows = [folded(x, (1 << BITS) // 8) for x in packed]
-    return np.unpackbits(np.stack(rows), axis=1) if rows else np.zeros((0, 1 << BITS), np.uint8)
+def pivots(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Of each row the row of its pivot, before it or itself; rows are sorted by group, size and node, ``starts``: where groups begin."""
+    n = len(nodes)
+    first = np.zeros(n, bool)
+    first[starts] = True
+    # rows of one range of sizes always fit each other by size
+    ranges = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent) + 1e-9)
+    turn = first.copy()
+    turn[1:] |= ranges[1:] != ranges[:-1]
+    drawn = nodes.view(np.uint64) >> np.uint64(7)
+    low = turn | (drawn % np.uint64(FAN) == 0)
+    high = turn | (drawn % np.uint64(FAN * FAN) == 0)
+    at = np.arange(n)
+    near = np.maximum.accumulate(np.where(low, at, 0))
+    before = lambda flags: np.concatenate([[0], np.maximum.accumulate(np.where(flags, at, 0))[:-1]]) if n else at
+    group = np.maximum.accumulate(np.where(first, at, 0))
+    out = np.where(low, np.maximum(before(high), group), near)
+    out = np.where(high, np.maximum(before(turn), group), out)
+    return np.where(first, at, out)
+
+
+def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Groups of two nodes and more among ``rows`` (key, node, n): key, node, n, pivot and pivot_n.
+
+    A range sort splits a large group over partitions; the first rows of its parts get the group's first as their pivot.
+    Of each partition its first and its last group are told to the driver: two rows, whatever they hold.
+    """
+    order = ["key", "n", "node"]
+    dealt = rows.repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held: list[tuple[np.ndarray, ...]] = []
+        count, begun = 0, False
+
+        def handed(columns: tuple[np.ndarray, ...], last: bool) -> pa.RecordBatch:
+            nonlocal begun
+            key, node, n = columns
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])
+            key, node, n = key[fresh], node[fresh], n[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            lengths = np.diff(np.append(starts, len(key)))
+            pivot = pivots(starts, node, n, percent)
+            edge = np.zeros(len(starts), bool)
+            edge[0] |= not begun
+            edge[-1] |= last
+            begun = True
+            keep = np.repeat((lengths > 1) | edge, lengths)
+            out = [key, node, n, node[pivot], n[pivot]]
+            return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in out), pa.array(np.where(np.repeat(edge, lengths), part, -1)[keep].astype(np.int32))], names=["key", "node", "n", "pivot", "pivot_n", "edge"])
 
-def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose bitmaps allow a link."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+            count += batch.num_rows
+            if count >= BLOCK:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last group may go on
+                if end:
+                    yield handed(tuple(x[:end] for x in columns), False)
+                held = [tuple(x[end:] for x in columns)]
+                count = len(held[0][0])
+        if held:
+            yield handed(tuple(np.concatenate(x) for x in zip(*held, strict=True)), True)
+
+    found = cut(dealt.mapInArrow(run, "key long, node long, n int, pivot long, pivot_n int, edge int"))
+    ends = found.where("edge >= 0").groupBy("key", "edge").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("first")).collect()
+    by_key: dict[int, list] = {}
+    for r in sorted(ends, key=lambda r: (r.key, r.edge)):
+        by_key.setdefault(r.key, []).append(r)
+    spark = rows.sparkSession
+    alone = spark.createDataFrame([(k,) for k, v in by_key.items() if sum(r.c for r in v) == 1], "key long")
+    found = found.join(F.broadcast(alone), "key", "left_anti")  # of a row a partition and end at most
+    more = [(k, r.edge, r.first.node, v[0].first.node, v[0].first.n) for k, v in by_key.items() for r in v[1:]]
+    fixed = F.broadcast(spark.createDataFrame(more, "key long, edge int, node long, whole long, whole_n int"))
+    return found.join(fixed, ["key", "edge", "node"], "left").select("key", "node", "n", F.coalesce("whole", "pivot").alias("pivot"), F.coalesce("whole_n", "pivot_n").alias("pivot_n"))
+
+
+def _stars(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes and their pivots."""
+    fit = groups.where((F.col("node") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
+    return fit.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
-    @F.arrow_udf(BooleanType())
-    def fits(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        columns = (x.to_pylist() for x in (bits_a, bits_b, n_a, n_b))
-        return pa.array([may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
 
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
+def _held(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) -> DataFrame:
+    """node, n, bits and shingles of the nodes ``wanted`` (node, doc_id).
 
+    All texts are read; those whose doc_id a table of fixed width marks go on, which are the wanted and few others.
+    """
 
-def word_hashes() -> WordHashes:
-    """One for a worker, whatever tasks it runs."""
-    return remembered("word_hashes", WordHashes)
+    def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
+        table = np.zeros(1 << WANTED, bool)
+        for x in arrays:
+            table[x.to_numpy()] = True
+        return np.packbits(table).view(np.int64)
 
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << WANTED)).alias("slot")
+    table = labelled.summed(wanted.select(slot("doc_id")), "slot", marked, np.bitwise_or)
+    held, odd = docs.sparkSession.sparkContext.broadcast(table), frozenset(clashes)
 
-def few_hashes() -> WordHashes:
-    """As ``word_hashes``, for the several workers that a task uses at once while pairs are verified."""
-    return remembered("few_hashes", lambda: WordHashes(REMEMBERED_FEW))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = word_hashes(), set()
+        table = None if held.value is None else held.value.view(np.uint8)
+        for batch in batches:
+            if table is None:
+                return
+            at = batch.column(0).to_numpy()
+            named = np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            out, bulk = [], 0
+            for i in named.tolist():
+                found = shingles(batch.column(1)[i].as_py(), words, size)
+                node = _node(*name_of(found), odd) if len(found) else None
+                if node is None or node in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(node)
+                out.append((node, len(found), bitmap(found), found.tobytes()))
+                bulk += 8 * len(found)
+                if bulk > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out, bulk = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
+    names, kinds = ["node", "n", "bits", "shingles"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    read = docs.select(slot("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, n int, bits binary, shingles binary")
+    return cut(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are linked. Only texts that pairs name are shuffled, and few others."""
-    wanted = nodes.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi")
-    wanted = cut(wanted.select("doc_id").distinct())
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
-    if wanted.count() <= FEW:
-        few = F.broadcast(wanted.withColumnRenamed("doc_id", "wanted"))
-        rows = rows.join(few, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").withColumn("slot", F.lit(None).cast("long"))
-        table = None
-    else:
-        # too many to broadcast: a table of fixed width lets through those that are wanted, and few others
+def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Those of ``pairs`` (a, b) whose bitmaps allow a link, and those of them whose sets are linked."""
 
-        def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
-            table = np.zeros(1 << WANTED, bool)
-            for x in arrays:
-                table[x.to_numpy()] = True
-            return np.packbits(table).view(np.int64)
+    @F.arrow_udf(BooleanType())
+    def fits(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+        rows = zip(bits_a, bits_b, n_a.to_pylist(), n_b.to_pylist(), strict=True)
+        return pa.array([may_link(x.as_py(), y.as_py(), n, m, percent) for x, y, n, m in rows], pa.bool_())
 
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED))
-        table = labelled.summed(wanted.select(slot.alias("slot")), "slot", marked, np.bitwise_or)
-        rows = rows.withColumn("slot", slot)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    @F.arrow_udf(BooleanType())
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([are_linked(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in row), percent) for row in zip(a, b, strict=True)], pa.bool_())
 
-    @F.arrow_udf(LongType())
-    def node(slots: pa.Array, texts: pa.Array) -> pa.Array:
-        if held.value is None:
-            named = np.ones(len(slots), bool)
-        else:
-            at = slots.to_numpy()
-            named = (held.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return pa.array([node_of(shingles(t.as_py(), few_hashes(), size)) if m else None for m, t in zip(named, texts, strict=True)], pa.int64())
+    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+        for x in ("b", "a"):
+            pairs = pairs.join(held.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+        return pairs
 
-    node = node.asNondeterministic()  # else it is evaluated anew in each filter that the optimizer adds
-    texts = rows.select(node("slot", "text").alias("node"), "text").where("node is not null").dropDuplicates(["node"])
+    fit = cut(beside(pairs, "n", "bits").where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b"))
+    return fit, cut(beside(fit, "shingles").where(linked("shingles_a", "shingles_b")).select("a", "b"))
 
-    @F.arrow_udf(BooleanType())
-    def linked(a: pa.Array, b: pa.Array, text_a: pa.Array, text_b: pa.Array) -> pa.Array:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def found(name: int, text: pa.Scalar) -> np.ndarray:
-            if name in recent:
-                recent.move_to_end(name)
-            else:
-                recent[name] = shingles(text.as_py(), few_hashes(), size)
-                if len(recent) > 256:
-                    recent.popitem(last=False)
-            return recent[name]
+def _contested(shared: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Rows of groups that hold nodes of two components or more, with the component; of groups of the same nodes, one."""
+    own = shared.withColumn("component", F.col("node")) if names is None else shared.join(names, "node", "left")
+    known = own.select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
+    groups = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), *marks).where("c0 <> c1")
+    return cut(known.join(groups.groupBy("k", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
 
-        out = []
-        for i, j, one, other in zip(a.to_pylist(), b.to_pylist(), text_a, text_b, strict=True):
-            x, y = found(i, one), found(j, other)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pa.array(out, pa.bool_())
 
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    out = cut(pairs.join(side("b"), "b").join(side("a"), "a").where(linked("a", "b", "text_a", "text_b")).select("a", "b"))
-    release(docs.sparkSession)
-    return out
+def _unpacked(packed: Iterable[bytes]) -> np.ndarray:
+    """Bits of bitmaps folded to the least width, a row each."""
+    rows = [folded(x, (1 << BITS) // 8) for x in packed]
+    return np.unpackbits(np.stack(rows), axis=1) if rows else np.zeros((0, 1 << BITS), np.uint8)
 
 
-def _or_bits(packed: Iterable[bytes]) -> bytes:
-    return np.bitwise_or.reduce(np.stack([folded(x, (1 << BITS) // 8) for x in packed])).tobytes()
+class Subtree(NamedTuple):
+    """Members of a group in the order of their components and sizes, as arrays; bits: a folded bitmap each."""
 
+    node: np.ndarray
+    n: np.ndarray
+    comp: np.ndarray
+    bits: np.ndarray
 
-def _leaves(contested: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Leaves of the trees: key, at, and their members with folded bitmaps and the least of their keys."""
+    def part(self, at: int) -> Subtree:
+        return Subtree(*(x[at * FAN : (at + 1) * FAN] for x in self))
+
+    def told(self, percent: int) -> tuple[np.ndarray, int, int, int, int | None]:
+        """What a tree's node over all members knows: bits, least and greatest size, bits that a link shares at least, and the component if it is one."""
+        own = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        need = int((own - self.n * (100 - percent) // 100).min())
+        return np.bitwise_or.reduce(self.bits), int(self.n.min()), int(self.n.max()), need, int(self.comp[0]) if (self.comp == self.comp[0]).all() else None
 
-    @F.arrow_udf(BinaryType())
-    def small(bits: pa.Array) -> pa.Array:
-        return pa.array([folded(x, (1 << BITS) // 8).tobytes() for x in bits.to_pylist()], pa.binary())
 
-    order = Window.partitionBy("key").orderBy("comp", "n", "node")
-    placed = contested.withColumn("at", F.floor((F.row_number().over(order) - 1) / FAN).cast("long"))
-    # a node has no more keys than shingles
-    own = contested.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, KEYS).alias("keys"))
-    known = own.join(nodes, "node").select("node", small("bits").alias("bits"), "keys")
-    member = F.struct("node", "n", "comp", "bits", "keys")
-    return placed.join(known, "node").groupBy("key", "at").agg(F.array_sort(F.collect_list(member)).alias("members"))
+def leaf_pairs(a: list[tuple], b: list[tuple], percent: int) -> np.ndarray:
+    """Which pairs of tree nodes, as ``told``, may hold a link between components: a matrix."""
+    bits = [np.unpackbits(np.stack([x[0] for x in z]), axis=1).astype(np.float32) for z in (a, b)]
+    least, most, need = ([np.array([x[i] for x in z], dtype=np.int64) for z in (a, b)] for i in (1, 2, 3))
+    sizes = (100 * most[0][:, None] >= percent * least[1][None, :]) & (100 * most[1][None, :] >= percent * least[0][:, None])
+    enough = bits[0] @ bits[1].T >= np.maximum(need[0][:, None], need[1][None, :])
+    apart = np.array([[x[4] is None or x[4] != y[4] for y in b] for x in a])
+    return sizes & enough & apart
 
 
-def _described(leaves: DataFrame, percent: int) -> DataFrame:
-    """What the traversal knows of each leaf."""
+def compared(x: Subtree, y: Subtree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of two leaves that may be linked and are in two components."""
+    fit = x.comp[:, None] != y.comp[None, :]
+    if fit.any():
+        fit &= bits_fit(np.unpackbits(x.bits, axis=1), np.unpackbits(y.bits, axis=1), x.n.astype(np.int64), y.n.astype(np.int64), percent)
+    i, j = np.nonzero(fit)
+    return np.minimum(x.node[i], y.node[j]), np.maximum(x.node[i], y.node[j])
+
 
-    @F.arrow_udf("struct<bits:binary,need:int>")
-    def told(members: pa.Array) -> pa.Array:
-        out = []
-        for group in members.to_pylist():
-            own = _unpacked(m["bits"] for m in group).sum(1)
-            sizes = np.array([m["n"] for m in group], dtype=np.int64)
-            out.append({"bits": _or_bits(m["bits"] for m in group), "need": int((own - sizes * (100 - percent) // 100).min())})
-        return pa.array(out, pa.struct([("bits", pa.binary()), ("need", pa.int32())]))
+def traversed(x: Subtree, y: Subtree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that a dual traversal of two subtrees, or of one and itself, leaves."""
+    same = x is y
+    leaves = [[z.part(i) for i in range(-(-len(z.node) // FAN))] for z in ((x,) if same else (x, y))]
+    told = [[leaf.told(percent) for leaf in z] for z in leaves]
+    for i, j in zip(*np.nonzero(leaf_pairs(told[0], told[-1], percent)), strict=True):
+        if not same or i <= j:
+            found = compared(leaves[0][i], leaves[-1][j], percent)
+            if len(found[0]):
+                yield found
 
-    x = leaves.withColumn("t", told("members"))
-    comps = F.transform("members", lambda m: m["comp"])
-    sizes = F.transform("members", lambda m: m["n"])
-    return x.select("key", "at", F.col("t.bits").alias("bits"), F.array_min(sizes).alias("least"), F.array_max(sizes).alias("most"), F.col("t.need").alias("need"), F.when(F.array_min(comps) == F.array_max(comps), F.array_min(comps)).alias("comp"))
+
+_WALKED = "a long, b long, key long, at long, bits binary, least int, most int, need int, comp long, members binary"
+_MEMBER = np.dtype([("node", "<i8"), ("n", "<i4"), ("comp", "<i8"), ("bits", "u1", (1 << BITS) // 8)])
+
+
+def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
+    """Of ``rows`` (key, comp, n, node, bits), sorted: pairs (a, b) within each subtree; and the subtrees of groups that have, or may have, several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
+        turn, begun = 0, False
+        empty = [pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())]
+        names = [c.split()[0] for c in _WALKED.split(", ")]
+
+        def pairs(tree: Subtree) -> Iterator[pa.RecordBatch]:
+            for a, b in traversed(tree, tree, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), e.type) for e in empty[2:])], names=names)
+
+        def walked(key: int, group: Subtree, several: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal turn
+            several |= len(group.node) > subtree
+            for at in range(0, len(group.node), subtree):
+                tree = Subtree(*(x[at : at + subtree] for x in group))
+                if len(tree.node) > 1 and not (tree.comp == tree.comp[0]).all():
+                    yield from pairs(tree)
+                if several:
+                    bits, least, most, need, comp = tree.told(percent)
+                    held = np.zeros(len(tree.node), _MEMBER)
+                    held["node"], held["n"], held["comp"], held["bits"] = tree
+                    values = [None, None, key, base + turn, bits.tobytes(), least, most, need, comp, held.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], e.type) for v, e in zip(values, empty, strict=True)], names=names)
+                    turn += 1
+
+        def groups(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal begun
+            key = columns[0]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                edge = (not begun and i == 0) or (last and i == len(starts) - 1)
+                yield from walked(int(key[s]), Subtree(columns[3][s:e], columns[2][s:e], columns[1][s:e], columns[4][s:e]), edge)
+            begun = True
+
+        held: list[list[np.ndarray]] = []
+        count = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            small = np.stack([folded(x.as_py(), (1 << BITS) // 8) for x in batch.column(4)])
+            held.append([*(batch.column(i).to_numpy() for i in range(4)), small])
+            count += batch.num_rows
+            if count >= BLOCK // 4:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                end = int(np.searchsorted(columns[0], columns[0][-1]))
+                if end:
+                    yield from groups([x[:end] for x in columns], False)
+                held = [[x[end:] for x in columns]]
+                count = len(held[0][0])
+        if held:
+            yield from groups([np.concatenate(x) for x in zip(*held, strict=True)], True)
+
+    return rows.mapInArrow(run, _WALKED)
 
 
 def _above(level: DataFrame) -> DataFrame:
@@ -351,13 +525,13 @@ def _above(level: DataFrame) -> DataFrame:
 
     @F.arrow_udf(BinaryType())
     def joined(lists: pa.Array) -> pa.Array:
-        return pa.array([_or_bits(x) for x in lists.to_pylist()], pa.binary())
+        return pa.array([np.bitwise_or.reduce(np.stack([np.frombuffer(b, dtype=np.uint8) for b in x])).tobytes() for x in lists.to_pylist()], pa.binary())
 
     return (
         level.withColumn("at", F.floor(F.col("at") / FAN).cast("long"))
         .groupBy("key", "at")
-        .agg(F.collect_list("bits").alias("all"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("need").alias("need"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("comp").alias("k"), F.count("*").alias("n"))
-        .select("key", "at", joined("all").alias("bits"), "least", "most", "need", F.when((F.col("k") == F.col("n")) & (F.col("c0") == F.col("c1")), F.col("c0")).alias("comp"))
+        .agg(F.collect_list("bits").alias("all"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("need").alias("need"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("comp").alias("k"), F.count("*").alias("c"))
+        .select("key", "at", joined("all").alias("bits"), "least", "most", "need", F.when((F.col("k") == F.col("c")) & (F.col("c0") == F.col("c1")), F.col("c0")).alias("comp"))
     )
 
 
@@ -376,129 +550,85 @@ def _met(pairs: DataFrame, level: DataFrame, percent: int) -> DataFrame:
     return both.where(apart & sizes).where(enough).select("key", "x", "y")
 
 
-def _compared(key: int, x: list[dict], y: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of two leaves that may be linked and are in two components.
-
-    A pair that is known to share a lesser key is left to that key's tree, so pairs aren't made again and again.
-    """
-    n, c, k = ([np.array([m[f] for m in z], dtype=np.int64) for z in (x, y)] for f in ("n", "comp", "node"))
-    names: dict[int, int] = {}
-    for z in (x, y):
-        for m in z:
-            for lesser in m["keys"]:
-                if lesser < key:
-                    names.setdefault(lesser, len(names))
-    has = [np.zeros((len(z), len(names)), np.float32) for z in (x, y)]
-    for z, into in zip((x, y), has, strict=True):
-        for i, m in enumerate(z):
-            into[i, [names[lesser] for lesser in m["keys"] if lesser < key]] = 1
-    fit = (has[0] @ has[1].T == 0) & (c[0][:, None] != c[1][None, :])
-    if fit.any():
-        fit &= bits_fit(*(_unpacked(m["bits"] for m in z) for z in (x, y)), *n, percent)
-    i, j = np.nonzero(fit)
-    return np.minimum(k[0][i], k[1][j]), np.maximum(k[0][i], k[1][j])
-
-
-def _pairs_of(rows: DataFrame, percent: int) -> DataFrame:
-    """``_compared`` over rows of a key and one list of members (with itself) or two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                key, *lists = (c[row].as_py() for c in batch.columns)
-                a, b = _compared(key, lists[0], lists[-1], percent)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _traversed(contested: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that the dual traversal of each key's tree leaves.
-
-    A leaf meets itself where it lies; only trees of two leaves and more are walked by joins.
-    """
-    leaves = cut(_leaves(contested, nodes))
-    own = _pairs_of(leaves.select("key", "members"), percent)
-    tall = leaves.join(leaves.where("at > 0").select("key").distinct(), "key", "left_semi")
-    levels = [cut(_described(tall, percent))]
+def _across(subtrees: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of two subtrees of one group, by a dual traversal of the levels above the subtrees."""
+    order = Window.partitionBy("key").orderBy("at")  # a row for each subtree, so few even of a hot key
+    tall = cut(subtrees.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").withColumn("at", (F.row_number().over(order) - 1).cast("long")).drop("c"))
+    levels = [tall.drop("members")]
     while (levels[-1].agg(F.max("at").alias("m")).first().m or 0) > 0:
         levels.append(cut(_above(levels[-1])))
     pairs = levels[-1].select("key", F.col("at").alias("x"), F.col("at").alias("y"))
-    for depth in range(len(levels) - 1, 0, -1):
-        below = levels[depth - 1].select("key", "at", F.floor(F.col("at") / FAN).cast("long").alias("up"))
+    for level in reversed(levels[:-1]):
+        below = level.select("key", "at", F.floor(F.col("at") / FAN).cast("long").alias("up"))
         child = lambda x: below.select("key", F.col("up").alias(x), F.col("at").alias(f"{x}_below"))  # noqa: E731, B023
         met = pairs.join(child("x"), ["key", "x"]).join(child("y"), ["key", "y"]).select("key", F.col("x_below").alias("x"), F.col("y_below").alias("y"))
-        pairs = cut(_met(met.where("x < y"), levels[depth - 1], percent).unionAll(met.where("x = y")) if depth > 1 else _met(met.where("x < y"), levels[0], percent))
+        pairs = cut(_met(met.where("x < y"), level, percent).unionAll(met.where("x = y")))
     side = lambda x: tall.select("key", F.col("at").alias(x), F.col("members").alias(f"members_{x}"))
-    both = pairs.where("x < y").join(side("x"), ["key", "x"]).join(side("y"), ["key", "y"]).select("key", "members_x", "members_y")
-    return own.unionAll(_pairs_of(both, percent)).distinct()
-
-
-def _stars(contested: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, in each key's group: of each node with the smallest, and later with a few drawn, if of other components."""
-    if not turn:
-        met = contested.select("node", "n", F.col("first").alias("pivot"), F.col("first_n").alias("pivot_n"))
-    else:
-        drawn = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
-        few = contested.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= PIVOTS)
-        few = few.select("key", F.col("comp").alias("pivot_comp"), F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
-        met = contested.join(few, "key").where(F.col("comp") != F.col("pivot_comp"))
-    fit = met.where((F.col("node") != F.col("pivot")) & sizes_fit(F.col("n"), F.col("pivot_n"), percent))
-    return fit.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    both = pairs.where("x < y").join(side("x"), ["key", "x"]).join(side("y"), ["key", "y"]).select("members_x", "members_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                trees = [np.frombuffer(c[row].as_py(), dtype=_MEMBER) for c in batch.columns]
+                for a, b in traversed(*(Subtree(t["node"], t["n"], t["comp"], t["bits"]) for t in trees), percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    return both.mapInArrow(run, "a long, b long")
 
-def _contested(shared: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows of groups that hold nodes of two components or more, with the component; of groups of the same nodes, one."""
-    known = shared.join(names, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
-    groups = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), *marks).where("c0 <> c1")
-    return known.join(groups.groupBy("k", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+def _tree_pairs(contested: DataFrame, held: DataFrame, percent: int, subtree: int) -> DataFrame:
+    """Pairs (a, b) of nodes of two components that the dual traversal of each key's tree leaves."""
+    order = ["key", "comp", "n", "node"]
+    known = contested.join(held.select("node", "bits"), "node").select(*order, "bits")
+    walked = cut(_subtrees(known.repartitionByRange(width(held.sparkSession), *order).sortWithinPartitions(*order), percent, subtree))
+    return walked.where("a is not null").select("a", "b").unionAll(_across(walked.where("key is not null").drop("a", "b"), percent)).distinct()
 
 
 class Joined(NamedTuple):
-    """members: doc_id, n_shingles, node, comp (a node) and component_id of each row; links: verified pairs of nodes (a, b) that span the components."""
+    """members: doc_id, m1, m2, n_shingles, node, comp (a node) and component_id of each row; links: verified pairs of nodes (a, b) that span the components."""
 
     members: DataFrame
     links: DataFrame
 
 
-def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Joined:
-    """Joins ``docs`` (doc_id, text) with itself on shingle sets of Jaccard similarity ``percent`` / 100 or more."""
-    bounded_batches(docs.sparkSession)
-    members, counts = _sets(docs, size)
-    nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("n").cast("int").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
-    group = Window.partitionBy("key").orderBy("n", "node")
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keyed = _keys(docs, counts, size, percent)
-    for name, column in (("first", F.first("node")), ("first_n", F.first("n")), ("last", F.last("node"))):
-        keyed = keyed.withColumn(name, column.over(whole))
-    # the smallest node of a group is paired with all others at first, so it is left out from then on
-    release(docs.sparkSession)
-    shared = cut(keyed.where("first <> last and node <> first").select("key", "node", "n", "first", "first_n").distinct())
-    contested = shared
-    names, links, tested = None, None, None  # names: of nodes that rounds have put in another's component
-    for turn in range(ROUNDS):
-        pairs = _stars(contested, turn, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(_pruned(pairs, nodes, percent))
-        found = _verified(pairs, nodes, docs, size, percent)
-        links, tested = (found, pairs) if links is None else (links.unionAll(found), tested.unionAll(pairs))
-        names = cut(connected_components(links))
-        contested = cut(_contested(shared, names))
-        release(docs.sparkSession)
-        if turn and found.isEmpty():
-            break
-    left = _traversed(contested, nodes, percent).join(tested, ["a", "b"], "left_anti")
-    pairs = cut(_pruned(left, nodes, percent))
-    release(docs.sparkSession)
-    links = links.unionAll(_verified(pairs, nodes, docs, size, percent))
-    first = cut(connected_components(links))
-    placed = nodes.select("node", "doc_id").join(first, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
-    named = placed.join(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "comp", "component_id")
+def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds: int = ROUNDS, subtree: int = SUBTREE) -> Joined:
+    """Joins ``docs`` (doc_id, text) with itself on shingle sets of Jaccard similarity ``percent`` / 100 or more.
+
+    ``rounds`` of pivots and the members of a ``subtree`` change what is done first, not the result.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sets, counts = _sets(docs, size)
+    clashes = _clashes(sets)
+    node = F.when(F.col("h1").isin(clashes), F.col("h2")).otherwise(F.col("h1")) if clashes else F.col("h1")
+    members = sets.withColumn("node", F.when(F.col("n") > 0, node))
+    nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    keyed, path = tabled(_keys(docs, counts, clashes, size, percent))
+    shared = cut(_sorted_groups(keyed, percent))
+    dropped(spark, path)
+    wanted = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
+    held = _held(docs, wanted, clashes, size)
+    groups, links, tested, names = shared, None, None, None  # names: of nodes that rounds have put in another's component
+    rows = shared.select("key", "node", "n")
+    if not rounds:
+        rows = _contested(rows, None)
+    for turn in range(rounds):
+        if turn:
+            first = rows.groupBy("key", "comp").agg(F.min(F.struct("n", "node")).alias("f"))
+            groups = _sorted_groups(first.select("key", "f.node", "f.n"), percent)
+        pairs = _stars(groups, percent)
+        fit, found = _verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), held, percent)
+        links, tested = (found, fit) if links is None else (links.unionAll(found), tested.unionAll(fit))
+        names = connected_components(links)
+        rows = _contested(rows.select("key", "node", "n"), names)
+    left = _tree_pairs(rows, held, percent, subtree)
+    found = _verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"), held, percent)[1]
+    links = found if links is None else links.unionAll(found)
+    placed = nodes.join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
+    ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = cut(placed.join(ids, "comp").select("node", "comp", "component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = members.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"), "comp", own.alias("component_id"))
+    out = members.join(named, "node", "left").select("doc_id", "m1", "m2", F.col("n").alias("n_shingles"), "node", "comp", own.alias("component_id"))
     return Joined(out, links)
 
 
@@ -508,16 +638,16 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> Da
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their component, one of each; all rows without words."""
-    chosen = similar(docs, percent, size).members.where("node is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("c"))
-    chosen = cut(chosen.select(F.col("c.node").alias("_chosen"), F.col("c.doc_id").alias("_id")))
-
-    @F.arrow_udf(LongType())
-    def named(texts: pa.Array) -> pa.Array:
-        found = (shingles(t.as_py(), word_hashes(), size) for t in texts)
-        return pa.array([node_of(s) if len(s) else None for s in found], pa.int64())
-
-    rows = docs.withColumn("_node", named(F.col("text").cast("binary")))
-    rows = rows.join(chosen, (F.col("_node") == F.col("_chosen")) & docs.doc_id.eqNullSafe(F.col("_id")), "left")
-    rows = rows.where("_node is null or _chosen is not null").withColumn("_row", F.when(F.col("_node").isNull(), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["_node", "doc_id", "_row"]).select(*(docs[c] for c in docs.columns))
+    """The rows of ``docs`` with the least doc_id of their component, one of each; all rows without words.
+
+    A row is told by doc_id and its text, so of a doc_id with two texts each is judged by itself; of rows alike in both,
+    one is kept, whatever their other columns. A null doc_id stands for a component only if no other does.
+    """
+    m1, m2, own, c1, c2 = labelled.unused_names(docs, 5)
+    chosen = similar(docs, percent, size).members.where("node is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m1", "m2")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias(own), F.col("c.m1").alias(c1), F.col("c.m2").alias(c2))
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    some = docs.where(worded).withColumns(dict(zip((m1, m2), row_marks(F.col("text")), strict=True)))
+    some = some.dropDuplicates(["doc_id", m1, m2])
+    kept = some.join(chosen, (F.col(m1) == F.col(c1)) & (F.col(m2) == F.col(c2)) & some.doc_id.eqNullSafe(F.col(own)), "left_semi")
+    return kept.drop(m1, m2).unionAll(docs.where(~F.coalesce(worded, F.lit(False))))

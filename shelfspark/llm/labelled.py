@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
+from itertools import count, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,11 +39,20 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
+def packed(array: np.ndarray) -> bytes:
+    """An int64 array, compressed: tables of counts are mostly small numbers."""
+    return zlib.compress(np.ascontiguousarray(array, dtype=np.int64), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
+
+
 def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray], plus: Callable = np.add) -> np.ndarray | None:
     """The sum, by ``plus``, over all partitions of the int64 array that ``work`` makes of a partition's ``column``; None without rows.
 
     Each partition gives one array; ``FAN_IN`` of them are added in a task, and so on, so no task and not the driver
-    meets more than that many.
+    meets more than that many. Arrays travel compressed.
     """
     rows = df.select(column)
     parts = max(1, rows.rdd.getNumPartitions())
@@ -51,16 +60,32 @@ def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.n
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = np.ascontiguousarray(work(b.column(0) for b in batches), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([got.tobytes()], pa.binary())], names=["part", "data"])
+        some = next((b for b in batches if b.num_rows), None)
+        if some is not None:
+            got = work(b.column(0) for b in chained(some, batches))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([packed(got)], pa.binary())], names=["part", "data"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = reduce(plus, (np.frombuffer(d, dtype=np.int64) for d in group["data"]))
-        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "data": [total.tobytes()]})
+    def add(group: pa.Table) -> pa.Table:
+        total = None
+        for data in group.column("data"):
+            more = unpacked(data.as_py())
+            total = more.copy() if total is None else plus(total, more, out=total)
+        return pa.table({"part": group.column("part").slice(0, 1), "data": pa.array([packed(total)], pa.binary())})
 
     out = rows.mapInArrow(one, "part long, data binary")
     while parts > 1:
-        out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInPandas(add, "part long, data binary")
+        out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInArrow(add, "part long, data binary")
         parts = -(-parts // FAN_IN)
     got = out.collect()
-    return np.frombuffer(got[0].data, dtype=np.int64) if got else None
+    return unpacked(got[0].data) if got else None
+
+
+def chained(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield first
+    yield from rest
+
+
+def unused_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((name for i in count() if (name := f"_own{i}") not in taken), n))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from ..operators.graph import connected_components
+from ..operators.graph import star_components
 from ..plans.cut import bounded_batches, cut, ranked
 
 QUOTED = re.compile(r"^\s*((?:>[ \t]?)+)(.*)$")
@@ -91,7 +91,7 @@ def linked(messages: DataFrame) -> DataFrame:
         ).select("conv_id", "turn", F.col("best.source").alias("reply_to"), "n_linked")
     )
     node = lambda turn: F.struct(F.col("conv_id").alias("conv_id"), F.col(turn).alias("turn"))
-    threads = connected_components(replies.select(node("turn").alias("a"), node("reply_to").alias("b")))
+    threads = star_components(replies.select(node("turn").alias("a"), node("reply_to").alias("b")))
     threads = threads.select("node.conv_id", "node.turn", F.col("component.turn").alias("thread"))
     known = every.join(replies, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left")
     known = known.select(

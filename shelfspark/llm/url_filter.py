@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import star_components
 from ..plans.cut import cut
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,7 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
             *(x for n in ("url", "target") for x in (host_of(F.col(n)).alias(f"{n}_host"), path_of(F.col(n)).alias(f"{n}_path"), node_of(F.col(n)).alias(f"{n}_node")))
         ).distinct()
     )
-    aliases = connected_components(ends, "url_node", "target_node")
+    aliases = star_components(ends, "url_node", "target_node")
     nodes = rows.select("node", "host", "path")
     for n in ("url", "target"):
         nodes = nodes.unionAll(ends.select(f"{n}_node", f"{n}_host", f"{n}_path"))

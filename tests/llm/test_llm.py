@@ -368,13 +368,26 @@ def test_join(spark, seed):
     assert got == brute_components([(100 + i, t) for i, t in enumerate(texts)])
 
 
-def test_trees_alone_find_all(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
-    monkeypatch.setattr(jaccard_join, "FAN", 4)
-    monkeypatch.setattr(jaccard_join, "FEW", 0)
+@pytest.mark.parametrize(("rounds", "subtree"), [(0, 4096), (0, 3), (1, 5)])
+def test_trees_alone_find_all(spark, rounds, subtree):
     texts = near_copies(7, 6, 25)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(documents(spark, texts)).collect()}
-    assert got == brute_components(list(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar(documents(spark, texts), rounds=rounds, subtree=subtree).members.collect()}
+    assert got == {k: v[1] for k, v in brute_components(list(enumerate(texts))).items()}
+
+
+def test_sets_of_one_first_half_stay_apart():
+    assert jaccard_join._node(5, 9, frozenset([5])) == 9 and jaccard_join._node(5, 9, frozenset()) == 5
+
+
+def test_pivots_stand_before_their_rows():
+    rng = np.random.default_rng(3)
+    nodes = rng.integers(-(1 << 62), 1 << 62, 5000)
+    starts = np.array([0, 1, 700, 702])
+    sizes = np.concatenate([np.sort(rng.integers(10, 400, k)) for k in (1, 699, 2, 4298)])
+    got = jaccard_join.pivots(starts, nodes, sizes)
+    group = np.searchsorted(starts, np.arange(5000), side="right")
+    assert (got <= np.arange(5000)).all() and (group[got] == group).all()
+    assert np.bincount(got).max() < 700  # no pivot of all
 
 
 def test_bounds_lose_nothing():
