@@ -33,7 +33,7 @@ component if there is another. An empty table gives no rows. Extra columns are i
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -45,7 +45,6 @@ from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, St
 from ..operators.graph import connected_components
 from ..plans.cut import bounded_batches, cut, dropped, tabled, width
 from . import labelled
-from .memo import remembered
 
 WORDS, PERCENT = 5, 75
 #: Counters of shingles, by the first bits of their hash; least and greatest width of a bitmap; children of a tree's node.
@@ -54,31 +53,14 @@ COUNTERS, BITS, WIDEST, FAN = 19, 10, 17, 64
 ROUNDS = 2
 #: Members of a subtree that one task walks, and rows of the sorted keys that it reads at once.
 SUBTREE, BLOCK = 4096, 200_000
-#: Bits of the table that tells which documents are wanted, and words or sets that a worker remembers.
-WANTED, REMEMBERED = 23, 150_000
+#: Bits of the table that tells which documents are wanted, and sets that a task remembers.
+WANTED, REMEMBERED = 23, 250_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class WordHashes(dict):
-    """Eight bytes of hash for each word."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = xxhash.xxh3_64_digest(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-def word_hashes() -> WordHashes:
-    """One for a worker, whatever tasks it runs."""
-    return remembered("word_hashes", WordHashes)
-
-
-def shingles(text: bytes | None, words: WordHashes, size: int = WORDS) -> np.ndarray:
+def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
     """The sorted hashes of the distinct shingles of ``text``; lower() and split() of bytes know ASCII only, as the words do."""
-    h = np.frombuffer(b"".join(map(words.__getitem__, (text or b"").lower().split())), dtype="<u8")
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, (text or b"").lower().split())), dtype="<u8")
     if not len(h):
         return np.zeros(0, np.uint64)
     k = min(size, len(h))
@@ -151,13 +133,13 @@ def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     schema = StructType([rows.schema["doc_id"], *longs, StructField("counts", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = word_hashes(), np.zeros(1 << COUNTERS, dtype=np.int64)
+        counts = np.zeros(1 << COUNTERS, dtype=np.int64)
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            found = [shingles(t.as_py(), words, size) for t in batch.column(3)]
-            for s in found:
-                np.add.at(counts, counter_of(s), 1)
+            found = [shingles(t.as_py(), size) for t in batch.column(3)]
+            if found:
+                counts += np.bincount(counter_of(np.concatenate(found)), minlength=1 << COUNTERS)
             names = np.array([name_of(s) for s in found], dtype=np.int64).reshape(-1, 2)
             made = [pa.array(x) for x in ([len(s) for s in found], names[:, 0], names[:, 1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], made[0].cast(pa.int64()), *made[1:], pa.nulls(len(found), pa.binary())], names=schema.names)
@@ -186,7 +168,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, clashes: list[int], size: int, pe
     odd = frozenset(clashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, seen = word_hashes(), held.value, set()
+        counts, seen = held.value, set()
 
         def handed(some: list) -> pa.RecordBatch:
             sizes = [len(k) for _, _, k in some]
@@ -202,7 +184,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, clashes: list[int], size: int, pe
         for batch in batches:
             some, rows = [], 0
             for text in batch.column(0):
-                found = shingles(text.as_py(), words, size)
+                found = shingles(text.as_py(), size)
                 if not len(found):
                     continue
                 node = _node(*name_of(found), odd)
@@ -265,19 +247,19 @@ def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
     """
     order = ["key", "n", "node"]
     dealt = rows.repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
+    names = ["key", "node", "n", "pivot", "pivot_n", "edge", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held: list[tuple[np.ndarray, ...]] = []
-        count, begun = 0, False
+        begun = False
 
-        def handed(columns: tuple[np.ndarray, ...], last: bool) -> pa.RecordBatch:
+        def handed(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal begun
             key, node, n = columns
             fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             key, node, n = key[fresh], node[fresh], n[fresh]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             lengths = np.diff(np.append(starts, len(key)))
@@ -287,39 +269,50 @@ def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
             edge[-1] |= last
             begun = True
             keep = np.repeat((lengths > 1) | edge, lengths)
-            out = [key, node, n, node[pivot], n[pivot]]
-            return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in out), pa.array(np.where(np.repeat(edge, lengths), part, -1)[keep].astype(np.int32))], names=["key", "node", "n", "pivot", "pivot_n", "edge"])
+            parts = np.where(np.repeat(edge, lengths), part, -1)
+            out = [pa.array(x[keep]) for x in (key, node, n, node[pivot], n[pivot], parts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*out, pa.nulls(len(out[0]), pa.int64())], names=names)
+            at = starts[edge]
+            told = [pa.array(x) for x in (key[at], node[at], n[at], node[at], n[at], np.full(len(at), part, np.int32), lengths[edge])]
+            yield pa.RecordBatch.from_arrays(told, names=names)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
-            count += batch.num_rows
-            if count >= BLOCK:
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last group may go on
-                if end:
-                    yield handed(tuple(x[:end] for x in columns), False)
-                held = [tuple(x[end:] for x in columns)]
-                count = len(held[0][0])
-        if held:
-            yield handed(tuple(np.concatenate(x) for x in zip(*held, strict=True)), True)
-
-    found = cut(dealt.mapInArrow(run, "key long, node long, n int, pivot long, pivot_n int, edge int"))
-    ends = found.where("edge >= 0").groupBy("key", "edge").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("first")).collect()
+        for columns, last in _whole_groups(batches, lambda b: [b.column(i).to_numpy() for i in range(3)], BLOCK):
+            yield from handed(columns, last)
+
+    found = cut(dealt.mapInArrow(run, "key long, node long, n int, pivot long, pivot_n int, edge int, members long"))
     by_key: dict[int, list] = {}
-    for r in sorted(ends, key=lambda r: (r.key, r.edge)):
+    for r in sorted(found.where("members is not null").collect(), key=lambda r: (r.key, r.edge)):
         by_key.setdefault(r.key, []).append(r)
-    spark = rows.sparkSession
-    alone = spark.createDataFrame([(k,) for k, v in by_key.items() if sum(r.c for r in v) == 1], "key long")
-    found = found.join(F.broadcast(alone), "key", "left_anti")  # of a row a partition and end at most
-    more = [(k, r.edge, r.first.node, v[0].first.node, v[0].first.n) for k, v in by_key.items() for r in v[1:]]
-    fixed = F.broadcast(spark.createDataFrame(more, "key long, edge int, node long, whole long, whole_n int"))
-    return found.join(fixed, ["key", "edge", "node"], "left").select("key", "node", "n", F.coalesce("whole", "pivot").alias("pivot"), F.coalesce("whole_n", "pivot_n").alias("pivot_n"))
+    fixed = [(k, r.edge, r.node, None if len(v) == r.members == 1 else v[0].node, v[0].n) for k, v in by_key.items() for i, r in enumerate(v) if i or len(v) == r.members == 1]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    table = pa.table([pa.array(c, t) for c, t in zip(list(zip(*fixed, strict=True)) or [()] * 5, kinds, strict=True)], names=["key", "edge", "node", "whole", "whole_n"])
+    told = F.broadcast(rows.sparkSession.createDataFrame(table).withColumn("met", F.lit(True)))  # two rows a partition at most
+    known = found.where("members is null").drop("members").join(told, ["key", "edge", "node"], "left").where("met is null or whole is not null")
+    return known.select("key", "node", "n", F.coalesce("whole", "pivot").alias("pivot"), F.coalesce("whole_n", "pivot_n").alias("pivot_n"))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], most: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The columns of sorted batches in blocks of about ``most`` rows that end where the first column changes, and whether a block is the last."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(columns_of(batch))
+        count += batch.num_rows
+        if count >= most:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(columns[0], columns[0][-1]))
+            if end:
+                yield [x[:end] for x in columns], False
+            held = [[x[end:] for x in columns]]
+            count = len(held[0][0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)], True
 
 
 def _stars(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes and their pivots."""
+    """Pairs (a, b), a < b, of nodes and their pivots, that fit by size."""
     fit = groups.where((F.col("node") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
     return fit.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
@@ -341,7 +334,7 @@ def _held(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) ->
     held, odd = docs.sparkSession.sparkContext.broadcast(table), frozenset(clashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = word_hashes(), set()
+        seen = set()
         table = None if held.value is None else held.value.view(np.uint8)
         for batch in batches:
             if table is None:
@@ -350,7 +343,7 @@ def _held(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) ->
             named = np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             out, bulk = [], 0
             for i in named.tolist():
-                found = shingles(batch.column(1)[i].as_py(), words, size)
+                found = shingles(batch.column(1)[i].as_py(), size)
                 node = _node(*name_of(found), odd) if len(found) else None
                 if node is None or node in seen:
                     continue
@@ -370,8 +363,8 @@ def _held(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) ->
     return cut(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Those of ``pairs`` (a, b) whose bitmaps allow a link, and those of them whose sets are linked."""
+def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked: bitmaps go to all pairs, shingles to those whose bitmaps allow a link."""
 
     @F.arrow_udf(BooleanType())
     def fits(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
@@ -382,13 +375,9 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> tuple[DataFram
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([are_linked(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in row), percent) for row in zip(a, b, strict=True)], pa.bool_())
 
-    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
-        for x in ("b", "a"):
-            pairs = pairs.join(held.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
-        return pairs
-
-    fit = cut(beside(pairs, "n", "bits").where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b"))
-    return fit, cut(beside(fit, "shingles").where(linked("shingles_a", "shingles_b")).select("a", "b"))
+    side = lambda x, *columns: held.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    fit = pairs.join(side("b", "n", "bits"), "b").join(side("a", "n", "bits"), "a").where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
+    return cut(fit.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").where(linked("shingles_a", "shingles_b")).select("a", "b"))
 
 
 def _contested(shared: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -437,6 +426,8 @@ def leaf_pairs(a: list[tuple], b: list[tuple], percent: int) -> np.ndarray:
 def compared(x: Subtree, y: Subtree, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of two leaves that may be linked and are in two components."""
     fit = x.comp[:, None] != y.comp[None, :]
+    if x is y:
+        fit = np.triu(fit)
     if fit.any():
         fit &= bits_fit(np.unpackbits(x.bits, axis=1), np.unpackbits(y.bits, axis=1), x.n.astype(np.int64), y.n.astype(np.int64), percent)
     i, j = np.nonzero(fit)
@@ -446,6 +437,11 @@ def compared(x: Subtree, y: Subtree, percent: int) -> tuple[np.ndarray, np.ndarr
 def traversed(x: Subtree, y: Subtree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that a dual traversal of two subtrees, or of one and itself, leaves."""
     same = x is y
+    if same and len(x.node) <= FAN:  # the root is a leaf
+        found = compared(x, x, percent)
+        if len(found[0]):
+            yield found
+        return
     leaves = [[z.part(i) for i in range(-(-len(z.node) // FAN))] for z in ((x,) if same else (x, y))]
     told = [[leaf.told(percent) for leaf in z] for z in leaves]
     for i, j in zip(*np.nonzero(leaf_pairs(told[0], told[-1], percent)), strict=True):
@@ -499,23 +495,11 @@ def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
                 yield from walked(int(key[s]), Subtree(columns[3][s:e], columns[2][s:e], columns[1][s:e], columns[4][s:e]), edge)
             begun = True
 
-        held: list[list[np.ndarray]] = []
-        count = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            small = np.stack([folded(x.as_py(), (1 << BITS) // 8) for x in batch.column(4)])
-            held.append([*(batch.column(i).to_numpy() for i in range(4)), small])
-            count += batch.num_rows
-            if count >= BLOCK // 4:
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                end = int(np.searchsorted(columns[0], columns[0][-1]))
-                if end:
-                    yield from groups([x[:end] for x in columns], False)
-                held = [[x[end:] for x in columns]]
-                count = len(held[0][0])
-        if held:
-            yield from groups([np.concatenate(x) for x in zip(*held, strict=True)], True)
+        def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+            return [*(batch.column(i).to_numpy() for i in range(4)), np.stack([folded(x.as_py(), (1 << BITS) // 8) for x in batch.column(4)])]
+
+        for columns, last in _whole_groups(batches, columns_of, BLOCK // 4):
+            yield from groups(columns, last)
 
     return rows.mapInArrow(run, _WALKED)
 
@@ -604,7 +588,7 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     members = sets.withColumn("node", F.when(F.col("n") > 0, node))
     nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     keyed, path = tabled(_keys(docs, counts, clashes, size, percent))
-    shared = cut(_sorted_groups(keyed, percent))
+    shared = _sorted_groups(keyed, percent)
     dropped(spark, path)
     wanted = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
     held = _held(docs, wanted, clashes, size)
@@ -616,13 +600,13 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
         if turn:
             first = rows.groupBy("key", "comp").agg(F.min(F.struct("n", "node")).alias("f"))
             groups = _sorted_groups(first.select("key", "f.node", "f.n"), percent)
-        pairs = _stars(groups, percent)
-        fit, found = _verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), held, percent)
-        links, tested = (found, fit) if links is None else (links.unionAll(found), tested.unionAll(fit))
+        pairs = cut(_stars(groups, percent))
+        found = _verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), held, percent)
+        links, tested = (found, pairs) if links is None else (links.unionAll(found), tested.unionAll(pairs))
         names = connected_components(links)
         rows = _contested(rows.select("key", "node", "n"), names)
     left = _tree_pairs(rows, held, percent, subtree)
-    found = _verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"), held, percent)[1]
+    found = _verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"), held, percent)
     links = found if links is None else links.unionAll(found)
     placed = nodes.join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
