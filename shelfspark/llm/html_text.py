@@ -1,21 +1,28 @@
 """Main text of html by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line weighs as many characters as it has outside links;
-lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, nor do
-lines outside ``article`` or ``main`` where a page has one. Weights are summed over sliding windows of lines;
-text surges where a window rises over the threshold and dives where it falls back to nothing. The lines with
-weight between a surge and its dive are kept, in page order.
+Markup is stripped into lines, one per block element, in stretches: within ``article`` or ``main``, outside these, and of
+each element that its name, class, id or role tells for a menu, header, footer, sidebar, notice, advert or comments.
+A line weighs as many characters as it has outside links, times the weight of its stretch: much within an article,
+little outside one on a page that has one, next to nothing in such an element. Weights are summed over sliding windows of
+lines; text surges where a window rises over the threshold and dives where it falls back to nothing. All lines
+between a surge and its dive are kept, in page order. If no window of the page surges, the heaviest run of lines is. So
+what an element is called decides nothing by itself: a page without marks is read by its distribution alone, a long
+text outside a short article surges, and an article that stands in a wrongly named element is the heaviest run.
+Scripts, styles, forms and the like hold no text of the page at all.
 
 Defined results: null or empty html gives an empty text; html cut off anywhere gives the text so far; bytes that
-look like markup but never close are dropped with what follows. Repeated rows give equal texts. Extra columns
-are ignored.
+look like markup but never close are dropped with what follows. Repeated rows give equal texts, an empty table no
+rows. Pages are read whole, in time linear in their length, in batches bounded by bytes. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,139 +31,207 @@ from pyspark.sql import DataFrame
 from ..plans.cut import bounded_batches
 
 WINDOW = 3
-#: Characters a window needs to surge, where no element marks the article.
+#: What a window of lines must weigh to surge.
 SURGE = 80
-#: Elements without content of their own, elements whose content is no prose, and blocks: fixed values of HTML.
+#: Weight of a character within an article, outside one on a page that has one, and in an element named like noise.
+INSIDE, OUTSIDE, NOISY = 200.0, 0.02, 0.005
+#: Elements without content of their own, elements whose content is no text of the page, and blocks: fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form noscript iframe svg button select option template object canvas dialog menu label head".split())
+DROPPED = frozenset("form noscript iframe svg button select option template object canvas dialog label head".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "xmp")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element of the key ends an open one of the value, as HTML lets their end tags be left out: fixed values.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Words in class, id or role that mark what is no article: fixed values.
-NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu menubar nav navbar navigation breadcrumb"
-    " breadcrumbs header masthead footer sidebar aside complementary contentinfo notice notices cookie cookies consent gdpr alert disclaimer popup modal"
-    " overlay subscribe newsletter signup login share sharing social related recommended comment comments commentlist disqus reply replies respond"
-    " form search pagination pager toolbar widget".split()
+#: Elements that are no article; header is one of them outside of an article: fixed values.
+APART = frozenset("nav footer aside menu".split())
+#: Words of a class, id or role that mark what is no article wherever they stand in it, those that do if all other words
+#: of the name only say where or how it stands, and these others: fixed values.
+LOUD = frozenset(
+    "advert adverts advertisement advertising adsense sponsored breadcrumb breadcrumbs navbar navigation sidebar cookie cookies gdpr newsletter"
+    " comment comments commentlist disqus pagination masthead complementary contentinfo".split()
+)
+NAMED = frozenset(
+    "ad ads sponsor promo promotion banner menu menubar nav header footer aside notice notices consent alert disclaimer popup modal overlay subscribe signup"
+    " login share sharing social related recommended reply replies respond form search pager toolbar widget".split()
+)
+PLACED = frozenset(
+    "site page global top bottom left right upper lower primary secondary main sub inner outer wrap wrapper container box block area section bar list item items"
+    " links link group panel row col column holder fixed sticky mobile desktop the my js is text content wide narrow first last".split()
 )
 NEVER = frozenset("html body article main".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW_END = {name: re.compile(rf"</{name}\s*[^>]*(?:>|\Z)", re.I) for name in RAW}
+OPENING = re.compile(r"</?[a-zA-Z!]")
+
+
+def loud(name: str) -> bool:
+    """Whether a class, id or role names what is no article: ``site-header`` does, ``article-header`` doesn't."""
+    words = [w.lower() for w in WORD.findall(name)]
+    return any(w in LOUD for w in words) or any(w in NAMED for w in words) and all(w in NAMED or w in PLACED for w in words)
 
 
 def noisy(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; inside: it is in ``article`` or ``main``."""
+    """Whether an element is named like noise; inside: it is in ``article`` or ``main``."""
     if name in NEVER:
         return False
-    if name in DROPPED or name == "header" and not inside:
+    if name in APART or name == "header" and not inside:
         return True
-    if "=" not in attributes:
-        return False
-    return any(w.lower() in NOISE for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or ""))
+    return "=" in attributes and any(loud(w) for m in ATTRIBUTE.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split())
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters within links, inside article or main) of each block in page order; noise and gaps are empty."""
-    out: list[tuple[str, int, bool]] = []
-    text: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether noise starts there
-    noise = inside = links = 0
-    at = 0
+class Line(NamedTuple):
+    """A block's text, the characters of it within links, and where it stands: ``kind`` in, out or noise, ``stretch`` its number."""
 
-    def flush(opening: bool) -> None:
-        nonlocal linked
-        line = " ".join(entities.unescape("".join(text)).split())
-        if line or opening:  # a block that opens upon nothing is a gap of one line
-            out.append((line, linked, inside > 0))
-        text.clear()
-        linked = 0
-
-    def close(depth: int) -> None:
-        nonlocal noise, inside, links
-        for name, loud in stack[depth:]:
-            noise -= loud
-            inside -= name in ("article", "main")
-            links -= name == "a"
-        del stack[depth:]
-
-    while at < len(page):
-        tag = TAG.search(page, at)
-        piece = page[at : tag.start()] if tag else page[at:]
-        cut_off = piece.rfind("<") if tag is None else -1
-        if cut_off >= 0 and re.match(r"</?[a-zA-Z!]", piece[cut_off:]):
-            piece = piece[:cut_off]
-        if piece and not noise:
-            text.append(piece)
-            linked += len(piece) if links else 0
-        if tag is None:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
-            continue
-        if name in BLOCKS:
-            flush(not tag[1])
-        elif name == "br" and not noise:
-            text.append(" ")
-        if tag[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                close(depth)
-            continue
-        if name in RAW:
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if name in VOID or tag[3].endswith("/") and name not in BLOCKS:
-            continue
-        if name in BLOCKS and stack and stack[-1][0] == "p":
-            close(len(stack) - 1)
-        ended = ENDS.get(name, ())
-        if stack and stack[-1][0] in ended:
-            close(len(stack) - 1)
-        loud = noisy(name, tag[3], inside > 0)
-        stack.append((name, loud))
-        noise += loud
-        inside += name in ("article", "main")
-        links += name == "a"
-    flush(False)
-    return out
+    text: str
+    linked: int
+    kind: str
+    stretch: int
+
+
+class _Lines:
+    """Lines of a page while it is read."""
 
+    def __init__(self):
+        self.out: list[Line] = []
+        self.text: list[str] = []  # of the block that is open
+        self.linked = 0
+        self.aside: list[str] = []  # of the noise that is open
+        self.aside_linked = 0
+        self.stack: list[tuple[str, bool, bool]] = []  # open elements, and whether noise or a dropped part starts there
+        self.where: defaultdict[str, list[int]] = defaultdict(list)  # places of open elements in the stack
+        self.noise = self.dropped = self.inside = self.links = self.stretch = self.noises = 0
 
-def kept(weights: np.ndarray, window: int, surge: float) -> np.ndarray:
-    """Which lines lie between a surge and its dive; if no window surges, the lines of the heaviest run."""
-    n = len(weights)
-    if not n or not weights.any():
-        return np.zeros(n, bool)
-    sums = np.convolve(weights, np.ones(window, weights.dtype))[window - 1 :]  # of a line and those after it
-    out = np.zeros(n, bool)
-    runs = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]])))
-    best = (0.0, 0, 0)
-    for start, end in zip(runs[::2], runs[1::2], strict=True):
+    def flush(self, opening: bool) -> None:
+        line = " ".join(entities.unescape("".join(self.text)).split()) if self.text else ""
+        if line or opening:  # a block that opens upon nothing is a gap of one line
+            self.out.append(Line(line, self.linked, "in" if self.inside else "out", self.stretch))
+        self.text.clear()
+        self.linked = 0
+        if self.aside:
+            line = " ".join(entities.unescape("".join(self.aside)).split())
+            if line:
+                self.out.append(Line(line, self.aside_linked, "noise", self.noises))
+            self.aside.clear()
+            self.aside_linked = 0
+
+    def put(self, piece: str) -> None:
+        if self.dropped:
+            return
+        if self.noise:
+            self.aside.append(piece)
+            self.aside_linked += len(piece) if self.links else 0
+        else:
+            self.text.append(piece)
+            self.linked += len(piece) if self.links else 0
+
+    def open(self, name: str, attributes: str) -> None:
+        noise, dropped = noisy(name, attributes, self.inside > 0), name in DROPPED
+        self.where[name].append(len(self.stack))
+        self.stack.append((name, noise, dropped))
+        if noise and not self.noise:
+            self.noises += 1
+        self.noise += noise
+        self.dropped += dropped
+        self.links += name == "a"
+        if name in ("article", "main"):
+            self.inside += 1
+            self.stretch += 1
+
+    def close(self, depth: int) -> None:
+        """Closes the open elements from ``depth`` on; what ended with noise is a stretch of its own."""
+        while len(self.stack) > depth:
+            name, noise, dropped = self.stack.pop()
+            self.where[name].pop()
+            if noise and self.noise == 1 and self.aside:
+                line = " ".join(entities.unescape("".join(self.aside)).split())
+                if line:
+                    self.out.append(Line(line, self.aside_linked, "noise", self.noises))
+                self.aside.clear()
+                self.aside_linked = 0
+            self.noise -= noise
+            self.dropped -= dropped
+            self.links -= name == "a"
+            if name in ("article", "main"):
+                self.inside -= 1
+                self.stretch += 1
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page in their order; gaps are empty."""
+    held = _Lines()
+    at, ended = 0, False
+    while not ended:
+        ended = True
+        for tag in TAG.finditer(page, at):
+            if tag.start() > at:
+                held.put(page[at : tag.start()])
+            at = tag.end()
+            end, name, attributes = tag.groups()
+            if name is None:
+                continue
+            name = name.lower()
+            block = name in BLOCKS
+            if block:
+                held.flush(not end)
+            elif name == "br":
+                held.put(" ")
+            if end:
+                if places := held.where.get(name):
+                    held.close(places[-1])
+                continue
+            if name in RAW:
+                close = RAW_END[name].search(page, at)
+                at = close.end() if close else len(page)
+                ended = False
+                break
+            if name in VOID or attributes.endswith("/") and not block:
+                continue
+            if held.stack and (block and held.stack[-1][0] == "p" or held.stack[-1][0] in ENDS.get(name, ())):
+                held.close(len(held.stack) - 1)
+            held.open(name, attributes)
+    rest = page[at:]
+    cut_off = rest.rfind("<")
+    held.put(rest[:cut_off] if cut_off >= 0 and OPENING.match(rest, cut_off) else rest)
+    held.flush(False)
+    return held.out
+
+
+def runs(weights: np.ndarray, window: int, surge: float) -> list[tuple[int, int, float, bool]]:
+    """Runs of lines between a gap and the next, as first line, end, weight and whether a window surges; a run that surges begins there."""
+    if not weights.any():
+        return []
+    sums = np.convolve(weights, np.ones(window))[window - 1 :]  # of a line and those after it
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]])))
+    out = []
+    for start, end in zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True):
         over = np.flatnonzero(sums[start:end] > surge)
-        best = max(best, (float(weights[start:end].sum()), int(-start), int(end)))
-        if len(over):
-            out[start + over[0] : end] = True
-    if not out.any():
-        out[-best[1] : best[2]] = True
-    return out & (weights > 0)
+        first = start + (int(over[0]) if len(over) else 0)
+        weighed = first + np.flatnonzero(weights[first:end])  # lines of links at either end are none of the text
+        if len(weighed):
+            out.append((int(weighed[0]), int(weighed[-1]) + 1, float(weights[first:end].sum()), bool(len(over))))
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """The article's blocks, joined by an empty line."""
     found = lines(page or "")
-    marked = any(inside for text, _, inside in found if text)
-    weights = np.array([len(t) if marked and inside else 0 if marked else max(0, len(t) - 2 * linked) for t, linked, inside in found], dtype=np.int64)
-    keep = kept(weights, window, 0 if marked else surge)
-    return "\n\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k)
+    marked = any(x.kind == "in" and x.text for x in found)
+    stretches: dict[tuple[str, int], list[int]] = {}
+    for i, x in enumerate(found):
+        stretches.setdefault((x.kind, x.stretch), []).append(i)
+    kept: list[tuple[list[int], tuple[int, int, float, bool]]] = []
+    for (kind, _), at in stretches.items():
+        each = INSIDE if kind == "in" else NOISY if kind == "noise" else OUTSIDE if marked else 1.0
+        weights = each * np.array([len(found[i].text) if kind == "in" else max(0, len(found[i].text) - 2 * found[i].linked) for i in at], dtype=np.float64)
+        kept += [(at, run) for run in runs(weights, window, surge)]
+    surged = [x for x in kept if x[1][3]] or sorted(kept, key=lambda x: (-x[1][2], x[0][x[1][0]]))[:1]
+    chosen = sorted(i for at, run in surged for i in at[run[0] : run[1]])
+    return "\n\n".join(found[i].text for i in chosen if found[i].text)
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, surge: float = SURGE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import re
 import zlib
 
@@ -213,6 +214,51 @@ def test_article():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
 
 
+def test_the_distribution_decides(sf_dir):
+    import pyarrow.parquet as pq
+
+    pages = [x.as_py() for x in pq.read_table(f"{sf_dir}/pages.parquet")["html"]]
+    every = ["\n\n".join(x.text for x in html_text.lines(page or "") if x.text) for page in pages]
+    assert all(html_text.main_text(page) != text for page, text in zip(pages, every, strict=True) if page)
+    menu = "".join(f"<li><a href=/{i}>menu item {i}</a>" for i in range(9))
+    assert html_text.main_text(f"<ul>{menu}</ul><div>{'Plain prose. ' * 20}</div><div>short</div><ul>{menu}</ul>") == ("Plain prose. " * 20).strip() + "\n\nshort"
+    # a long text surges outside of a short article, and one in a wrongly named element is the heaviest run
+    assert "far longer" in html_text.main_text(f"<article><p>teaser</p></article><div>{'far longer text ' * 900}</div>")
+    assert html_text.main_text(f"<div class='site-header'>{'misnamed ' * 9}</div>") == ("misnamed " * 9).strip()
+
+
+def test_names_of_noise():
+    page = '<article><div class="article-header"><h1>Title</h1></div><p class="form-factor">A paragraph</p><div class="newsletter">Sign up</div><p>x <span class="share">Share!</span> y</p></article><footer>foot</footer>'
+    assert html_text.main_text(page) == "Title\n\nA paragraph\n\nx y"
+    prose = "<p>" + "prose " * 40 + "</p>"
+    assert html_text.main_text(f"{prose}<p><a href=x>only links here</a></p>{prose}").split("\n\n")[1] == "only links here"
+
+
+def test_runs_as_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 5, 40, 200]) for _ in range(rng.randint(0, 30))]
+        sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
+        kept, i = [], 0
+        while i < len(sums):
+            end = i
+            while end < len(sums) and sums[end]:
+                end += 1
+            surge = next((k for k in range(i, end) if sums[k] > 80), None)
+            heavy = [k for k in range(i if surge is None else surge, end) if weights[k]]
+            if heavy:
+                kept.append((heavy[0], heavy[-1] + 1, float(sum(weights[k] for k in heavy)), surge is not None))
+            i = max(end, i + 1)
+        assert html_text.runs(np.array(weights, dtype=np.float64), 3, 80) == kept
+
+
+def test_html_takes_linear_time():
+    for page in ("<span>" * 200_000 + "</b>" * 200_000, "<span>x" * 100_000 + "</b>" * 100_000 + "</span>" * 100_000, "<div class=ad>" * 100_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 10  # seconds even of a slow machine; quadratic time would be hundreds
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "<article>" + "<p>word</p>" * 20_000 + "</article>")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
