@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,15 @@ def dropped(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referred to: it does so only when garbage is collected.
+
+    For after steps that shuffle much, as their files would else stay until the driver's heap happens to fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
