@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 
 from ..plans.cut import bounded_batches
 
-WINDOW = 3
+WINDOW = 5
 #: What a window of lines must weigh to surge.
-SURGE = 80
+SURGE = 50
 #: Weight of a character within an article, outside one on a page that has one, and in an element named like noise.
 INSIDE, OUTSIDE, NOISY = 200.0, 0.02, 0.005
 #: Elements without content of their own, elements whose content is no text of the page, and blocks: fixed values of HTML.

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..operators.graph import connected_components
-from ..plans.cut import bounded_batches, cut, dropped, tabled, width
+from ..plans.cut import bounded_batches, cut, dropped, release, tabled, width
 from . import labelled
 
 WORDS, PERCENT = 5, 75
@@ -127,10 +127,10 @@ def row_marks(text: Column) -> list[Column]:
 
 
 def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, m1, m2, n, h1 and h2 (the set's name) of each row, and how many documents have a shingle of each counter."""
+    """doc_id, m1, m2, n, h1 and h2 (the set's name) and bits of each row, and how many documents have a shingle of each counter."""
     rows = docs.select("doc_id", *row_marks(F.col("text")), F.col("text").cast("binary").alias("text"))
     longs = [StructField(c, LongType()) for c in ("m1", "m2", "n", "h1", "h2")]
-    schema = StructType([rows.schema["doc_id"], *longs, StructField("counts", BinaryType())])
+    schema = StructType([rows.schema["doc_id"], *longs, StructField("bits", BinaryType()), StructField("counts", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS, dtype=np.int64)
@@ -142,9 +142,9 @@ def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(counter_of(np.concatenate(found)), minlength=1 << COUNTERS)
             names = np.array([name_of(s) for s in found], dtype=np.int64).reshape(-1, 2)
             made = [pa.array(x) for x in ([len(s) for s in found], names[:, 0], names[:, 1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made[0].cast(pa.int64()), *made[1:], pa.nulls(len(found), pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made[0].cast(pa.int64()), *made[1:], pa.array(list(map(bitmap, found)), pa.binary()), pa.nulls(len(found), pa.binary())], names=schema.names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in longs), pa.array([labelled.packed(counts)], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in longs), pa.nulls(1, pa.binary()), pa.array([labelled.packed(counts)], pa.binary())], names=schema.names)
 
     both = cut(rows.mapInArrow(run, schema))
     none = np.zeros(1 << COUNTERS, dtype=np.int64)
@@ -317,10 +317,10 @@ def _stars(groups: DataFrame, percent: int) -> DataFrame:
     return fit.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _held(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) -> DataFrame:
-    """node, n, bits and shingles of the nodes ``wanted`` (node, doc_id).
+def _shingled(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) -> DataFrame:
+    """node and shingles of the nodes ``wanted`` (node, doc_id), and of few others; a node may have several equal rows.
 
-    All texts are read; those whose doc_id a table of fixed width marks go on, which are the wanted and few others.
+    Documents go on if a table of fixed width marks their doc_id; their texts alone go to Python.
     """
 
     def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
@@ -331,53 +331,68 @@ def _held(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) ->
 
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << WANTED)).alias("slot")
     table = labelled.summed(wanted.select(slot("doc_id")), "slot", marked, np.bitwise_or)
-    held, odd = docs.sparkSession.sparkContext.broadcast(table), frozenset(clashes)
+    held, odd = docs.sparkSession.sparkContext.broadcast(np.zeros((1 << WANTED) // 64, np.int64) if table is None else table), frozenset(clashes)
+
+    @F.arrow_udf(BooleanType())
+    def named(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy()
+        return pa.array(((held.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        table = None if held.value is None else held.value.view(np.uint8)
+        seen: set[int] = set()
         for batch in batches:
-            if table is None:
-                return
-            at = batch.column(0).to_numpy()
-            named = np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             out, bulk = [], 0
-            for i in named.tolist():
-                found = shingles(batch.column(1)[i].as_py(), size)
+            for text in batch.column(0):
+                found = shingles(text.as_py(), size)
                 node = _node(*name_of(found), odd) if len(found) else None
                 if node is None or node in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
-                out.append((node, len(found), bitmap(found), found.tobytes()))
+                out.append((node, found.tobytes()))
                 bulk += 8 * len(found)
                 if bulk > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["node", "shingles"])
                     out, bulk = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["node", "shingles"])
 
-    names, kinds = ["node", "n", "bits", "shingles"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    read = docs.select(slot("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, n int, bits binary, shingles binary")
-    return cut(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    named = named.asNondeterministic()  # else it is evaluated anew in each filter that the optimizer adds
+    some = docs.select(F.col("text").cast("binary").alias("text"), named(slot("doc_id")).alias("named")).where("named")
+    return cut(some.select("text").mapInArrow(run, "node long, shingles binary"))
 
 
-def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are linked: bitmaps go to all pairs, shingles to those whose bitmaps allow a link."""
+class _Verifier(NamedTuple):
+    """What verification needs: the texts, and node, doc_id, n and bits of each node that shares a key."""
 
-    @F.arrow_udf(BooleanType())
-    def fits(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        rows = zip(bits_a, bits_b, n_a.to_pylist(), n_b.to_pylist(), strict=True)
-        return pa.array([may_link(x.as_py(), y.as_py(), n, m, percent) for x, y, n, m in rows], pa.bool_())
+    docs: DataFrame
+    nodes: DataFrame
+    clashes: list[int]
+    size: int
+    percent: int
 
-    @F.arrow_udf(BooleanType())
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([are_linked(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in row), percent) for row in zip(a, b, strict=True)], pa.bool_())
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that are linked: bitmaps go to all pairs, shingles to those whose bitmaps allow a link."""
+        percent = self.percent
+
+        @F.arrow_udf(BooleanType())
+        def fits(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+            rows = zip(bits_a, bits_b, n_a.to_pylist(), n_b.to_pylist(), strict=True)
+            return pa.array([may_link(x.as_py(), y.as_py(), n, m, percent) for x, y, n, m in rows], pa.bool_())
+
+        @F.arrow_udf(BooleanType())
+        def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+            return pa.array([are_linked(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in row), percent) for row in zip(a, b, strict=True)], pa.bool_())
 
-    side = lambda x, *columns: held.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    fit = pairs.join(side("b", "n", "bits"), "b").join(side("a", "n", "bits"), "a").where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
-    return cut(fit.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").where(linked("shingles_a", "shingles_b")).select("a", "b"))
+        side = lambda df, x, *columns: df.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        both = pairs.join(side(self.nodes, "b", "n", "bits"), "b").join(side(self.nodes, "a", "n", "bits"), "a")
+        fit = cut(both.where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b"))
+        wanted = self.nodes.join(fit.select("a").unionAll(fit.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi")
+        sets = _shingled(self.docs, wanted.select("node", "doc_id"), self.clashes, self.size)
+        out = cut(fit.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").where(linked("shingles_a", "shingles_b")).select("a", "b").distinct())
+        release(self.docs.sparkSession)
+        return out
 
 
 def _contested(shared: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -560,11 +575,11 @@ def _across(subtrees: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _tree_pairs(contested: DataFrame, held: DataFrame, percent: int, subtree: int) -> DataFrame:
+def _tree_pairs(contested: DataFrame, nodes: DataFrame, percent: int, subtree: int) -> DataFrame:
     """Pairs (a, b) of nodes of two components that the dual traversal of each key's tree leaves."""
     order = ["key", "comp", "n", "node"]
-    known = contested.join(held.select("node", "bits"), "node").select(*order, "bits")
-    walked = cut(_subtrees(known.repartitionByRange(width(held.sparkSession), *order).sortWithinPartitions(*order), percent, subtree))
+    known = contested.join(nodes.select("node", "bits"), "node").select(*order, "bits")
+    walked = cut(_subtrees(known.repartitionByRange(width(nodes.sparkSession), *order).sortWithinPartitions(*order), percent, subtree))
     return walked.where("a is not null").select("a", "b").unionAll(_across(walked.where("key is not null").drop("a", "b"), percent)).distinct()
 
 
@@ -586,12 +601,13 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     clashes = _clashes(sets)
     node = F.when(F.col("h1").isin(clashes), F.col("h2")).otherwise(F.col("h1")) if clashes else F.col("h1")
     members = sets.withColumn("node", F.when(F.col("n") > 0, node))
-    nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.first("bits").alias("bits")))
     keyed, path = tabled(_keys(docs, counts, clashes, size, percent))
     shared = _sorted_groups(keyed, percent)
     dropped(spark, path)
-    wanted = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
-    held = _held(docs, wanted, clashes, size)
+    release(spark)
+    sharing = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
+    verified = _Verifier(docs, sharing, clashes, size, percent)
     groups, links, tested, names = shared, None, None, None  # names: of nodes that rounds have put in another's component
     rows = shared.select("key", "node", "n")
     if not rounds:
@@ -601,12 +617,12 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
             first = rows.groupBy("key", "comp").agg(F.min(F.struct("n", "node")).alias("f"))
             groups = _sorted_groups(first.select("key", "f.node", "f.n"), percent)
         pairs = cut(_stars(groups, percent))
-        found = _verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), held, percent)
+        found = verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         links, tested = (found, pairs) if links is None else (links.unionAll(found), tested.unionAll(pairs))
         names = connected_components(links)
         rows = _contested(rows.select("key", "node", "n"), names)
-    left = _tree_pairs(rows, held, percent, subtree)
-    found = _verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"), held, percent)
+    left = _tree_pairs(rows, sharing, percent, subtree)
+    found = verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"))
     links = found if links is None else links.unionAll(found)
     placed = nodes.join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
