@@ -26,7 +26,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
     """doc_id, text and y (0 or 1) of at most ``max_rows`` labelled documents that aren't held out.
 
     The sample is that of the least hashes of doc_id, of each class alike if ``balanced``. Its bound is why it may be
-    broadcast. Rows of ``labels`` with another label or none are left out; of contradicting rows the greatest counts.
+    broadcast. Of a doc_id with several texts that of the least hash is taken. Rows of ``labels`` with another label or none are left out; of contradicting rows the greatest counts.
     """
     known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -36,7 +36,9 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
         known = ones.unionAll(zeros)
     else:
         known = known.orderBy(*order).limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # a doc_id may be that of many rows
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("doc_id", "text", "y")
 
 
 def packed(array: np.ndarray) -> bytes:
@@ -83,6 +85,44 @@ def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.n
     return total
 
 
+def summed_rows(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray], rows: int, width: int, block: int = 512) -> np.ndarray:
+    """As ``summed``, of int64 arrays of ``rows`` by ``width``, for tables too large to travel whole.
+
+    A partition gives its table in blocks of rows, without those that are all zero; blocks are added by number, ``FAN_IN`` at
+    a time, so that a task meets a block of so many tables, and the driver each block once.
+    """
+    some = df.select(column)
+    parts = max(1, some.rdd.getNumPartitions())
+    names = ["part", "block", "data"]
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        got, part = work(b.column(0) for b in chained(first, batches)), TaskContext.get().partitionId()
+        for at in range(0, rows, block):
+            if (held := got[at : at + block]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([at // block], pa.int64()), pa.array([packed(held)], pa.binary())], names=names)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = 0
+        for data in group.column("data"):
+            total = total + unpacked(data.as_py())
+        return pa.table({"part": group.column("part").slice(0, 1), "block": group.column("block").slice(0, 1), "data": pa.array([packed(total)], pa.binary())})
+
+    out = some.mapInArrow(one, "part long, block long, data binary")
+    while parts > 1:
+        out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part", "block").applyInArrow(add, "part long, block long, data binary")
+        parts = -(-parts // FAN_IN)
+    total = np.zeros((rows, width), np.int64)
+    for r in out.select("block", "data").collect():
+        held = unpacked(r.data).reshape(-1, width)
+        total[r.block * block : r.block * block + len(held)] = held
+    return total
+
+
 def chained(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield first
     yield from rest

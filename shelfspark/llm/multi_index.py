@@ -1,16 +1,18 @@
 """Exact top-k search in binary codes by incremental multi-index hashing.
 
-Vectors become codes of 64 bits, one for each sign. A code's four segments of 16 bits are indexed by value. A query
-probes each segment's values at distance 0, then 1, and so on; after radius r every code at distance 4 (r + 1) - 1 or
-less has been met, as one of its segments is within r. A query ends when its kth verified distance is that or less.
+Vectors become codes of one bit for each sign, in words of 64 bits, as many as the dimensions need. A code's segments of 16
+bits are indexed by value. A query probes each segment's values at distance 0, then 1, and so on; after radius r
+every code at distance m (r + 1) - 1 or less, of m segments, has been met, as one of its segments is within r. A query
+ends when its kth verified distance is that or less.
 
 A pair is taken at its first segment of least distance, so no pair is taken twice and none is counted again. Equal codes
-are one, with their number and their least ids: a code that a third of all rows have is one row of the index.
+are one, with their number and their least ids: a code that a third of all rows have is one row of the index. The masks of
+a radius are a small table; probes are dealt out before they are made.
 
-Defined results: a null vector has no code and is neither query nor result; missing, null and NaN signs are 0, signs
-beyond 64 aren't used (more words of codes would be). Rows of one id and one code are one. A query isn't its own
+Defined results: a null vector has no code and is neither query nor result; missing, null and NaN signs are 0, so a shorter
+vector counts as one that ends in zeros. Rows of one id and one code are one. A query isn't its own
 result; ties go to the lesser id; fewer than k other rows give fewer results. An empty table gives none. Extra columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,31 +21,39 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import cut, width as partitions
 
-SEGMENTS, WIDTH = 4, 16
+WORD, WIDTH = 64, 16
 
 
-def sign_code(vector: Column) -> Column:
-    """One bit for each positive element of the first 64."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(vector.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+def sign_code(vector: Column, words: int) -> Column:
+    """One bit for each positive element, in an array of ``words`` numbers of 64 bits."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def word(w: Column) -> Column:
+        bits = F.transform(F.slice(vector, w * WORD + 1, WORD), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", one, i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda a, b: a.bitwiseOR(b))
+
+    return F.when(vector.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word))
 
 
 def segment(code: Column, i: int) -> Column:
-    return F.shiftright(code, WIDTH * i).bitwiseAND((1 << WIDTH) - 1).cast("int")
+    per = WORD // WIDTH
+    return F.shiftrightunsigned(code[i // per], WIDTH * (i % per)).bitwiseAND((1 << WIDTH) - 1).cast("int")
 
 
-def apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def apart(a: Column, b: Column, words: int) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(words)))
 
 
-def _probes(queries: DataFrame, radius: int) -> DataFrame:
+def _probes(queries: DataFrame, radius: int, segments: int) -> DataFrame:
     """(query, part, value) of every segment value at ``radius`` from each query's."""
-    masks = F.array(*(F.lit(m) for m in range(1 << WIDTH) if m.bit_count() == radius)) if radius in (0, WIDTH) else F.filter(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1)), lambda m: F.bit_count(m) == radius)
-    parts = F.array(*(F.struct(F.lit(i).alias("part"), segment(F.col("query"), i).alias("own")) for i in range(SEGMENTS)))
-    each = queries.select("query", F.explode(parts).alias("p")).select("query", "p.part", "p.own", F.explode(masks).alias("mask"))
-    return each.select("query", "part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    spark = queries.sparkSession
+    masks = F.broadcast(spark.range(1 << WIDTH, numPartitions=1).where(F.bit_count("id") == radius).select(F.bit_count("id").alias("radius"), F.col("id").cast("int").alias("mask")))
+    parts = F.array(*(F.struct(F.lit(i).alias("part"), segment(F.col("query"), i).alias("own")) for i in range(segments)))
+    each = queries.select("query", F.explode(parts).alias("p")).select("query", "p.part", "p.own", F.lit(radius).alias("radius"))
+    dealt = each.repartition(partitions(spark), "query", "part")
+    return dealt.join(masks, "radius").select("query", "part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -51,9 +61,12 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, id_column: str = "vec
 
     Returns query_id, rank from 1, the id and distance, in the order of distance and id.
     """
-    items = cut(rows.select(F.col(id_column).alias("id"), sign_code(F.col(vector)).alias("code")).where("id is not null and code is not null").distinct())
+    longest = rows.agg(F.max(F.size(vector)).alias("n")).first().n or 0
+    words = max(1, -(-longest // WORD))
+    segments = max(1, -(-longest // WIDTH))
+    items = cut(rows.select(F.col(id_column).alias("id"), sign_code(F.col(vector), words).alias("code")).where("id is not null and code is not null").distinct())
     codes = cut(items.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("least")))
-    index = cut(codes.select("code", "n", "least", F.explode(F.array(*(F.struct(F.lit(i).alias("part"), segment(F.col("code"), i).alias("value")) for i in range(SEGMENTS)))).alias("s")).select("s.part", "s.value", "code", "n", "least"))
+    index = cut(codes.select("code", "n", "least", F.explode(F.array(*(F.struct(F.lit(i).alias("part"), segment(F.col("code"), i).alias("value")) for i in range(segments)))).alias("s")).select("s.part", "s.value", "code", "n", "least"))
     asked = items.where(queries)
     # a query's own id may have several codes; so many more are looked for
     own = items.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
@@ -62,13 +75,13 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, id_column: str = "vec
     found, active = None, wanted
     near = Window.partitionBy("query").orderBy("d", "least")
     for radius in range(WIDTH + 1):
-        met = _probes(active, radius).join(index, ["part", "value"]).join(active, "query")
-        dists = [apart(segment(F.col("query"), i), segment(F.col("code"), i)) for i in range(SEGMENTS)]
-        first = reduce(lambda a, b: a | b, ((F.col("part") == i) & reduce(lambda a, b: a & b, (dists[j] > radius if j < i else dists[j] >= radius for j in range(SEGMENTS))) for i in range(SEGMENTS)))
-        new = met.where(first).select("query", "need", "code", "n", "least", apart(F.col("query"), F.col("code")).alias("d"))
+        met = _probes(active, radius, segments).join(index, ["part", "value"]).join(active, "query")
+        dists = [F.bit_count(segment(F.col("query"), i).bitwiseXOR(segment(F.col("code"), i))) for i in range(segments)]
+        first = reduce(lambda a, b: a | b, ((F.col("part") == i) & reduce(lambda a, b: a & b, (dists[j] > radius if j < i else dists[j] >= radius for j in range(segments))) for i in range(segments)))
+        new = met.where(first).select("query", "need", "code", "n", "least", apart(F.col("query"), F.col("code"), words).alias("d"))
         both = new if found is None else found.unionAll(new)
         found = cut(both.withColumn("r", F.row_number().over(near)).where((F.col("r") <= F.col("need")) & (F.col("r") <= most)).drop("r"))
-        sure = found.where(F.col("d") <= SEGMENTS * (radius + 1) - 1).groupBy("query").agg(F.sum("n").alias("n"))
+        sure = found.where(F.col("d") <= segments * (radius + 1) - 1).groupBy("query").agg(F.sum("n").alias("n"))
         active = cut(wanted.join(sure, "query", "left").where(F.coalesce("n", F.lit(0)) < F.col("need")).select("query", "need"))
         if active.isEmpty():
             break

@@ -1,149 +1,188 @@
 """Quality classifier: random-indexing word vectors, pooled, and a calibrated two-layer network.
 
-Random indexing: a word class has a fixed sparse ternary index vector; its word vector is the sum of the index
-vectors of its neighbours wherever it occurs in the corpus, within two words. Words are unbounded, so they are
-classed by form (case, digits, the marks they end in), a hash of the word, and whether they repeat the word before.
-The sums run over all documents in whole numbers, so partitioning doesn't change them.
-
-A document is the mean of its words' vectors, drawn to the mean of the learning rows as if it had ``PRIOR`` more words
-of it, so that a text of a few odd words isn't judged by them alone. A network with one hidden layer maps that to a logit; a temperature
-fitted on a fifth of the learning rows, which the network doesn't see, turns logits to probabilities.
+Random indexing: each word has a sparse ternary index vector that its hash gives; its word vector is the sum of the
+index vectors of what stands within two words of it, wherever it occurs in the corpus. A word is what stands between
+ASCII white space, as written, and has the row of its hash in a table of 2^18; unrelated words seldom share one. How a
+word is written (case, digits, the marks it ends in, whether it repeats the word before) is a second symbol at its
+place, with an index vector and a vector of its own, so words that were never met still tell something. The sums run
+over all documents in whole numbers, so partitioning doesn't change them; blocks of the table are summed by a shuffle.
+
+A document is the mean of its words' vectors beside the mean of their forms', drawn to the mean of the learning rows as if
+it had ``PRIOR`` more words of it, so that a text of a few odd words isn't judged by them alone. A network with one
+hidden layer maps that to a logit; a temperature fitted on a fifth of the learning rows, which the network doesn't see,
+turns logits to probabilities. The network learns from at most ``max_rows`` labelled documents.
 
 Defined results: a null or empty text is that mean and scored as such; without learning rows every score is
-1, with rows of one class every score is the smoothed share of label 1. Repeated rows are scored alike. Extra
-columns are ignored. Very long texts are read whole.
+1, with rows of one class every score is the smoothed share of label 1. Repeated rows are scored alike; of a labelled
+doc_id with several texts one is learnt from, that of the least hash. An empty table gives no rows. Extra columns are
+ignored, whatever their names. Very long texts are read whole, in parts of ``PART`` bytes cut at white space; words on
+the two sides of such a cut aren't neighbours.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..plans.cut import bounded_batches
 from . import labelled
-from .memo import remembered
 
-FORMS, BUCKETS = 32, 32
-CLASSES = 2 * FORMS * BUCKETS  # the upper half: words that repeat the word before
+#: Rows of words, as a power of two, and of forms.
+WORD_BITS, FORMS = 18, 4096
+ROWS = (1 << WORD_BITS) + FORMS
 DIMENSIONS, NONZERO, REACH = 32, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 16, 400, 0.02, 1e-4
 PRIOR = 8
 THRESHOLD = 0.3
-REMEMBERED = 400_000
-#: Marks that may stand before or after a word: fixed values.
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2022\u2026\u20ac"
-WIDE = struct.Struct("<q")
-#: Words whose vectors are gathered at once.
-BLOCK = 400_000
-
-
-class WordClasses(dict):
-    """Of a word, eight bytes: its hash above its class."""
-
-    def __init__(self):
-        super().__init__()
-        self.forms: dict[tuple[str, str], int] = {}
-
-    def form(self, shape: str, end: str) -> int:
-        found = self.forms.get((shape, end))
-        if found is None:
-            found = zlib.crc32(f"{shape} {end}".encode()) % FORMS
-            if len(self.forms) < REMEMBERED:
-                self.forms[shape, end] = found
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        left = word.rstrip(MARKS)
-        core = left.lstrip(MARKS)
-        if not core:
-            form = self.form("none", word[-3:])
-        else:
-            if core.islower():
-                shape = "lower" if core.isalpha() else "digits"
-            elif not core.isalpha():
-                shape = "digits"
-            elif core.isupper() and len(core) > 1:
-                shape = "upper"
-            else:
-                shape = "capital" if core[1:].islower() or len(core) == 1 else "mixed"
-            form = self.form(shape, word[len(left) :][-3:])
-        found = WIDE.pack((zlib.crc32(word.encode()) << 16) | (form * BUCKETS + zlib.crc32(core.lower().encode()) % BUCKETS))
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-def word_classes() -> WordClasses:
-    """One for a worker, whatever tasks it runs."""
-    return remembered("word_classes", WordClasses)
-
-
-def classed(texts: pa.Array, words: WordClasses) -> Iterable[tuple[np.ndarray, np.ndarray]]:
-    """Classes of all words of some texts, and where each text ends among them; texts in blocks of bounded size."""
-    held: list[bytes] = []
-    ends: list[int] = []
-    total = 0
-    for text in texts:
-        held.append(b"".join(map(words.__getitem__, (text.as_py() or "").split())))
-        total += len(held[-1]) // 8
-        ends.append(total)
-        if total >= BLOCK:
-            yield _classes(held, ends), np.array(ends)
-            held, ends, total = [], [], 0
-    if ends:
-        yield _classes(held, ends), np.array(ends)
+#: Bytes of text that are looked at together, and the longest part of a text.
+PART = 1 << 20
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_LOWER, _UPPER, _DIGIT, _HIGH, _MARK, _SPACE = range(6)
+_KIND = np.array([_SPACE if c in b" \t\n\v\f\r" else _LOWER if 97 <= c <= 122 else _UPPER if 65 <= c <= 90 else _DIGIT if 48 <= c <= 57 else _HIGH if c >= 128 else _MARK for c in range(256)], np.uint8)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(_MIX[1])
+    return x ^ (x >> np.uint64(32))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int, base: int) -> np.ndarray:
+    """base^0, base^1, ..., modulo 2^64."""
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        more = min(k, n - k)
+        out[k : k + more] = out[:more] * np.uint64(pow(base, k, 1 << 64))
+        k += more
+    return out
 
 
-def _classes(held: list[bytes], ends: list[int]) -> np.ndarray:
-    both = np.frombuffer(b"".join(held), dtype="<i8")
-    again = np.zeros(len(both), bool)
-    again[1:] = both[1:] == both[:-1]
-    again[[e for e in ends if e < len(both)]] = False  # a text's first word repeats none
-    return (both & 0xFFFF) + again * (CLASSES // 2)
+class Symbols(NamedTuple):
+    """Of each word of some texts in turn: the number of its text, the row of the word and the row of its form."""
+
+    text: np.ndarray
+    word: np.ndarray
+    form: np.ndarray
+
+
+def symbols(parts: list[bytes], texts: list[int]) -> Symbols:
+    """``parts`` of texts, and the number of the text that each belongs to; words of two parts don't repeat each other."""
+    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    kind = _KIND[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], kind == _SPACE]).view(np.int8)))
+    start, end = edges[::2], edges[1::2]
+    size = 1 << max(21, len(raw).bit_length())
+    # a word's hash: the sum of its bytes times powers of an odd number, read off running sums modulo 2^64
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(size, _MIX[0])[: len(raw)])])
+    hashes = _mixed((sums[end] - sums[start]) * _powers(size, pow(_MIX[0], -1, 1 << 64))[start])
+    part = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, side="right")
+    count = lambda k: np.concatenate([[0], np.cumsum(kind == k)])
+    upper, digit, mark = (c[end] - c[start] for c in map(count, (_UPPER, _DIGIT, _MARK)))
+    length = end - start
+    case = np.where(upper == 0, 0, np.where(upper + mark + digit >= length, 2, np.where((upper == 1) & (kind[start] == _UPPER), 1, 3)))
+    tail, closed = np.zeros(len(start), np.uint64), np.ones(len(start), bool)
+    for back in (1, 2, 3):  # the marks that the word ends in, three at most
+        at = np.maximum(end - back, 0)
+        closed &= (length >= back) & (kind[at] == _MARK)
+        tail = tail * np.uint64(256) + np.where(closed, raw[at], 0).astype(np.uint64)
+    again = np.zeros(len(start), bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (part[1:] == part[:-1])
+    shape = ((case * 2 + (digit > 0)) * 2 + again).astype(np.uint64)
+    form = (_mixed((tail * np.uint64(64) + shape + np.uint64(1)) * np.uint64(_MIX[2])) % np.uint64(FORMS)).astype(np.int64)
+    return Symbols(np.asarray(texts, dtype=np.int64)[part], (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), form + (1 << WORD_BITS))
+
+
+def parted(text: bytes) -> Iterator[bytes]:
+    """``text`` in parts of at most ``PART`` bytes and the rest of a word."""
+    at = 0
+    while len(text) - at > PART:
+        end = at + PART
+        while end < len(text) and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def blocks(texts: Iterable[pa.Scalar]) -> Iterator[tuple[Symbols, int]]:
+    """The symbols of texts, a block of bounded size at a time, and the number of texts so far; a text may span blocks."""
+    parts: list[bytes] = []
+    of: list[int] = []
+    held = number = 0
+    for text in texts:
+        for part in parted((text.as_py() or "").encode()):
+            parts.append(part)
+            of.append(number)
+            held += len(part)
+            if held >= PART:
+                yield symbols(parts, of), number + 1
+                parts, of, held = [], [], 0
+        number += 1
+    if parts:
+        yield symbols(parts, of), number
+
+
+@cache
+def index_vectors() -> np.ndarray:
+    """Of each row, ``NONZERO`` ones and as many minus ones at places that its number gives."""
+    out = np.zeros((ROWS, DIMENSIONS), np.int8)
+    for at in range(0, ROWS, 1 << 14):
+        some = out[at : at + (1 << 14)]
+        drawn = _mixed((np.arange(some.size, dtype=np.uint64) + np.uint64(at * DIMENSIONS)) * np.uint64(_MIX[0]) + np.uint64(1))
+        order = np.argsort(drawn.reshape(some.shape), axis=1)
+        np.put_along_axis(some, order[:, :NONZERO], 1, 1)
+        np.put_along_axis(some, order[:, NONZERO : 2 * NONZERO], -1, 1)
+    return out
 
 
-def index_vectors() -> np.ndarray:
-    """Of each class, ``NONZERO`` ones and as many minus ones at places drawn by its number."""
-    out = np.zeros((CLASSES, DIMENSIONS), dtype=np.int64)
-    rng = np.random.default_rng(20_240)
-    for row in out:
-        at = rng.choice(DIMENSIONS, 2 * NONZERO, replace=False)
-        row[at[:NONZERO]], row[at[NONZERO:]] = 1, -1
+def unit(raw: np.ndarray) -> np.ndarray:
+    """The rows of ``raw`` at length 1, or 0."""
+    out = np.empty(raw.shape, np.float32)
+    for at in range(0, len(raw), 1 << 14):
+        some = raw[at : at + (1 << 14)].astype(np.float64)
+        out[at : at + len(some)] = some / (np.linalg.norm(some, axis=1, keepdims=True) + 1e-9)
     return out
 
 
 def contexts(batches: Iterable[pa.Array]) -> np.ndarray:
-    """Summed index vectors of each class's neighbours in the texts, flat."""
-    words, met = word_classes(), np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    """Summed index vectors of what stands near each symbol in the texts."""
+    index, out = index_vectors(), np.zeros((ROWS, DIMENSIONS), np.int64)
     for texts in batches:
-        for ids, ends in classed(texts, words):
-            text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        for (text, *rows), _ in blocks(texts):
+            own = index[rows[0]].astype(np.int32) + index[rows[1]]
+            near = np.zeros_like(own)
             for reach in range(1, REACH + 1):
-                same = text[reach:] == text[:-reach]
-                met += np.bincount(ids[:-reach][same] * CLASSES + ids[reach:][same], minlength=CLASSES * CLASSES)
-    met = met.reshape(CLASSES, CLASSES)
-    index = index_vectors()
-    return ((met @ index) + (met.T @ index)).ravel()
+                same = (text[reach:] == text[:-reach])[:, None]
+                near[reach:] += own[:-reach] * same
+                near[:-reach] += own[reach:] * same
+            for row in rows:
+                order = np.argsort(row, kind="stable")
+                first = np.flatnonzero(np.diff(row[order], prepend=-1))
+                if len(first):
+                    out[row[order[first]]] += np.add.reduceat(near[order], first, axis=0)
+    return out
 
 
-def sums(texts: pa.Array, words: WordClasses, vectors: np.ndarray) -> np.ndarray:
-    """The sum of the word vectors of each text and, last, the number of its words."""
-    out, wide = [], vectors.astype(np.float64)
-    for ids, ends in classed(texts, words):
-        starts = np.concatenate([[0], ends[:-1]])
-        for k in range(0, len(ends), 256):
-            counts = np.stack([np.bincount(ids[i:j], minlength=CLASSES) for i, j in zip(starts[k : k + 256], ends[k : k + 256], strict=True)]).astype(np.float64)
-            out.append(np.concatenate([counts @ wide, counts.sum(1, keepdims=True)], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, vectors.shape[1] + 1))
+def sums(texts: Iterable[pa.Scalar], vectors: np.ndarray) -> np.ndarray:
+    """The sums of the word vectors and of the form vectors of each text and, last, the number of its words."""
+    out = np.zeros((0, 2 * vectors.shape[1] + 1))
+    for (text, word, form), number in blocks(texts):
+        out = np.concatenate([out, np.zeros((number - len(out), out.shape[1]))])
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        if len(first):
+            both = [np.add.reduceat(vectors[row], first, axis=0, dtype=np.float64) for row in (word, form)]
+            out[text[first]] += np.concatenate([*both, np.diff(first, append=len(text))[:, None]], axis=1)
+    return out
 
 
 def pooled(summed: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -206,7 +245,7 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """Word vectors and network; ``constant`` instead where nothing could be learnt."""
 
-    vectors: np.ndarray
+    vectors: Broadcast
     prior: np.ndarray
     network: Network | None
     constant: float
@@ -219,7 +258,7 @@ class Model:
         def score(texts: pa.Array) -> pa.Array:
             if network is None:
                 return pa.array(np.full(len(texts), constant))
-            return pa.array(network.probabilities(pooled(sums(texts, word_classes(), vectors), prior)))
+            return pa.array(network.probabilities(pooled(sums(texts, vectors.value), prior)))
 
         return score
 
@@ -227,19 +266,17 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS) -> Model:
     """Word vectors from all of ``docs`` (doc_id, text), the network from ``labels`` (doc_id, quality)."""
     bounded_batches(docs.sparkSession)
-    total = labelled.summed(docs, "text", contexts)
-    raw = (np.zeros(CLASSES * DIMENSIONS) if total is None else total.astype(np.float64)).reshape(CLASSES, DIMENSIONS)
-    vectors = (raw / (np.linalg.norm(raw, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+    vectors = docs.sparkSession.sparkContext.broadcast(unit(labelled.summed_rows(docs, "text", contexts, ROWS, DIMENSIONS)))  # of fixed size
 
     @F.arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array(sums(texts, word_classes(), vectors).tolist(), pa.list_(pa.float64()))
+        return pa.array(sums(texts, vectors.value).tolist(), pa.list_(pa.float64()))
 
     rows = labelled.learning_rows(docs, labels, "quality", max_rows).select("doc_id", "y", features("text").alias("x"))
     got = sorted(((str(r.doc_id), r.y, r.x) for r in rows.collect()))
     y = np.array([r[1] for r in got], dtype=np.float64)
     if len(set(y.tolist())) < 2:
-        return Model(vectors, np.zeros(DIMENSIONS), None, float((y.sum() + 1) / (len(y) + 2)) if len(y) else 1.0)
+        return Model(vectors, np.zeros(2 * DIMENSIONS), None, float((y.sum() + 1) / (len(y) + 2)) if len(y) else 1.0)
     found = np.array([r[2] for r in got])
     prior = found[:, :-1].sum(0) / max(found[:, -1].sum(), 1)
     x = pooled(found, prior)

@@ -141,9 +141,10 @@ select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(component, doc_id)
 
 
 OP3_SQL = """
-with v as (select distinct vec_id, list_transform(embedding[1:64], lambda x: coalesce(x > 0 and not isnan(x), false)) as code from embeddings where embedding is not null),
+with w as (select max(len(embedding)) as dims from embeddings),
+v as (select distinct vec_id, list_transform(range(1, dims + 1), lambda i: coalesce(embedding[i] > 0 and not isnan(embedding[i]), false)) as code from embeddings, w where embedding is not null),
 p as (
-    select q.vec_id as query_id, v.vec_id, min(len(list_filter(range(1, 65), lambda i: coalesce(q.code[i], false) <> coalesce(v.code[i], false)))) as d
+    select q.vec_id as query_id, v.vec_id, min(len(list_filter(list_zip(q.code, v.code), lambda x: x[1] <> x[2]))) as d
     from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id group by all),
 r as (select query_id, vec_id, d, row_number() over (partition by query_id order by d, vec_id) as rank from p)
 select query_id, cast(rank as int) as rank, vec_id, cast(d as int) as distance from r where rank <= 10

@@ -3,14 +3,16 @@
 A text's marks are its distinct words and, for insults that come with many endings, the first four, five and six
 letters of them. A word counts 1; a beginning counts by the share of the text's distinct words that have it, as long
 texts have any beginning by chance. The fit uses the marks of the learning rows that tell the classes apart best, by
-chi-square, and a fixed list of identity terms. Of learning rows that are near copies, told by the least hash of
-their longer words, one is used, lest the odd words of a copied text pass for insults. Each learning row is paired with a counterfactual: its identity terms swapped for others of their
-group or, if it has none, one inserted. The fit minimises the log loss plus a ridge plus a penalty on the squared
-change of the logit between a row and its counterfactual, so naming a group doesn't by itself move a score.
-
-Defined results: null and empty texts have no words and get the score of the bias; without learning rows every
-score is 0, with rows of one class the smoothed share of label 1. Repeated rows are scored alike. Extra columns are
-ignored. Texts are read whole.
+chi-square, at most ``max_marks`` of those that ``LEAST_ROWS`` rows have, and a fixed list of identity terms. Learning
+rows that are near copies, told by min-hashes of their shingles, share one row's weight, lest the odd words of a text
+with many copies pass for insults. Each learning row is paired with a counterfactual: its identity terms swapped for
+others of their group or, if it has none, one inserted. The fit minimises the log loss plus a ridge plus a penalty on
+the squared change of the logit between a row and its counterfactual, so naming a group doesn't by itself move a score.
+
+The fit takes at most ``max_rows`` labelled documents, half of each class. Defined results: null and empty texts have no
+words and get the score of the bias; without learning rows every score is 0, with rows of one class the smoothed share
+of label 1. Repeated rows are scored alike; of a labelled doc_id with several texts one is learnt from, that of the
+least hash. An empty table gives no rows. Extra columns are ignored, whatever their names. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,14 +27,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import BinaryType, DoubleType
 
+from ..operators.graph import least_labels
 from ..plans.cut import bounded_batches, cut
 from . import labelled
+from .jaccard_join import shingles
 from .quality import sigmoid
 
 WORD = re.compile(r"[^\W_]+")
-MAX_MARKS, LEAST_ROWS, LEAST_SHARE = 300, 5, 0.02
+MAX_MARKS, LEAST_ROWS = 600, 5
+#: Min-hashes of a learning row, in bands of so many, and how many near copies share.
+HASHES, BAND, ALIKE = 16, 2, 11
 RIDGE, COUNTERFACTUAL = 1.0, 50.0
 SWEEPS = 3
 THRESHOLD = 0.5
@@ -130,8 +136,8 @@ class Model:
         return score
 
 
-def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> np.ndarray:
-    """Weights and, last, bias of the penalised logistic fit, by Newton's method; both classes weigh alike.
+def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, each: np.ndarray | None = None, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> np.ndarray:
+    """Weights and, last, bias of the penalised logistic fit, by Newton's method; both classes weigh alike, and in them rows as ``each`` says.
 
     The ridge of a word is then divided by its weight and the fit repeated, so words that only go with others that
     explain the label lose theirs. change: of each row, its counterfactual less itself. The penalty is quadratic in the weights, so its part of
@@ -139,10 +145,11 @@ def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE
     """
     a = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1, dtype=np.float32)
     fixed = np.zeros((a.shape[1], a.shape[1]))
-    fixed[:-1, :-1] = penalty * (change.T @ change)
+    each = np.ones(len(x)) if each is None else each
+    fixed[:-1, :-1] = penalty * (change.T @ (change * each[:, None].astype(np.float32)))
     fixed[-1, -1] = 1e-6
     w = np.zeros(a.shape[1])
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    weight = each * each.sum() * np.where(y == 1, 0.5 / (each * y).sum(), 0.5 / (each * (1 - y)).sum())
     for sweep in range(SWEEPS):
         shrink = ridge if not sweep else ridge / (np.abs(w[:-1]) + 0.1)
         held = fixed.copy()
@@ -159,54 +166,78 @@ def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE
     return w
 
 
-def vocabulary(rows: DataFrame, n1: int, n: int, max_marks: int) -> list[str]:
-    """The marks of most chi-square among learning rows ``rows`` (text, y), at most ``max_marks``."""
+def vocabulary(rows: DataFrame, n1: float, n: float, max_marks: int) -> list[str]:
+    """The marks of most chi-square among learning rows ``rows`` (text, y, weight), at most ``max_marks``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: tuple[Counter, Counter] = Counter(), Counter()
+        met: tuple[Counter, ...] = Counter(), Counter(), Counter()  # weights of the classes, and rows
 
         def handed() -> pa.RecordBatch:
-            every = list(met[0].keys() | met[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([m[w] for w in every], pa.float64()) for m in met)], names=["word", "n0", "n1"])
+            every = list(met[2])
+            out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([m[w] for w in every], pa.float64()) for m in met)], names=["word", "n0", "n1", "rows"])
             for m in met:
                 m.clear()
             return out
 
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, y, weight in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for mark, value in marks_of(words_of(text.as_py())).items():
-                    met[y][mark] += value
-                if len(met[0]) + len(met[1]) > HELD:
+                    met[y][mark] += value * weight
+                    met[2][mark] += 1
+                if len(met[2]) > HELD:
                     yield handed()
         yield handed()
 
-    total = rows.select("text", "y").mapInArrow(counted, "word string, n0 double, n1 double").groupBy("word").agg(F.round(F.sum("n0"), 6).alias("n0"), F.round(F.sum("n1"), 6).alias("n1"))
-    a, b, n0 = F.col("n1").cast("double"), F.col("n0").cast("double"), n - n1
+    summed = rows.select("text", "y", "weight").mapInArrow(counted, "word string, n0 double, n1 double, rows double").groupBy("word")
+    total = summed.agg(F.round(F.sum("n0"), 6).alias("n0"), F.round(F.sum("n1"), 6).alias("n1"), F.sum("rows").alias("rows"))
+    a, b, n0 = F.col("n1"), F.col("n0"), n - n1
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / ((a + b) * (n - a - b + F.lit(1e-9)) * n1 * n0)
-    best = total.where(F.col("n0") + F.col("n1") >= max(LEAST_ROWS, LEAST_SHARE * n1)).withColumn("chi", chi).orderBy(F.col("chi").desc(), "word").limit(max_marks)
+    best = total.where((F.col("rows") >= LEAST_ROWS) & (a + b > 0)).withColumn("chi", chi).orderBy(F.round("chi", 4).desc(), "word").limit(max_marks)
     return [r.word for r in best.collect()]
 
 
-def copy_mark(texts: pa.Array) -> pa.Array:
-    """Of each text, the least hash of its words of eight letters or more; without any, the hash of the text."""
+def signature(texts: pa.Array) -> pa.Array:
+    """``HASHES`` min-hashes of the shingles of each text; null if it has none."""
+    factors = np.array([(2 * zlib.crc32(f"hash {i}".encode()) + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(HASHES)], dtype=np.uint64)
     out = []
     for t in texts:
-        text = t.as_py() or ""
-        out.append(min((zlib.crc32(w.encode()) for w in words_of(text) if len(w) >= 8), default=zlib.crc32(text.encode())))
-    return pa.array(out, pa.int64())
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS, max_marks: int = MAX_MARKS) -> Model:
+        found = shingles((t.as_py() or "").encode())
+        out.append(np.array([(found * f).min() for f in factors]).tobytes() if len(found) else None)
+    return pa.array(out, pa.binary())
+
+
+def copies(signatures: list[bytes | None]) -> np.ndarray:
+    """How many rows are near copies of each, itself included: those of which links of ``ALIKE`` equal min-hashes make one group."""
+    known = [i for i, s in enumerate(signatures) if s is not None]
+    held = np.array([np.frombuffer(signatures[i], dtype=np.uint64) for i in known]).reshape(-1, HASHES)
+    first: dict[tuple[int, bytes], int] = {}
+    pairs = set()
+    for row, hashes in enumerate(held):
+        for band in range(0, HASHES, BAND):  # rows that share a band meet its first
+            other = first.setdefault((band, hashes[band : band + BAND].tobytes()), row)
+            if other != row and (held[other] == hashes).sum() >= ALIKE:
+                pairs.add((other, row))
+    a, b = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2).T
+    label = least_labels(len(known), a, b)
+    out = np.ones(len(signatures), dtype=np.int64)
+    out[known] = np.bincount(label, minlength=len(known))[label] if known else 1
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS, max_marks: int = MAX_MARKS, penalty: float = COUNTERFACTUAL) -> Model:
     """Learns from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text), at most ``max_rows`` rows, half of each class."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = labelled.learning_rows(docs, labels, "toxic", max_rows, balanced=True).withColumn("y", F.col("y").cast("int"))
-    rows = cut(rows.withColumn("copy", F.arrow_udf(copy_mark, LongType())("text")).dropDuplicates(["copy", "y"]))
-    share = rows.agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
-    n, n1 = share.n, share.n1 or 0
-    if n1 in (0, n):
-        rate = (n1 + 1) / (n + 2)
-        return Model({}, float(np.log(rate / (1 - rate))) if n else -40.0)
-    names = sorted({*vocabulary(rows, n1, n, max_marks), *GROUP})
+    rows = cut(rows.withColumn("signature", F.arrow_udf(signature, BinaryType())("text")))
+    known = sorted(rows.select("doc_id", "y", "signature").collect(), key=lambda r: str(r.doc_id))
+    y = np.array([r.y for r in known], dtype=np.float64)
+    if not 0 < y.sum() < len(y):
+        rate = (y.sum() + 1) / (len(y) + 2)
+        return Model({}, float(np.log(rate / (1 - rate))) if len(y) else -40.0)
+    each = 1 / copies([r.signature for r in known])
+    weights = spark.createDataFrame(pa.table({"doc_id": [r.doc_id for r in known], "weight": each}))
+    names = sorted({*vocabulary(rows.join(F.broadcast(weights), "doc_id"), float(each @ y), float(each.sum()), max_marks), *GROUP})
     place = {w: i for i, w in enumerate(names)}
 
     @F.arrow_udf("struct<own:binary,other:binary>")
@@ -214,18 +245,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS, m
         out = []
         for i, t in zip(ids.to_pylist(), texts, strict=True):
             words = words_of(t.as_py())
-            both = ([v for m, n in marks_of(x).items() if m in place for v in (place[m], n)] for x in (words, counterfactual(words, i)))
+            both = ([v for m, n in sorted(marks_of(x).items()) if m in place for v in (place[m], n)] for x in (words, counterfactual(words, i)))
             out.append(dict(zip(("own", "other"), (np.array(v, dtype=np.float32).tobytes() for v in both), strict=True)))
         return pa.array(out, pa.struct([("own", pa.binary()), ("other", pa.binary())]))
 
-    got = sorted((str(r.doc_id), r.y, bytes(r.x.own), bytes(r.x.other)) for r in rows.select("doc_id", "y", features("doc_id", "text").alias("x")).toLocalIterator())
-    x, change = (np.zeros((len(got), len(names)), dtype=np.float32) for _ in range(2))
-    for k, (_, _, own, other) in enumerate(got):
-        (at, n), (to, m) = (np.frombuffer(v, dtype=np.float32).reshape(-1, 2).T for v in (own, other))
-        x[k, at.astype(int)] = n
+    at = {str(r.doc_id): k for k, r in enumerate(known)}
+    x, change = (np.zeros((len(known), len(names)), dtype=np.float32) for _ in range(2))
+    for r in rows.select("doc_id", features("doc_id", "text").alias("x")).collect():
+        k = at[str(r.doc_id)]
+        (here, n), (to, m) = (np.frombuffer(bytes(v), dtype=np.float32).reshape(-1, 2).T for v in (r.x.own, r.x.other))
+        x[k, here.astype(int)] = n
         change[k, to.astype(int)] = m
         change[k] -= x[k]
-    w = solve(x, np.array([g[1] for g in got], dtype=np.float64), change)
+    w = solve(x, y, change, each, penalty=penalty)
     return Model({n: float(v) for n, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-9}, float(w[-1]))
 
 

@@ -52,20 +52,47 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in tried) / len(tried) > 0.95
 
 
-def test_word_classes_and_vectors():
-    words = quality.WordClasses()
-    texts = quality.pa.array(["a b a", "", None, "X!! Y!! Y!!"])
-    (ids, ends), *_ = quality.classed(texts, words)
-    assert ends.tolist() == [3, 3, 3, 6]
-    again = ids >= quality.CLASSES // 2
-    assert again.tolist() == [False] * 5 + [True]
-    index = quality.index_vectors()
-    want = np.zeros((quality.CLASSES, quality.DIMENSIONS), np.int64)
-    for lo, hi in ((0, 3), (3, 6)):
+def test_words_and_vectors(monkeypatch):
+    texts = quality.pa.array(["a b a", "", None, " X!!  Y!!\tY!! é9"])
+    (found, number), *more = quality.blocks(texts)
+    assert not more and number == 4 and found.text.tolist() == [0, 0, 0, 3, 3, 3, 3]
+    assert found.word[0] == found.word[2] != found.word[1] and found.word[4] == found.word[5]
+    assert found.form[0] == found.form[1] and len({*found.form[3:].tolist()}) == 3  # the second Y!! repeats the first
+    index = quality.index_vectors().astype(np.int64)
+    assert (index.sum(1) == 0).all() and (np.abs(index).sum(1) == 2 * quality.NONZERO).all()
+    want = np.zeros(index.shape, np.int64)
+    for lo, hi in ((0, 3), (3, 7)):
         for i, j in itertools.permutations(range(lo, hi), 2):
             if abs(i - j) <= quality.REACH:
-                want[ids[i]] += index[ids[j]]
-    assert (quality.contexts([texts]).reshape(want.shape) == want).all()
+                for row in (found.word[i], found.form[i]):
+                    want[row] += index[found.word[j]] + index[found.form[j]]
+    assert (quality.contexts([texts]) == want).all()
+    vectors = quality.unit(want)
+    summed = quality.sums(texts, vectors)
+    assert np.allclose(summed[3], [*vectors[found.word[3:]].sum(0), *vectors[found.form[3:]].sum(0), 4])
+    # distinct words have rows of their own, and parts of a long text add up
+    many, _ = next(quality.blocks(quality.pa.array([" ".join(f"{chr(97 + i % 26)}{i}" for i in range(650))])))
+    assert len(set(many.word.tolist())) >= 648
+    monkeypatch.setattr(quality, "PART", 50)
+    parted = quality.sums(quality.pa.array([LONG[:5000], "x " * 300]), vectors)
+    monkeypatch.setattr(quality, "PART", 1 << 20)
+    whole = quality.sums(quality.pa.array([LONG[:5000], "x " * 300]), vectors)
+    assert parted[:, -1].tolist() == whole[:, -1].tolist() and np.allclose(parted[0], whole[0])
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    for module in (quality, toxicity):
+        one, other = ({r.doc_id: r.score for r in module.score(docs, module.fit(dealt, labels)).collect()} for dealt in (docs.coalesce(1), docs.repartition(5, F.rand(3))))
+        assert one == other
+
+
+def test_the_bound_of_learning_rows_holds(spark):
+    docs = spark.createDataFrame([(k, f"text {i % 3}") for k in range(40) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = quality.labelled.learning_rows(docs, labels, "quality", 2).collect()
+    assert len(rows) == 2 and len({r.text for r in rows}) == 1
 
 
 def test_temperature():
@@ -105,6 +132,22 @@ def test_toxicity_learns_insults_and_not_identity(spark):
     assert model.score_text("") < 0.5
 
 
+def test_the_penalty_moves_identity_weights(spark):
+    rows = [(f"terrible muslim scum {i}" if i % 2 else f"fine day number {i}", i % 2) for i in range(200)]
+    docs = documents(spark, [t for t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    with_it, without = (toxicity.fit(docs, labels, penalty=p) for p in (toxicity.COUNTERFACTUAL, 0.0))
+    assert abs(with_it.weights.get("muslim", 0)) < 0.2 * without.weights["muslim"]
+    moved = [m.score_text("a muslim family") - m.score_text("a family") for m in (with_it, without)]
+    assert abs(moved[0]) < 0.01 and moved[1] > 0.05
+
+
+def test_near_copies_share_a_weight():
+    texts = [" ".join(f"w{i}_{k}" for k in range(200)) for i in range(3)]
+    texts += [texts[0] + " end", texts[0] + " other end", "unrelated longestword", "another longestword here", None]
+    assert toxicity.copies(toxicity.signature(toxicity.pa.array(texts)).to_pylist()).tolist() == [3, 1, 1, 3, 3, 1, 1, 1]
+
+
 def test_counterfactual_swaps_within_a_group():
     assert toxicity.counterfactual({"muslim", "tree"}, 1) & set(toxicity.IDENTITY[1]) and "muslim" not in toxicity.counterfactual({"muslim"}, 1)
     assert len(toxicity.counterfactual({"tree"}, 1)) == 2
@@ -176,13 +219,18 @@ def test_exact_passages_are_found_at_scale(spark):
 # 3 Top-k ------------------------------------------------------------------------------------------------------
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("dims", [64, 20, 130])
+def test_top_k(spark, dims):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(120, 64))
+    x = rng.normal(size=(120, dims))
+    if dims > 64:
+        x[:, :64] = 1  # only what lies beyond the first word differs
     x[40:80] = x[40]  # a hot code
     rows = [(i, v.tolist(), i) for i, v in enumerate(x)] + [(200, None, 0), (None, x[0].tolist(), 0), (5, x[5].tolist(), 1), (201, [float("nan")] * 64, 1), (202, [], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    code = {i: tuple(v > 0) for i, v in enumerate(x)} | {201: (False,) * 64, 202: (False,) * 64}
+    dims = max(dims, 64)
+    x = np.concatenate([x, np.zeros((120, dims - x.shape[1]))], axis=1)
+    code = {i: tuple(v > 0) for i, v in enumerate(x)} | {201: (False,) * dims, 202: (False,) * dims}
     want = set()
     for q in (q for q in code if q % 10 == 0):
         near = sorted((sum(a != b for a, b in zip(code[q], c, strict=True)), i) for i, c in code.items() if i != q)[:7]
