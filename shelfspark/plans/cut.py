@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 4) -> None:
     """From now on rows go to Python in batches of at most so many rows and about so many bytes, however long texts are."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
         key = f"spark.sql.execution.arrow.{name}"
