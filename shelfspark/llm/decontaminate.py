@@ -17,7 +17,9 @@ Texts are read whole, in one pass; a table of fixed width that the items' window
 that may match, and these are shuffled.
 
 Defined results: null and empty texts match nothing, nor do items without words; items of fewer than eight words are one
-window. Repeated rows of a doc_id give one row a class. Without items there are no rows. Extra columns are ignored.
+window. Repeated rows of a doc_id give one row a class. Of several diagonals of one text and class the one of most
+windows is told, on ties the first in the text. Without items there are no rows. Very long texts are read whole. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -302,6 +304,10 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, enough:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no leak."""
-    found = leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of ``docs`` whose text leaks no item: each row is judged by its own text, also of a null or repeated doc_id."""
+    key, m1, m2 = labelled.unused_names(docs, 3)
+    marked = docs.withColumns({m1: F.xxhash64("text"), m2: F.xxhash64(F.lit(7919), F.col("text"))})
+    own = F.struct(F.col("doc_id").alias("doc_id"), F.col(m1).alias("m1"), F.col(m2).alias("m2"))
+    found = leaks(marked.select(own.alias("doc_id"), "text"), items).select(F.col("doc_id").alias(key)).distinct()
+    texts = found.select(F.col(f"{key}.m1").alias(m1), F.col(f"{key}.m2").alias(m2)).distinct()
+    return marked.join(texts, [m1, m2], "left_anti").select(*docs.columns)

@@ -4,13 +4,13 @@ A document's set holds the hashes (64 bits) of its distinct shingles of five wor
 bits; a node goes by the first 64 of them unless two nodes have these in common. The rest works on nodes.
 
 1. Keys. With shingles in one order for all, rarest first, two linked nodes share one of their first
-   n - ceil(0.75 n) + 1. Rarity is a count over all documents in a table of fixed width, so words, lines and
+   n - ceil(0.75 n) + 1; the first that they share is early in the smaller, one of its first n - ceil(6 n / 7) + 1. Rarity is a count over all documents in a table of fixed width, so words, lines and
    passages that many documents share come last and are seldom keys. Keys are range-sorted by (key, size, node), so a
    common key spans partitions, and a group is read off the sorted rows; nothing is gathered by key.
 2. Pivots. In a group, a node of every 64 is a pivot, told by its own hash and so the same one in many groups, and so is
    the first of each range of sizes. Each node is paired with the pivot before it, and pivots likewise with one of 4096.
-   Pairs that survive their bitmaps are verified by their shingles, and links join components. A second round does
-   the same with one node of each component of a group.
+   Pairs that survive their bitmaps are verified by their shingles, and links join components. A second round pairs
+   each node with the pivots of other components that are next to it by size, as far as bitmaps allow a link.
 3. Trees. A group that still holds nodes of different components gets a signature tree: its nodes sorted by component
    and size, leaves of 64 nodes, inner nodes of 64 below them, each with the OR of the bitmaps, the range of sizes
    and the least number of bits that a link must share. A dual traversal starts at the root and itself and drops
@@ -51,6 +51,8 @@ WORDS, PERCENT = 5, 75
 COUNTERS, BITS, WIDEST, FAN = 19, 10, 17, 64
 #: Rounds of pivots. What they leave, however much, the trees find.
 ROUNDS = 2
+#: Pivots on either side of a member that a further round tries, and other keys that a tree's member carries.
+NEAR, KEYS = 4, 16
 #: Members of a subtree that one task walks, and rows of the sorted keys that it reads at once.
 SUBTREE, BLOCK = 4096, 200_000
 #: Bits of the table that tells which documents are wanted, and sets that a task remembers.
@@ -113,12 +115,13 @@ def counter_of(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
-def keys_of(found: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles among which a linked set shares one: the first in the order (count, hash)."""
+def keys_of(found: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The shingles among which a linked set shares one, the first in the order (count, hash); and how many of them, which stand first, may be shared with a set that isn't smaller."""
     n = len(found)
     p = n - -(-percent * n // 100) + 1
+    early = n - int(least_common(n, n, percent)) + 1
     place = counts[counter_of(found)] * n + np.arange(n)
-    return found[np.partition(place, p - 1)[:p] % n] if p < n else found
+    return found[np.partition(place, (early - 1, p - 1))[:p] % n], early
 
 
 def row_marks(text: Column) -> list[Column]:
@@ -163,7 +166,7 @@ def _node(h1: int, h2: int, clashes: frozenset[int]) -> int:
 
 
 def _keys(docs: DataFrame, counts: np.ndarray, clashes: list[int], size: int, percent: int) -> DataFrame:
-    """(key, node, n) of each node and each of its keys; a node that a task meets again is left out there."""
+    """(key, node, n) of each node and each of its keys; a node that a task meets again is left out there. n: twice the size, and 1 more for an early key."""
     held = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed width
     odd = frozenset(clashes)
 
@@ -171,12 +174,13 @@ def _keys(docs: DataFrame, counts: np.ndarray, clashes: list[int], size: int, pe
         counts, seen = held.value, set()
 
         def handed(some: list) -> pa.RecordBatch:
-            sizes = [len(k) for _, _, k in some]
+            sizes = [len(k) for _, _, k, _ in some]
+            early = np.concatenate([np.arange(len(k)) < e for _, _, k, e in some])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([k for _, _, k in some]).view(np.int64)),
-                    pa.array(np.repeat(np.array([x for x, _, _ in some], dtype=np.int64), sizes)),
-                    pa.array(np.repeat(np.array([n for _, n, _ in some], dtype=np.int32), sizes)),
+                    pa.array(np.concatenate([k for _, _, k, _ in some]).view(np.int64)),
+                    pa.array(np.repeat(np.array([x for x, _, _, _ in some], dtype=np.int64), sizes)),
+                    pa.array(np.repeat(np.array([2 * n for _, n, _, _ in some], dtype=np.int32), sizes) + early.astype(np.int32)),
                 ],
                 names=["key", "node", "n"],
             )
@@ -193,7 +197,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, clashes: list[int], size: int, pe
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
-                some.append((node, len(found), keys_of(found, counts, percent)))
+                some.append((node, len(found), *keys_of(found, counts, percent)))
                 rows += len(some[-1][2])
                 if rows >= 100_000:
                     yield handed(some)
@@ -240,14 +244,15 @@ def pivots(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: in
 
 
 def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Groups of two nodes and more among ``rows`` (key, node, n): key, node, n, pivot and pivot_n.
+    """Groups of two nodes and more among ``rows``, as ``_keys`` gives them: key, node, n (a size), early, pivot and pivot_n.
 
+    The first key that two linked nodes share is early in the smaller, so a group begins with a node in which it is.
     A range sort splits a large group over partitions; the first rows of its parts get the group's first as their pivot.
     Of each partition its first and its last group are told to the driver: two rows, whatever they hold.
     """
     order = ["key", "n", "node"]
     dealt = rows.repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
-    names = ["key", "node", "n", "pivot", "pivot_n", "edge", "members"]
+    names = ["key", "node", "n", "early", "pivot", "pivot_n", "edge", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -260,26 +265,33 @@ def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
             key, node, n = columns
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, n = key[fresh], node[fresh], n[fresh]
+            key, node, n, early = key[fresh], node[fresh], n[fresh] >> 1, (n[fresh] & 1).astype(bool)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             lengths = np.diff(np.append(starts, len(key)))
-            pivot = pivots(starts, node, n, percent)
             edge = np.zeros(len(starts), bool)
             edge[0] |= not begun
             edge[-1] |= last
             begun = True
-            keep = np.repeat((lengths > 1) | edge, lengths)
-            parts = np.where(np.repeat(edge, lengths), part, -1)
-            out = [pa.array(x[keep]) for x in (key, node, n, node[pivot], n[pivot], parts.astype(np.int32))]
+            met = np.cumsum(early)
+            met -= np.repeat(met[starts] - early[starts], lengths)
+            keep = np.repeat(edge, lengths) | (met > 0)  # an edge may go on from another partition
+            key, node, n, early = key[keep], node[keep], n[keep], early[keep]
+            edge = np.repeat(edge, lengths)[keep]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+            lengths = np.diff(np.append(starts, len(key)))
+            pivot = pivots(starts, node, n, percent)
+            keep = np.repeat(lengths > 1, lengths) | edge
+            parts = np.where(edge, part, -1).astype(np.int32)
+            out = [pa.array(x[keep]) for x in (key, node, n, early, node[pivot], n[pivot], parts)]
             yield pa.RecordBatch.from_arrays([*out, pa.nulls(len(out[0]), pa.int64())], names=names)
-            at = starts[edge]
-            told = [pa.array(x) for x in (key[at], node[at], n[at], node[at], n[at], np.full(len(at), part, np.int32), lengths[edge])]
+            at = starts[edge[starts]]
+            told = [pa.array(x) for x in (key[at], node[at], n[at], early[at], node[at], n[at], np.full(len(at), part, np.int32), lengths[edge[starts]])]
             yield pa.RecordBatch.from_arrays(told, names=names)
 
         for columns, last in _whole_groups(batches, lambda b: [b.column(i).to_numpy() for i in range(3)], BLOCK):
             yield from handed(columns, last)
 
-    found = cut(dealt.mapInArrow(run, "key long, node long, n int, pivot long, pivot_n int, edge int, members long"))
+    found = cut(dealt.mapInArrow(run, "key long, node long, n int, early boolean, pivot long, pivot_n int, edge int, members long"))
     by_key: dict[int, list] = {}
     for r in sorted(found.where("members is not null").collect(), key=lambda r: (r.key, r.edge)):
         by_key.setdefault(r.key, []).append(r)
@@ -288,7 +300,7 @@ def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
     table = pa.table([pa.array(c, t) for c, t in zip(list(zip(*fixed, strict=True)) or [()] * 5, kinds, strict=True)], names=["key", "edge", "node", "whole", "whole_n"])
     told = F.broadcast(rows.sparkSession.createDataFrame(table).withColumn("met", F.lit(True)))  # two rows a partition at most
     known = found.where("members is null").drop("members").join(told, ["key", "edge", "node"], "left").where("met is null or whole is not null")
-    return known.select("key", "node", "n", F.coalesce("whole", "pivot").alias("pivot"), F.coalesce("whole_n", "pivot_n").alias("pivot_n"))
+    return known.select("key", "node", "n", "early", F.coalesce("whole", "pivot").alias("pivot"), F.coalesce("whole_n", "pivot_n").alias("pivot_n"))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], most: int) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -398,7 +410,7 @@ class _Verifier(NamedTuple):
 def _contested(shared: DataFrame, names: DataFrame | None) -> DataFrame:
     """Rows of groups that hold nodes of two components or more, with the component; of groups of the same nodes, one."""
     own = shared.withColumn("component", F.col("node")) if names is None else shared.join(names, "node", "left")
-    known = own.select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    known = own.select("key", "node", "n", "early", F.coalesce("component", "node").alias("comp"))
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
     groups = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), *marks).where("c0 <> c1")
     return cut(known.join(groups.groupBy("k", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
@@ -411,12 +423,14 @@ def _unpacked(packed: Iterable[bytes]) -> np.ndarray:
 
 
 class Subtree(NamedTuple):
-    """Members of a group in the order of their components and sizes, as arrays; bits: a folded bitmap each."""
+    """Members of a group in the order of their components and sizes, as arrays; bits: a folded bitmap each; keys: a row of other early keys of each, the least first."""
 
     node: np.ndarray
     n: np.ndarray
     comp: np.ndarray
+    early: np.ndarray
     bits: np.ndarray
+    keys: np.ndarray
 
     def part(self, at: int) -> Subtree:
         return Subtree(*(x[at * FAN : (at + 1) * FAN] for x in self))
@@ -438,22 +452,33 @@ def leaf_pairs(a: list[tuple], b: list[tuple], percent: int) -> np.ndarray:
     return sizes & enough & apart
 
 
-def compared(x: Subtree, y: Subtree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of two leaves that may be linked and are in two components."""
+def compared(key: int, x: Subtree, y: Subtree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of two leaves that may be linked and are in two components.
+
+    The key must be early in the smaller of a pair. A pair that shares a lesser key that is early in both is left to that
+    key's tree, so pairs aren't made again and again.
+    """
     fit = x.comp[:, None] != y.comp[None, :]
     if x is y:
         fit = np.triu(fit)
+    smaller = np.where(x.n[:, None] <= y.n[None, :], x.early[:, None], False) | np.where(x.n[:, None] >= y.n[None, :], y.early[None, :], False)
+    fit &= smaller
     if fit.any():
         fit &= bits_fit(np.unpackbits(x.bits, axis=1), np.unpackbits(y.bits, axis=1), x.n.astype(np.int64), y.n.astype(np.int64), percent)
     i, j = np.nonzero(fit)
+    for at in range(0, len(i), 4096):  # of few pairs, each key with each
+        some, other = x.keys[i[at : at + 4096]], y.keys[j[at : at + 4096]]
+        shared = ((some[:, :, None] == other[:, None, :]) & (some[:, :, None] < key)).any((1, 2))
+        i[at : at + 4096] = np.where(shared, -1, i[at : at + 4096])
+    i, j = i[i >= 0], j[i >= 0]
     return np.minimum(x.node[i], y.node[j]), np.maximum(x.node[i], y.node[j])
 
 
-def traversed(x: Subtree, y: Subtree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that a dual traversal of two subtrees, or of one and itself, leaves."""
+def traversed(key: int, x: Subtree, y: Subtree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that a dual traversal of two subtrees of a key, or of one and itself, leaves."""
     same = x is y
     if same and len(x.node) <= FAN:  # the root is a leaf
-        found = compared(x, x, percent)
+        found = compared(key, x, x, percent)
         if len(found[0]):
             yield found
         return
@@ -461,17 +486,71 @@ def traversed(x: Subtree, y: Subtree, percent: int) -> Iterator[tuple[np.ndarray
     told = [[leaf.told(percent) for leaf in z] for z in leaves]
     for i, j in zip(*np.nonzero(leaf_pairs(told[0], told[-1], percent)), strict=True):
         if not same or i <= j:
-            found = compared(leaves[0][i], leaves[-1][j], percent)
+            found = compared(key, leaves[0][i], leaves[-1][j], percent)
             if len(found[0]):
                 yield found
 
 
+def near_pivots(starts: np.ndarray, group: Subtree, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each member with the pivots next to it, ``NEAR`` on either side, that are of other components and may be linked; members are sorted by group and size."""
+    count = len(group.node)
+    lengths = np.diff(np.append(starts, count))
+    rate = np.repeat(np.clip(lengths // (2 * NEAR), 1, FAN), lengths).astype(np.uint64)
+    drawn = (group.node.view(np.uint64) ^ np.uint64(turn)) * _MIX[0] >> np.uint64(20)
+    flags = drawn % rate == 0
+    flags[starts] = True
+    at = np.flatnonzero(flags)
+    of = np.repeat(np.arange(len(starts)), lengths)
+    own = np.bitwise_count(group.bits).sum(1, dtype=np.int64)
+    n, rows = group.n.astype(np.int64), np.arange(count)
+    place = np.searchsorted(at, rows)
+    pairs = []
+    for shift in range(-NEAR, NEAR + 1):
+        other = at[np.clip(place + shift, 0, len(at) - 1)]
+        a, b = rows[(other != rows) & (of[other] == of) & (group.comp[other] != group.comp)], None
+        b = other[a]
+        fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[fit], b[fit]
+        common = np.bitwise_count(group.bits[a] & group.bits[b]).sum(1, dtype=np.int64)
+        need = least_common(n[a], n[b], percent)
+        fit = (own[a] - common <= n[a] - need) & (own[b] - common <= n[b] - need)
+        pairs.append((group.node[a[fit]], group.node[b[fit]]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _bitmapped(contested: DataFrame, nodes: DataFrame, order: list[str], *more: Column) -> DataFrame:
+    """Rows of groups with bits, range-sorted by ``order``."""
+    known = contested.join(nodes.select("node", "bits"), "node").select("key", "comp", "n", "node", "early", "bits", *more)
+    return known.repartitionByRange(width(nodes.sparkSession), *order).sortWithinPartitions(*order)
+
+
+def _small_bits(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([folded(x.as_py(), (1 << BITS) // 8) for x in batch.column("bits")])
+
+
+def _again(contested: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of a further round of pivots: members and the pivots near them in their groups, of other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+            return [*(batch.column(c).to_numpy() for c in ("key", "node", "n", "comp")), _small_bits(batch)]
+
+        for (key, node, n, comp, bits), _ in _whole_groups(batches, columns_of, BLOCK // 4):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            a, b = near_pivots(starts, Subtree(node, n, comp, None, bits, None), percent, turn)
+            both = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return _bitmapped(contested, nodes, ["key", "n", "node"]).mapInArrow(run, "a long, b long").distinct()
+
+
 _WALKED = "a long, b long, key long, at long, bits binary, least int, most int, need int, comp long, members binary"
-_MEMBER = np.dtype([("node", "<i8"), ("n", "<i4"), ("comp", "<i8"), ("bits", "u1", (1 << BITS) // 8)])
+_MEMBER = np.dtype([("node", "<i8"), ("n", "<i4"), ("comp", "<i8"), ("early", "?"), ("bits", "u1", (1 << BITS) // 8), ("keys", "<i8", KEYS)])
 
 
 def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
-    """Of ``rows`` (key, comp, n, node, bits), sorted: pairs (a, b) within each subtree; and the subtrees of groups that have, or may have, several."""
+    """Of ``rows`` (key, comp, n, node, early, bits, keys), sorted: pairs (a, b) within each subtree; and the subtrees of groups that have, or may have, several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -481,8 +560,8 @@ def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
         empty = [pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())]
         names = [c.split()[0] for c in _WALKED.split(", ")]
 
-        def pairs(tree: Subtree) -> Iterator[pa.RecordBatch]:
-            for a, b in traversed(tree, tree, percent):
+        def pairs(key: int, tree: Subtree) -> Iterator[pa.RecordBatch]:
+            for a, b in traversed(key, tree, tree, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), e.type) for e in empty[2:])], names=names)
 
         def walked(key: int, group: Subtree, several: bool) -> Iterator[pa.RecordBatch]:
@@ -491,11 +570,11 @@ def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
             for at in range(0, len(group.node), subtree):
                 tree = Subtree(*(x[at : at + subtree] for x in group))
                 if len(tree.node) > 1 and not (tree.comp == tree.comp[0]).all():
-                    yield from pairs(tree)
+                    yield from pairs(key, tree)
                 if several:
                     bits, least, most, need, comp = tree.told(percent)
                     held = np.zeros(len(tree.node), _MEMBER)
-                    held["node"], held["n"], held["comp"], held["bits"] = tree
+                    held["node"], held["n"], held["comp"], held["early"], held["bits"], held["keys"] = tree
                     values = [None, None, key, base + turn, bits.tobytes(), least, most, need, comp, held.tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], e.type) for v, e in zip(values, empty, strict=True)], names=names)
                     turn += 1
@@ -507,11 +586,16 @@ def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
             ends = np.append(starts[1:], len(key))
             for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 edge = (not begun and i == 0) or (last and i == len(starts) - 1)
-                yield from walked(int(key[s]), Subtree(columns[3][s:e], columns[2][s:e], columns[1][s:e], columns[4][s:e]), edge)
+                yield from walked(int(key[s]), Subtree(*(x[s:e] for x in columns[1:])), edge)
             begun = True
 
         def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-            return [*(batch.column(i).to_numpy() for i in range(4)), np.stack([folded(x.as_py(), (1 << BITS) // 8) for x in batch.column(4)])]
+            plain = [batch.column(c).to_numpy() for c in ("key", "node", "n", "comp")]
+            early = batch.column("early").to_numpy(zero_copy_only=False)
+            keys = np.full((batch.num_rows, KEYS), np.iinfo(np.int64).max)
+            for row, some in enumerate(batch.column("keys").to_pylist()):
+                keys[row, : len(some)] = some
+            return [*plain, early, _small_bits(batch), keys]
 
         for columns, last in _whole_groups(batches, columns_of, BLOCK // 4):
             yield from groups(columns, last)
@@ -563,13 +647,13 @@ def _across(subtrees: DataFrame, percent: int) -> DataFrame:
         met = pairs.join(child("x"), ["key", "x"]).join(child("y"), ["key", "y"]).select("key", F.col("x_below").alias("x"), F.col("y_below").alias("y"))
         pairs = cut(_met(met.where("x < y"), level, percent).unionAll(met.where("x = y")))
     side = lambda x: tall.select("key", F.col("at").alias(x), F.col("members").alias(f"members_{x}"))
-    both = pairs.where("x < y").join(side("x"), ["key", "x"]).join(side("y"), ["key", "y"]).select("members_x", "members_y")
+    both = pairs.where("x < y").join(side("x"), ["key", "x"]).join(side("y"), ["key", "y"]).select("key", "members_x", "members_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                trees = [np.frombuffer(c[row].as_py(), dtype=_MEMBER) for c in batch.columns]
-                for a, b in traversed(*(Subtree(t["node"], t["n"], t["comp"], t["bits"]) for t in trees), percent):
+                trees = [np.frombuffer(c[row].as_py(), dtype=_MEMBER) for c in batch.columns[1:]]
+                for a, b in traversed(batch.column(0)[row].as_py(), *(Subtree(*(t[f] for f in Subtree._fields)) for t in trees), percent):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -577,9 +661,9 @@ def _across(subtrees: DataFrame, percent: int) -> DataFrame:
 
 def _tree_pairs(contested: DataFrame, nodes: DataFrame, percent: int, subtree: int) -> DataFrame:
     """Pairs (a, b) of nodes of two components that the dual traversal of each key's tree leaves."""
-    order = ["key", "comp", "n", "node"]
-    known = contested.join(nodes.select("node", "bits"), "node").select(*order, "bits")
-    walked = cut(_subtrees(known.repartitionByRange(width(nodes.sparkSession), *order).sortWithinPartitions(*order), percent, subtree))
+    early = F.sort_array(F.collect_list(F.when(F.col("early"), F.col("key"))))  # a node has no more keys than shingles
+    known = contested.join(contested.groupBy("node").agg(F.slice(early, 1, KEYS).alias("keys")), "node")
+    walked = cut(_subtrees(_bitmapped(known, nodes, ["key", "comp", "n", "node"], F.col("keys")), percent, subtree))
     return walked.where("a is not null").select("a", "b").unionAll(_across(walked.where("key is not null").drop("a", "b"), percent)).distinct()
 
 
@@ -608,19 +692,16 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     release(spark)
     sharing = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
     verified = _Verifier(docs, sharing, clashes, size, percent)
-    groups, links, tested, names = shared, None, None, None  # names: of nodes that rounds have put in another's component
-    rows = shared.select("key", "node", "n")
+    links, tested, names = None, None, None  # names: of nodes that rounds have put in another's component
+    rows = shared.select("key", "node", "n", "early")
     if not rounds:
         rows = _contested(rows, None)
     for turn in range(rounds):
-        if turn:
-            first = rows.groupBy("key", "comp").agg(F.min(F.struct("n", "node")).alias("f"))
-            groups = _sorted_groups(first.select("key", "f.node", "f.n"), percent)
-        pairs = cut(_stars(groups, percent))
+        pairs = cut(_again(rows, sharing, percent, turn) if turn else _stars(shared, percent))
         found = verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         links, tested = (found, pairs) if links is None else (links.unionAll(found), tested.unionAll(pairs))
         names = connected_components(links)
-        rows = _contested(rows.select("key", "node", "n"), names)
+        rows = _contested(rows, names)
     left = _tree_pairs(rows, sharing, percent, subtree)
     found = verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"))
     links = found if links is None else links.unionAll(found)

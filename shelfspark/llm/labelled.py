@@ -14,7 +14,7 @@ FOLDS = 5
 #: Learning rows at most; a bound of the method, whatever the input.
 MAX_ROWS = 16_000
 #: Partial sums that meet in one task, or in the driver at the end.
-FAN_IN = 32
+FAN_IN = 16
 
 
 def held_out(doc_id: Column) -> Column:

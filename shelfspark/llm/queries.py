@@ -98,11 +98,24 @@ raw as (
     union all
     select url, regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) from tags
     where regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
-links as (
-    select url, case when regexp_matches(link, '^(?i)https?://') then replace(link, '&amp;', '&')
-        when link like '//%' then regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || replace(link, '&amp;', '&')
-        when link like '/%' then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || replace(link, '&amp;', '&') end as target
+based as (
+    select url, replace(link, '&amp;', '&') as link, regexp_extract(url, '(?s)^(.*?)://', 1) as scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as site,
+        coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') as path
     from raw),
+meant as (
+    select url, link, scheme, site, case when link[1] = '/' then link when link[1] = '?' then path || link
+        else regexp_extract(path, '(?s)^(.*/)', 1) || link end as full_path
+    from based),
+parts as (select *, string_split(regexp_extract(full_path, '(?s)^([^?#]*)', 1), '/') as p, regexp_extract(full_path, '(?s)^[^?#]*(.*)$', 1) as rest from meant),
+walked as (
+    select url, link, scheme, site, p, rest, list_reduce(list_prepend([]::varchar[], list_transform(p[2:], lambda x: [x])),
+        lambda a, x: case when x[1] = '.' then a when x[1] = '..' then a[1:len(a) - 1] else list_concat(a, x) end) as kept
+    from parts),
+links as (
+    select url, case when regexp_matches(link, '^(?i)https?://') then link when link like '//%' then scheme || ':' || link
+        when regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') or link[1] = '#' then null
+        else site || '/' || array_to_string(kept, '/') || case when p[-1] in ('.', '..') and len(kept) > 0 then '/' else '' end || rest end as target
+    from walked),
 ends as (select distinct {_parts("url", "a")}, {_parts("target", "b")} from links where target is not null),
 edges as (select anode as x, bnode as y from ends union select bnode, anode from ends),
 reach(node, other) as (select x, x from edges where x is not null union select r.node, e.y from reach r join edges e on r.other = e.x where e.y is not null),

@@ -3,11 +3,12 @@
 A rule is (action, host, path). It fits its host and all subdomains where the url's path starts with the rule's;
 of several that fit, the longest decides. Urls that redirect to each other, or name one another as canonical, are
 aliases: the components of that graph share decisions. A url that no rule fits is allowed if a rule allows any
-alias, else blocked if a rule blocks any alias, else allowed.
+alias, else blocked if a rule blocks any alias, else allowed. A relative link is resolved against its page's url.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, has no alias and is
-allowed. Repeated rows are judged alike. An empty table gives no rows. Extra columns are ignored. Equal rules of
-both actions: allow wins. A link that is neither absolute nor starts with ``/`` is no edge.
+allowed; such rows pass by all joins. Repeated rows are judged alike. An empty table gives no rows. Very long urls and
+pages are read whole. Extra columns are ignored, whatever their names. Equal rules of both actions: allow wins. A link
+of another scheme than http, or to a fragment, is no edge.
 """
 
 from __future__ import annotations
@@ -43,6 +44,26 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path_of(url), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def relative(url: Column, link: Column) -> Column:
+    """The path, and what follows it, that ``link`` without a host means on the page at ``url``."""
+    path = path_of(url)
+    folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), r"(?s)^(.*/)", 1)
+    return F.when(link.startswith("/"), link).when(link.startswith("?"), F.concat(F.when(path == "", "/").otherwise(path), link)).otherwise(F.concat(folder, link))
+
+
+def without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` parts taken out; a query or fragment stays as it is."""
+    parts = F.split(F.regexp_extract(path, r"(?s)^([^?#]*)", 1), "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))),
+    )
+    last = F.element_at(parts, -1)
+    closed = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), closed, F.regexp_extract(path, r"(?s)^[^?#]*(.*)$", 1))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """``(url, target)`` of each canonical link and refresh redirect in the html of ``pages`` (url, html)."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
@@ -58,7 +79,8 @@ def links(pages: DataFrame) -> DataFrame:
     target = (
         F.when(F.col("link").rlike("(?i)^https?://"), link)
         .when(F.col("link").startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(F.col("link").startswith("/"), F.concat(site, link))
+        .when(F.col("link").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | F.col("link").startswith("#"), F.lit(None))
+        .otherwise(F.concat(site, without_dots(relative(F.col("url"), link))))
     )
     return each.select("url", target.alias("target")).where("target is not null and url like '%://%'")
 
@@ -88,7 +110,9 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     ``redirects`` (url, target) adds observed redirects to the links found in the html. Returns page_id, host,
     path, rule, verdict and alias_of (the component's least node, null for a url without aliases).
     """
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    every = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    # what has no host fits no rule and has no alias: no key of many rows in the joins
+    rows, plain = every.where("host <> ''"), every.where("host = ''")
     found = links(pages)
     if redirects is not None:
         found = found.unionAll(redirects.select("url", "target"))
@@ -110,7 +134,8 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
         .agg(F.max((F.col("action") == "allow").cast("int")).alias("allowed"))
     )
     shared = aliases.join(decided, "component", "left")
-    return (
+    none = plain.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("alias_of"))
+    judged = (
         rows.join(matched, ["host", "path"], "left")
         .join(shared, "node", "left")
         .select(
@@ -122,3 +147,4 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
             F.col("component").alias("alias_of"),
         )
     )
+    return judged.unionAll(none)
