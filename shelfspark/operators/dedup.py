@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import hamming, tiles_agreeing
@@ -22,30 +25,64 @@ def calibrated_method(thresholds: dict = THRESHOLDS) -> str | None:
     return name if thresholds.get("calibrated") and thresholds["methods"].get(name, {}).get("max_distance") is not None else None
 
 
-def bands(h: Column, most: int, bits: int = 64) -> Column:
-    """``most`` + 1 pieces of a hash: two hashes at a distance of ``most`` or less have one in common, by the pigeonhole."""
-    n = most + 1
-    cuts = [bits * i // n for i in range(n + 1)]
-    piece = lambda i: F.shiftrightunsigned(h, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if cuts[i + 1] - cuts[i] < 63 else -1).cast("long"))
-    return F.array(*(F.struct(F.lit(i).alias("band"), piece(i).alias("bits")) for i in range(n)))
+def ball(width: int, radius: int) -> list[int]:
+    """Numbers of ``width`` bits with ``radius`` ones at most: what a value may be changed by within that distance."""
+    return [sum(1 << b for b in ones) for r in range(radius + 1) for ones in combinations(range(width), r)]
 
 
-def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, distance), a < b, of rows of ``hashes`` (idx, hash) at a distance of ``most`` or less. Exact, without a cross join.
+def segments_for(most: int, n: int, bits: int = 64) -> int:
+    """Into how many segments to cut hashes for the least work: probes of ``n`` hashes, and pairs that random ones would make."""
+
+    def work(count: int) -> float:
+        w, radius = -(-bits // count), most // count
+        sides = [sum(comb(w, r) for r in range(half + 1)) for half in (radius - radius // 2, radius // 2)]
+        return count * (n * sum(sides) + n * n / 2 * min(1.0, sides[0] * sides[1] / 2**w))
+
+    return min((c for c in range(1, bits + 1) if most // c - most // c // 2 <= 3), key=work)
+
+
+def _probes(codes: DataFrame, keep: list[str], name: str, cuts: list[int], radius: int) -> DataFrame:
+    """``codes`` (keep, hash) by segment and by each value within ``radius`` of the segment's."""
+    parts = []
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        mask = (1 << (high - low)) - 1
+        own = F.shiftrightunsigned("hash", low).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long"))
+        near = F.transform(F.lit([m - (1 << 64) if m >> 63 else m for m in ball(high - low, radius)]).cast("array<long>"), lambda m, own=own: own.bitwiseXOR(m))
+        parts.append(F.transform(near, lambda v, i=i: F.struct(F.lit(i).alias("segment"), v.alias("value"))))
+    return codes.select(*keep, F.col("hash").alias(name), F.explode(F.concat(*parts)).alias("p")).select(*keep, name, "p.segment", "p.value")
+
+
+def hash_links(hashes: DataFrame, most: int, bits: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y, distance), x < y, of distinct hashes at a distance of ``most`` or less, of equal columns ``within``. Exact, without a cross join.
 
-    Equal hashes meet once, as one row each; pairs of distinct hashes come from the first band that they share. Only
-    rows meet that are equal in the columns ``within``.
+    Of m segments one is within ``most`` // m, so its value can be met half way: each side is put at all values within
+    half of that. The number of segments follows the number of hashes; a pair is taken at the first segment that lets it meet.
     """
-    codes = hashes.select(*within, "hash").distinct().withColumn("b", F.explode(bands(F.col("hash"), most, bits))).select(*within, "hash", "b.band", "b.bits")
-    x, y = codes.select(*within, F.col("hash").alias("x"), "band", "bits"), codes.select(*within, F.col("hash").alias("y"), "band", "bits")
-    met = x.join(y, [*within, "band", "bits"]).where("x < y")
-    near = met.withColumn("distance", hamming(F.col("x"), F.col("y"))).where(F.col("distance") <= most).select(*within, "x", "y", "distance").distinct()
-    both = near.unionByName(hashes.select(*within, F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("distance")).distinct())
+    codes = cut(hashes.select(*within, "hash").distinct())
+    count = segments_for(most, max(codes.count(), 2), bits)
+    cuts, radius = [bits * i // count for i in range(count + 1)], most // count
+    x = _probes(codes, list(within), "x", cuts, radius - radius // 2)
+    y = _probes(codes, list(within), "y", cuts, radius // 2)
+    met = x.join(y, [*within, "segment", "value"]).where("x <> y").withColumn("distance", hamming(F.col("x"), F.col("y"))).where(F.col("distance") <= most)
+    return met.select(*within, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "distance").distinct()
+
+
+def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, distance), a < b, of rows of ``hashes`` (idx, hash) at a distance of ``most`` or less: every pair, so also those of equal hashes."""
+    links = hash_links(hashes, most, bits, within)
+    equal = hashes.groupBy(*within, "hash").agg(F.count("*").alias("n")).where("n > 1").select(*within, F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("distance"))
     a, b = hashes.select(*within, F.col("idx").alias("a"), F.col("hash").alias("x")), hashes.select(*within, F.col("idx").alias("b"), F.col("hash").alias("y"))
-    pairs = both.join(a, [*within, "x"]).join(b, [*within, "y"]).where("a <> b")
-    # rows of one hash meet both ways; rows of two hashes one way
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
-    return pairs.distinct()
+    pairs = links.unionByName(equal).join(a, [*within, "x"]).join(b, [*within, "y"]).where((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+
+
+def hash_clusters(hashes: DataFrame, most: int, bits: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
+    """As ``clusters`` of ``hamming_pairs``, without these: rows of one hash are linked to its least, and these by ``hash_links``."""
+    least = hashes.groupBy(*within, "hash").agg(F.min("idx").alias("least"))
+    same = hashes.join(least, [*within, "hash"]).select(F.col("idx").alias("a"), F.col("least").alias("b"))
+    x, y = (least.select(*within, F.col("hash").alias(c), F.col("least").alias(n)) for c, n in (("x", "a"), ("y", "b")))
+    near = hash_links(hashes, most, bits, within).join(x, [*within, "x"]).join(y, [*within, "y"]).select("a", "b")
+    return clusters(same.unionAll(near))
 
 
 def tile_distance(a: Column, b: Column, per_tile: int = 10) -> Column:
@@ -80,44 +117,48 @@ def near_duplicates(hashes: DataFrame, thresholds: dict = THRESHOLDS, method: st
     else:
         pairs = hamming_pairs(usable.select("idx", F.col(chosen).alias("hash")), int(most))
     pairs = cut(pairs)
+    found = clusters(pairs) if chosen == "tiles" else hash_clusters(usable.select("idx", F.col(chosen).alias("hash")), int(most))
     return {
         "method": chosen,
         "threshold": int(most),
         "calibrated": bool(thresholds.get("calibrated")) and method is None,
         "reason": "",
         "pairs": pairs,
-        "clusters": clusters(pairs),
+        "clusters": found,
         "skipped": hashes.where(plain).select("idx"),
     }
 
 
 def tile_pairs(hashes: DataFrame, most: int, per_tile: int, n_tiles: int) -> DataFrame:
-    """(a, b, distance) by disagreeing cells: with ``most`` of ``n_tiles`` allowed, an agreeing cell has an equal band of ``per_tile`` + 1."""
+    """(a, b, distance) by disagreeing cells: with ``most`` of ``n_tiles`` allowed, one of any ``most`` + 1 cells agrees, so pairs meet there.
+
+    Cells are linked as hashes are; a pair is taken once, and only then are all its cells compared.
+    """
     if most >= n_tiles:
         raise ValueError("a cutoff of all cells would pair everything")
-    each = hashes.select("idx", "tiles", F.posexplode("tiles").alias("tile", "h")).withColumn("b", F.explode(bands(F.col("h"), per_tile)))
-    x = each.select(F.col("idx").alias("a"), F.col("tiles").alias("ta"), "tile", "b.band", "b.bits")
-    y = each.select(F.col("idx").alias("b"), F.col("tiles").alias("tb"), "tile", "b.band", "b.bits")
-    met = x.join(y, ["tile", "band", "bits"]).where("a < b").select("a", "b", "ta", "tb").dropDuplicates(["a", "b"])
-    return met.withColumn("distance", tile_distance(F.col("ta"), F.col("tb"), per_tile)).where(F.col("distance") <= most).select("a", "b", "distance")
+    cells = hashes.select("idx", F.posexplode(F.slice("tiles", 1, most + 1)).alias("tile", "hash"))
+    met = hamming_pairs(cells, per_tile, within=("tile",)).select("a", "b").distinct()
+    side = lambda x: hashes.select(F.col("idx").alias(x), F.col("tiles").alias(f"tiles_{x}"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    return both.withColumn("distance", tile_distance(F.col("tiles_a"), F.col("tiles_b"), per_tile)).where(F.col("distance") <= most).select("a", "b", "distance")
 
 
 def group_mismatches(hashes: DataFrame, most: int, min_std: float = THRESHOLDS["min_detail_std"], within: tuple[str, ...] = ()) -> DataFrame:
     """Tagged rows of ``hashes`` (idx, hash, tag, detail_std) whose nearest tagged neighbour has another tag and is near.
 
-    (idx, own, nearest, nearest_idx, distance, own_distance): ties go to the lesser idx; own_distance is the nearest of
-    the own tag within ``most``, null if none. Only neighbours within ``most`` can make a mismatch, so only these meet,
-    and only if equal in the columns ``within``; idx is unique over all of these.
+    (idx, own, nearest, nearest_idx, distance, own_distance): ties go to the lesser idx; own_distance is the least to any
+    other row of the own tag, however far, null if there is none. Only neighbours within ``most`` can make a mismatch,
+    so only these meet, and only if equal in the columns ``within``; idx is unique over all of these.
     """
     tagged = hashes.where(F.col("tag").isNotNull() & (F.col("detail_std") >= min_std))
     pairs = hamming_pairs(tagged.select(*within, "idx", "hash"), most, within=within)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    own = tagged.select(F.col("idx").alias("a"), F.col("tag").alias("own"))
+    own = tagged.select(*within, F.col("idx").alias("a"), F.col("hash").alias("code"), F.col("tag").alias("own"))
     other = tagged.where("tag <> ''").select(F.col("idx").alias("b"), F.col("tag").alias("other"))
-    met = both.join(own, "a").join(other, "b")
-    best = met.groupBy("a", "own").agg(
-        F.min(F.struct("distance", F.col("b").alias("idx"), "other")).alias("n"),
-        F.min(F.when(F.col("own") == F.col("other"), F.col("distance"))).alias("own_distance"),
-    )
-    found = best.where(F.col("n.other") != F.col("own"))
-    return found.select(F.col("a").alias("idx"), "own", F.col("n.other").alias("nearest"), F.col("n.idx").alias("nearest_idx"), F.col("n.distance").alias("distance"), "own_distance")
+    best = both.join(other, "b").groupBy("a").agg(F.min(F.struct("distance", F.col("b").alias("idx"), "other")).alias("n"))
+    found = cut(best.join(own, "a").where(F.col("n.other") != F.col("own")))
+    # mismatches are few; each is held against the distinct hashes of its own tag
+    codes = tagged.where("tag <> ''").groupBy(*within, F.col("tag").alias("own"), F.col("hash").alias("y")).agg(F.min("idx").alias("least"), F.max("idx").alias("last"))
+    alike = found.select(*within, "a", "own", "code").join(codes, [*within, "own"]).where("least <> a or last <> a")
+    nearest = alike.groupBy("a").agg(F.min(hamming(F.col("code"), F.col("y"))).alias("own_distance"))
+    return found.join(nearest, "a", "left").select(F.col("a").alias("idx"), "own", F.col("n.other").alias("nearest"), F.col("n.idx").alias("nearest_idx"), F.col("n.distance").alias("distance"), "own_distance")

@@ -18,7 +18,7 @@ RULES = {
             "accepted_formats": ["JPEG", "PNG", "TIFF", "GIF", "WEBP"],
         },
         "aspect_ratio": {"tier": "advisory", "recommended_ratio": 1.0, "note_delta": 0.25},
-        "image_count": {"tier": "rule_exact", "recommended_min": 6, "typical_cap": 9},
+        "image_count": {"tier": "rule_exact", "recommended_min": 6},
         "white_background": {
             "tier": "measured",
             "border_band_frac": 0.02,

@@ -359,13 +359,17 @@ def hamming_pairs(spark, sf_dir):
 @query(f"""with recursive {_HASHES}, e as (select a, b from pairs union select b, a from pairs), reach(x, y) as (select a, a from e union select r.x, e.b from reach r join e on r.y = e.a)
 select min(y) as cluster, x as idx from reach group by x""")
 def dup_clusters(spark, sf_dir):
-    return dedup.clusters(hamming_pairs(spark, sf_dir))
+    return dedup.hash_clusters(_hashes(spark, sf_dir).select("idx", "hash"), 18)
 
 
 @query(f"""with {_HASHES}, both_ways as (select a, b, distance from pairs union all select b, a, distance from pairs),
-best as (select x.idx, x.label as own, y.label as nearest, y.idx as nearest_idx, p.distance, min(case when x.label = y.label then p.distance end) over (partition by x.idx) as own_distance,
-    row_number() over (partition by x.idx order by p.distance, y.idx) as k from both_ways p join h x on x.idx = p.a join h y on y.idx = p.b)
-select idx, cast(own as varchar) as own, cast(nearest as varchar) as nearest, nearest_idx, distance, own_distance from best where k = 1 and own <> nearest""")
+best as (select x.idx, x.label as own, y.label as nearest, y.idx as nearest_idx, p.distance,
+    row_number() over (partition by x.idx order by p.distance, y.idx) as k from both_ways p join h x on x.idx = p.a join h y on y.idx = p.b),
+alike as (select a as idx, distance from near join h x on x.idx = a join h y on y.idx = b where x.label = y.label
+    union all select b, distance from near join h x on x.idx = a join h y on y.idx = b where x.label = y.label),
+nearest_own as (select idx, min(distance) as own_distance from alike group by idx)
+select idx, cast(own as varchar) as own, cast(nearest as varchar) as nearest, nearest_idx, distance, own_distance
+from best left join nearest_own using (idx) where k = 1 and own <> nearest""")
 def group_mismatch(spark, sf_dir):
     rows = _hashes(spark, sf_dir).select("idx", "hash", F.col("label").cast("string").alias("tag"), F.lit(9.0).alias("detail_std"))
     return dedup.group_mismatches(rows, 18)
@@ -571,7 +575,11 @@ def magic_sniff(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.sniff(F.concat(head, F.col("html").cast("binary"))).alias("kind"))
 
 
-@query()
+@query("""with t as (select c_custkey, c_custkey * 37 % 256 as a, c_custkey * 11 % 256 as b, c_custkey % 256 as c from customer)
+select c_custkey, concat_ws('.', a, b, c, 1) as address, case when a = 127 then 'loopback' when a = 169 and b = 254 then 'link_local' when a between 224 and 239 then 'multicast'
+    when a >= 240 then 'reserved' when a in (0, 10) or a = 172 and b between 16 and 31 or a = 192 and b = 0 and c in (0, 2) or a = 192 and b = 168
+    or a = 198 and b in (18, 19) or a = 198 and b = 51 and c = 100 or a = 203 and b = 0 and c = 113 then 'private'
+    when a = 100 and b between 64 and 127 then 'not globally routable' end as forbidden from t""")
 def address_class(spark, sf_dir):
     k = F.col("c_custkey")
     address = F.concat_ws(".", (k * 37 % 256).cast("string"), (k * 11 % 256).cast("string"), (k % 256).cast("string"), F.lit("1"))

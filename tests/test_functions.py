@@ -1,5 +1,7 @@
 import hashlib
+import ipaddress
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -98,6 +100,18 @@ def test_addresses():
         assert web.forbidden_reason(address), address
 
 
+def test_addresses_as_by_the_standard_library():
+    rng = random.Random(1)
+    values = [ipaddress.IPv4Address(rng.getrandbits(32)) for _ in range(3000)] + [ipaddress.IPv6Address(rng.getrandbits(128)) for _ in range(500)]
+    for _, nets in web.NETWORKS:
+        for net in map(ipaddress.ip_network, nets.split()):
+            values += [net.network_address, net.broadcast_address]
+    for ip in values:
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        kinds = [k for k in ("loopback", "link_local", "multicast", "unspecified", "reserved", "private") if getattr(ip, f"is_{k}")]
+        assert web.forbidden_reason(str(ip)) == (kinds[0] if kinds else None if ip.is_global else "not globally routable"), ip
+
+
 def test_gallery(spark):
     cdn = "https://m.media-amazon.com/images/I/"
     blob = "'colorImages': { 'initial': A.$.parseJSON('[{\"hiRes\":null,\"large\":\"%sA._S_.jpg\"},{\"hiRes\":\"%sB.png\",\"large\":\"%sC.jpg\"},{\"hiRes\":\"%sx.gif\"},{\"hiRes\":\"%sB.png\"}]')" % ((cdn,) * 5)

@@ -120,7 +120,29 @@ def test_refusals(spark):
 def test_mismatch_needs_a_near_neighbour(spark):
     rows = [(0, 0, "a", 9.0), (1, 1, "b", 9.0), (2, 2**40 - 1, "b", 9.0), (3, 3, None, 9.0), (4, 0, "b", 1.0)]
     got = dedup.group_mismatches(spark.createDataFrame(rows, "idx long, hash long, tag string, detail_std double"), 8).collect()
-    assert sorted((r.idx, r.own, r.nearest, r.nearest_idx, r.distance, r.own_distance) for r in got) == [(0, "a", "b", 1, 1, None), (1, "b", "a", 0, 1, None)]
+    assert sorted((r.idx, r.own, r.nearest, r.nearest_idx, r.distance, r.own_distance) for r in got) == [(0, "a", "b", 1, 1, None), (1, "b", "a", 0, 1, 39)]
+
+
+def test_segments_follow_the_number_of_hashes(spark):
+    assert dedup.segments_for(8, 10**3) >= dedup.segments_for(8, 10**6) >= dedup.segments_for(8, 10**9)
+    assert sorted(dedup.ball(5, 2)) == [x for x in range(32) if x.bit_count() <= 2]
+    rng = random.Random(9)
+    codes = [rng.getrandbits(63) for _ in range(60)] * 2 + [0] * 20
+    rows = spark.createDataFrame(list(enumerate(codes)), "idx long, hash long")
+    for most in (0, 5, 20):
+        want = {(i, j, (a ^ b).bit_count()) for (i, a), (j, b) in itertools.combinations(enumerate(codes), 2) if (a ^ b).bit_count() <= most}
+        assert {tuple(r) for r in dedup.hamming_pairs(rows, most).collect()} == want
+        assert {tuple(r) for r in dedup.hash_clusters(rows, most).collect()} == {tuple(r) for r in dedup.clusters(dedup.hamming_pairs(rows, most)).collect()}
+
+
+def test_tile_pairs_as_by_brute_force(spark):
+    rng = random.Random(4)
+    tiles = [[rng.getrandbits(60) for _ in range(6)] for _ in range(8)]
+    tiles += [[t ^ (1 << rng.randrange(60)) if rng.random() < 0.7 else rng.getrandbits(60) for t in row] for row in tiles * 3]
+    rows = spark.createDataFrame(list(enumerate(tiles)), "idx long, tiles array<long>")
+    for most in (1, 3):
+        want = {(i, j, d) for (i, a), (j, b) in itertools.combinations(enumerate(tiles), 2) if (d := sum((x ^ y).bit_count() > 4 for x, y in zip(a, b, strict=True))) <= most}
+        assert {tuple(r) for r in dedup.tile_pairs(rows, most, 4, 6).collect()} == want
 
 
 def test_auc_with_ties(spark):
