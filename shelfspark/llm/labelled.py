@@ -42,12 +42,16 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
 
 
 def packed(array: np.ndarray) -> bytes:
-    """An int64 array, compressed: tables of counts are mostly small numbers."""
-    return zlib.compress(np.ascontiguousarray(array, dtype=np.int64), 1)
+    """An int64 array, compressed: signs go to the last bit, and bytes of one weight lie together, as most numbers are small."""
+    x = np.ascontiguousarray(array, dtype=np.int64).ravel()
+    signless = ((x << 1) ^ (x >> 63)).view(np.uint8).reshape(-1, 8)
+    return zlib.compress(np.ascontiguousarray(signless.T).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
+    x = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
 
 
 def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray], plus: Callable = np.add) -> np.ndarray | None:

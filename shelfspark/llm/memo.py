@@ -13,3 +13,8 @@ def remembered(key: Hashable, make: Callable):
         _LIVE.clear()
         _LIVE[key] = make()
     return _LIVE[key]
+
+
+def forget() -> None:
+    """Drops it: for operators that remember nothing, but whose worker may have run others before."""
+    _LIVE.clear()

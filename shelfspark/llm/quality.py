@@ -35,6 +35,7 @@ from pyspark.sql.types import DoubleType
 
 from ..plans.cut import bounded_batches
 from . import labelled
+from .memo import forget
 
 #: Rows of words, as a power of two, and of forms.
 WORD_BITS, FORMS = 18, 4096
@@ -44,7 +45,7 @@ HIDDEN, EPOCHS, RATE, DECAY = 16, 400, 0.02, 1e-4
 PRIOR = 8
 THRESHOLD = 0.3
 #: Bytes of text that are looked at together, and the longest part of a text.
-PART = 1 << 20
+PART = 1 << 18
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _LOWER, _UPPER, _DIGIT, _HIGH, _MARK, _SPACE = range(6)
 _KIND = np.array([_SPACE if c in b" \t\n\v\f\r" else _LOWER if 97 <= c <= 122 else _UPPER if 65 <= c <= 90 else _DIGIT if 48 <= c <= 57 else _HIGH if c >= 128 else _MARK for c in range(256)], np.uint8)
@@ -81,7 +82,7 @@ def symbols(parts: list[bytes], texts: list[int]) -> Symbols:
     kind = _KIND[raw]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], kind == _SPACE]).view(np.int8)))
     start, end = edges[::2], edges[1::2]
-    size = 1 << max(21, len(raw).bit_length())
+    size = 1 << max(19, len(raw).bit_length())
     # a word's hash: the sum of its bytes times powers of an odd number, read off running sums modulo 2^64
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(size, _MIX[0])[: len(raw)])])
     hashes = _mixed((sums[end] - sums[start]) * _powers(size, pow(_MIX[0], -1, 1 << 64))[start])
@@ -156,6 +157,7 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 def contexts(batches: Iterable[pa.Array]) -> np.ndarray:
     """Summed index vectors of what stands near each symbol in the texts."""
+    forget()
     index, out = index_vectors(), np.zeros((ROWS, DIMENSIONS), np.int64)
     for texts in batches:
         for (text, *rows), _ in blocks(texts):
@@ -175,6 +177,7 @@ def contexts(batches: Iterable[pa.Array]) -> np.ndarray:
 
 def sums(texts: Iterable[pa.Scalar], vectors: np.ndarray) -> np.ndarray:
     """The sums of the word vectors and of the form vectors of each text and, last, the number of its words."""
+    forget()
     out = np.zeros((0, 2 * vectors.shape[1] + 1))
     for (text, word, form), number in blocks(texts):
         out = np.concatenate([out, np.zeros((number - len(out), out.shape[1]))])

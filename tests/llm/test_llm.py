@@ -75,7 +75,7 @@ def test_words_and_vectors(monkeypatch):
     assert len(set(many.word.tolist())) >= 648
     monkeypatch.setattr(quality, "PART", 50)
     parted = quality.sums(quality.pa.array([LONG[:5000], "x " * 300]), vectors)
-    monkeypatch.setattr(quality, "PART", 1 << 20)
+    monkeypatch.setattr(quality, "PART", 1 << 18)
     whole = quality.sums(quality.pa.array([LONG[:5000], "x " * 300]), vectors)
     assert parted[:, -1].tolist() == whole[:, -1].tolist() and np.allclose(parted[0], whole[0])
 
@@ -95,6 +95,12 @@ def test_the_bound_of_learning_rows_holds(spark):
     assert len(rows) == 2 and len({r.text for r in rows}) == 1
 
 
+def test_arrays_travel_whole():
+    x = np.array([0, 1, -1, 127, -128, 1 << 40, -(1 << 40), (1 << 63) - 1, -(1 << 63)])
+    assert (quality.labelled.unpacked(quality.labelled.packed(x)) == x).all()
+    assert quality.labelled.unpacked(quality.labelled.packed(x[:0])).shape == (0,)
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     z = rng.normal(0, 2, 4000)
