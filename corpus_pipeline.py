@@ -1,6 +1,10 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Defined results: null, empty and wordless texts are scored as the classifiers say and stand for themselves as
+near-duplicates; repeated rows are one after the third stage if they have words, and are all kept if not; rows are
+judged by their own text, also where a doc_id is null or that of several; texts are read whole, however long; an
+empty table passes as such; extra columns are kept, whatever their names, until the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import decontaminate, jaccard_join, packing, quality, toxicity
 from shelfspark.llm.queries import table
-from shelfspark.plans.cut import shared_folder
+from shelfspark.plans.cut import dropped, shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the rows lie as Parquet in the shared folder."""
+    """All stages over ``documents``; between stages the rows lie as Parquet in the shared folder, those of the last stage only until its successor is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -61,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                dropped(spark, f"{folder}/{k - 1}")
     return docs
