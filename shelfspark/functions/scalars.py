@@ -62,6 +62,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def normalised_distance(a: Column, b: Column, bits: int = 64) -> Column:
+    """``hamming`` as a share of the hash's bits."""
+    return hamming(a, b) / double(bits)
+
+
 def tiles_agreeing(a: Column, b: Column, most: int) -> Column:
     """Cells at a distance of ``most`` or less; lists of other lengths are an error."""
     same = F.size(F.filter(F.zip_with(a, b, hamming), lambda d: d <= most))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import double
+from ..plans.cut import running
 
 #: The least precision on the development pairs: a fixed value.
 PRECISION_FLOOR = 0.95
@@ -31,11 +32,11 @@ def labeled_pairs(images: DataFrame) -> DataFrame:
 def roc_auc(rows: DataFrame, score: Column, label: Column) -> DataFrame:
     """One row, auc: the Mann-Whitney statistic, lower scores being more positive, ties sharing their mean rank; NaN if a class is empty.
 
-    Counts by distinct score are ranked, not rows, so the order is over as many values as there are.
+    Counts by distinct score are summed up along the order, not rows.
     """
     counts = rows.select(score.alias("s"), label.alias("y")).groupBy("s").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)), double(0))
-    u = counts.withColumn("u", F.col("p") * (below + F.col("q") / double(2))).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    placed, _ = running(counts, [F.col("s").desc()], {"upto": "q"})
+    u = placed.withColumn("u", F.col("p") * (F.col("upto") - F.col("q") / double(2))).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return u.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).otherwise(double("nan")).alias("auc"))
 
 
@@ -49,8 +50,8 @@ def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
 def sweep(rows: DataFrame, score: Column, label: Column) -> DataFrame:
     """For each distinct score as threshold (accepting that much or less): tp, fp, fn, precision, recall, f1."""
     counts = rows.select(score.alias("threshold"), label.alias("y")).groupBy("threshold").agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("q"))
-    upto = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("tp", F.sum("p").over(upto)).withColumn("fp", F.sum("q").over(upto)).withColumn("fn", F.sum("p").over(Window.partitionBy(F.lit(1))) - F.col("tp"))
+    summed, whole = running(counts, ["threshold"], {"tp": "p", "fp": "q"})
+    out = summed.withColumn("fn", F.lit(whole["tp"]).cast("long") - F.col("tp"))
     precision, recall, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return out.select("threshold", "tp", "fp", "fn", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import hash_split, plausible_photo
+from ..plans.cut import running
 from .graph import connected_components
 
 #: An image of more products than this is generic; the share of listings whose types are kept: fixed values.
@@ -63,12 +64,10 @@ def component_stats(assigned: DataFrame) -> DataFrame:
 def kept_types(rows: DataFrame, column: str, share: float = KEPT_SHARE) -> DataFrame:
     """Values whose cumulative share, most frequent first, is ``share`` at most; if none is, the most frequent."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col("n").desc(), F.col(column).asc())
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    ranked = counts.withColumn("cumulative", upto / total.cast("double")).withColumn("place", F.row_number().over(order))
-    fits = F.max((F.col("cumulative") <= share).cast("int")).over(Window.partitionBy(F.lit(1)))
-    return ranked.withColumn("any", fits).where((F.col("cumulative") <= share) | ((F.col("any") == 0) & (F.col("place") == 1))).select(column, "n", "cumulative")
+    placed, whole = running(counts.withColumn("one", F.lit(1).cast("long")), [F.col("n").desc(), F.col(column).asc()], {"upto": "n", "place": "one"})
+    shares = placed.withColumn("cumulative", F.col("upto") / F.lit(float(max(whole["upto"], 1))))
+    # shares only rise, so if the first is too much, all are
+    return shares.where((F.col("cumulative") <= share) | (F.col("place") == 1)).select(column, "n", "cumulative")
 
 
 def long_tail(rows: DataFrame, column: str, kept: DataFrame, name: str) -> DataFrame:

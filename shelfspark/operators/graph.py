@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..plans.cut import cut
 
@@ -63,8 +63,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", per_task:
     Each partition of at most about ``per_task`` edges is contracted where it lies, so of a hub one row a partition is
     left. A node's roots from several partitions are edges of the next, smaller graph; this goes on until one
     partition holds what is left, and labels are then handed down, level by level. Null ends and loops are no edges.
-    Nodes may be of any type that Arrow can hash. Raises if ``max_levels`` don't settle it.
+    Nodes of nested types go by ``star_components``. Raises if ``max_levels`` don't settle it.
     """
+    if isinstance(edges.schema[a].dataType, (StructType, ArrayType)):
+        return star_components(edges, a, b)  # Arrow can't hash nested values
     now = cut(_ends(edges, a, b))
     schema = StructType([StructField("node", now.schema["hi"].dataType), StructField("root", now.schema["hi"].dataType)])
     levels = []

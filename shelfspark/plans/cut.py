@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: monotonically_increasing_id(): the partition is above these bits, the row's place in it below.
 ROW_BITS = 33
@@ -85,3 +85,26 @@ def ranked(df: DataFrame, order: list, name: str = "rank") -> tuple[DataFrame, i
         return out.withColumn(name, F.lit(0).cast("long")), 0
     start = F.element_at(F.lit(starts).cast("array<long>"), part + 1)
     return out.withColumn(name, start + here.bitwiseAND((1 << ROW_BITS) - 1)), total
+
+
+def running(df: DataFrame, order: list, sums: dict[str, str]) -> tuple[DataFrame, dict]:
+    """``df`` with, for each name of ``sums``, that column's sum over all rows up to and with its own, and the sums of all.
+
+    Rows are range-sorted by ``order``, which must tell them apart; sums are made within partitions, and of each
+    partition its totals come to the driver. So no task meets all rows, as it would in a window without a key.
+    """
+    out = cut(df.repartitionByRange(width(df.sparkSession), *order).sortWithinPartitions(*order))
+    here = F.monotonically_increasing_id()
+    out = cut(out.withColumns({"_part": F.shiftright(here, ROW_BITS).cast("int"), "_row": here}))
+    totals = {r["_part"]: r for r in out.groupBy("_part").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()}
+    before: dict[str, list] = {n: [] for n in sums}
+    whole = dict.fromkeys(sums, 0)
+    for p in range(max(totals, default=-1) + 1):
+        for n in sums:
+            before[n].append(whole[n])
+            whole[n] += (totals[p][n] or 0) if p in totals else 0
+    upto = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    for n, c in sums.items():
+        start = F.element_at(F.lit(before[n] or [0]), F.col("_part") + 1)
+        out = out.withColumn(n, F.sum(c).over(upto) + start)
+    return out.drop("_part", "_row"), whole

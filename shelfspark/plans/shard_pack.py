@@ -31,9 +31,12 @@ def check(planned: DataFrame) -> dict:
     return planned.agg(F.countDistinct("path").alias("planned_paths"), F.count("*").alias("planned_samples")).first().asDict()
 
 
-def pack(planned: DataFrame, members: DataFrame, budget: int, prefix: str = "images/small/") -> tuple[DataFrame, DataFrame]:
-    """Archives, and planned paths that ``members`` (name, data) lacks. A member that several samples use goes to each."""
+def pack(planned: DataFrame, members: DataFrame, budget: int, prefix: str = "images/small/") -> DataFrame:
+    """Archives. A member (name, data) that several samples use goes to each; a planned path without one is an error."""
     seen = members.select(F.expr(f"substring(name, {len(prefix) + 1})").alias("path"), "data")
+    absent = [r.path for r in planning.missing_members(planned, seen).limit(5).collect()]
+    if absent:
+        raise ValueError(f"planned images that the archive lacks: {absent}")
     rows = planned.join(seen, "path").withColumn("suffix", F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = rows.withColumn("n_bytes", 1536 + F.octet_length("data") + F.octet_length("meta") + F.coalesce(F.octet_length("title"), F.lit(0)))
-    return shards.packed(planning.rolled(rows, budget)), planning.missing_members(planned, seen)
+    return shards.packed(planning.rolled(rows, budget))

@@ -356,6 +356,20 @@ def hamming_pairs(spark, sf_dir):
     return dedup.hamming_pairs(_hashes(spark, sf_dir).select("idx", "hash"), 18)
 
 
+@query(f"with {_HASHES} select a, b, distance / 64.0::double as share from pairs")
+def normalised_distance(spark, sf_dir):
+    rows = _hashes(spark, sf_dir)
+    side = lambda x: rows.select(F.col("idx").alias(x), F.col("hash").alias(f"hash_{x}"))
+    pairs = hamming_pairs(spark, sf_dir).join(side("a"), "a").join(side("b"), "b")
+    return pairs.select("a", "b", scalars.normalised_distance(F.col("hash_a"), F.col("hash_b")).alias("share"))
+
+
+@query("select doc_id, source, lang from documents where text is not null order by source, doc_id limit 100")
+def first_queries(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "lang")
+    return retrieval.first_queries(rows, 100, "source", "doc_id")
+
+
 @query(f"""with recursive {_HASHES}, e as (select a, b from pairs union select b, a from pairs), reach(x, y) as (select a, a from e union select r.x, e.b from reach r join e on r.y = e.a)
 select min(y) as cluster, x as idx from reach group by x""")
 def dup_clusters(spark, sf_dir):

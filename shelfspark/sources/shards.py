@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ SIDECAR = "product_id string, image_id string, path string, split string"
 
 
 def tar_members(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """(archive, name, data) of each file member of the tars at ``path`` whose name has ``prefix``; a tar is streamed in one task."""
+    """(archive, name, data) of each file member of the tars at ``path`` whose name has ``prefix``. A tar is one row to Spark, so of 2 GiB at most; larger ones are to be split first."""
     tars = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,15 +100,26 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("role", "split", "shard").applyInPandas(one, "role string, split string, shard int, name string, samples long, bytes long, payload_bytes long, sha256 string, archive binary")
 
 
-def write_archives(archives: DataFrame, folder: str) -> None:
-    """Each archive as a file in ``folder``, by Hadoop's file systems: the driver makes a file at a time, from bounded rows."""
-    jvm = archives.sparkSession._jvm
-    conf = archives.sparkSession._jsc.hadoopConfiguration()
-    for row in archives.select("name", "archive").orderBy("name").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row.archive))
-        out.close()
+def write_archives(archives: DataFrame, folder: str) -> int:
+    """Writes each archive as a file in ``folder``, a URI or path that executors share, from the task that holds it; returns their number.
+
+    A file is written under a name of its own and then moved, so none is ever seen in part and a task may run again.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.itertuples():
+                system, place = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+                system.create_dir(place)
+                own = f"{place}/.{row.name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as out:
+                    out.write(row.archive)
+                system.move(own, f"{place}/{row.name}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return archives.select("name", "archive").mapInPandas(write, "n long").agg(F.sum("n").alias("n")).first().n or 0
 
 
 def manifest(archives: DataFrame, most: int = 500) -> dict:

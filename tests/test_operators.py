@@ -28,6 +28,18 @@ def test_components(spark, edges):
     assert {r.node: r.component for r in got.collect()} == want
 
 
+def test_components_of_many_partitions(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(80)] + [(200, 200 + i) for i in range(1, 60)] + [(300 + rng.randrange(90), 300 + rng.randrange(90)) for _ in range(70)]
+    rng.shuffle(edges)
+    want = brute_components([e for e in edges if e[0] != e[1]])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    for found in (graph.connected_components(frame, per_task=20), graph.star_components(frame)):
+        assert {r.node: r.component for r in found.collect()} == {k: v for k, v in want.items() if k in {x for e in edges if e[0] != e[1] for x in e}}
+    names = frame.select(F.concat(F.lit("n"), F.col("a") + 1000).alias("a"), F.concat(F.lit("n"), F.col("b") + 1000).alias("b"))
+    assert {(r.node, r.component) for r in graph.connected_components(names, per_task=30).collect()} == {(f"n{k + 1000}", f"n{v + 1000}") for k, v in want.items()}
+
+
 def _edges(spark, rows):
     return spark.createDataFrame(rows, "product_id string, image_id string")
 

@@ -83,12 +83,14 @@ def test_shards(spark, built, tmp_path):
             tar.addfile(info, io.BytesIO(body))
     (tmp_path / "source.tar").write_bytes(data.getvalue())
     members = shards.tar_members(spark, str(tmp_path / "source.tar"), "images/small/")
-    archives, missing = shard_pack.pack(planned, members, 20_000)
-    assert [r.path for r in missing.collect()] == [paths[-1]]
+    with pytest.raises(ValueError, match=paths[-1]):
+        shard_pack.pack(planned, members, 20_000)
+    planned = planned.where(F.col("path") != paths[-1])
+    archives = shard_pack.pack(planned, members, 20_000)
     rows = {r.name: r.sha256 for r in archives.collect()}
-    again, _ = shard_pack.pack(planned.repartition(3), members, 20_000)
+    again = shard_pack.pack(planned.repartition(3), members, 20_000)
     assert rows == {r.name: r.sha256 for r in again.collect()} and len(rows) > 4
-    shards.write_archives(archives, str(tmp_path / "out"))
+    assert shards.write_archives(archives, str(tmp_path / "out")) == len(rows)
     series = shards.manifest(archives)["series"]
     assert sum(s["samples"] for s in series.values()) >= len(paths) - 1
     with pytest.raises(ValueError):
@@ -153,6 +155,18 @@ def test_audit_of_sets_that_share_photos(spark):
     assert {(r.set_id, r.idx, r.own, r.nearest) for r in found} == {("b", 0, "x", "y"), ("b", 1, "y", "x")}
 
 
+def test_audit_tells_what_it_cannot_read(spark):
+    opaque = np.concatenate([_pixels(7), np.full((96, 96, 1), 255, np.uint8)], axis=2)
+    clear = opaque.copy()
+    clear[0, 0, 3] = 0
+    body = [("a", 0, "p", 96, 96, 4, bytearray(opaque.tobytes())), ("a", 1, "q", 96, 96, 4, bytearray(clear.tobytes())), ("b", 0, "p", 96, 96, 4, bytearray(opaque.tobytes())), ("a", 2, "r", 96, 96, 3, None), ("a", 3, "s", 90_000, 90_000, 3, bytearray(3))]
+    table = spark.createDataFrame([(*r, "JPEG", None) for r in body], "set_id string, idx long, image_id string, width int, height int, n_channels int, data binary, format string, tag string")
+    found = image_audit.run(table)
+    white = {(r.set_id, r.idx): r.status for r in found["checks"].where("check_id = 'white_background'").collect()}
+    assert set(white) == {("a", 0), ("a", 1), ("b", 0)} and white["a", 1] == "warn" and white["a", 0] == white["b", 0] == "pass"
+    assert {(r.idx, r.reason) for r in found["rejected"].collect()} == {(2, "no data"), (3, "too many pixels")}
+
+
 def test_calibration(spark):
     from shelfspark.operators import calibration, pixels
 
