@@ -1,11 +1,13 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Size, source and language of a document are each quantised to a cell of 0 to 255; the three cells give a place
-on a Hilbert curve. Sorting by it and cutting equal runs makes shards whose rows lie close in every dimension,
-so a filter on any of them prunes most files by their least and greatest cells.
+Size, source and language of a document are each quantised to a cell of 0 to 255: size by its logarithm, names by
+quantiles of the documents in the order of names, so a cell is a range of names and of like numbers of documents. The
+three cells give a place on a Hilbert curve. Sorting by it and cutting equal runs makes shards whose rows lie close in
+every dimension, so a filter on any of them prunes most files by their least and greatest cells.
 
 Defined results: a null text has no bytes and CRC 0; a null source or language has cell 0; equal rows get
-different slots; an empty table gives no rows. Extra columns are ignored, also ones named like ours.
+different slots, ties on the curve going by size, CRC and doc_id; an empty table gives no rows. Texts are read whole,
+however long. Extra columns are ignored, also ones named like ours.
 """
 
 from __future__ import annotations
@@ -14,9 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql.types import LongType
-
-from ..plans.cut import ranked
+from ..plans.cut import ranked, running
 
 BITS = 8
 
@@ -50,13 +50,20 @@ def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(LongType())
-def _place(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series(hilbert(np.stack([a, b, c], axis=1)))
+def quantiles(docs: DataFrame, column: str, cells: int = 1 << BITS) -> tuple[list[str], list[int]]:
+    """The least name of each cell, and the cell, from 1 on: at most ``cells`` - 1, whatever the number of names."""
+    counts = docs.select(F.col(column).cast("string").alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+    placed, whole = running(counts, ["name"], {"upto": "n"})
+    cell = F.floor((F.col("upto") - F.col("n")) * (cells - 1) / F.lit(max(whole["upto"], 1))) + 1
+    found = sorted((r.cell, r.name) for r in placed.groupBy(cell.cast("int").alias("cell")).agg(F.min("name").alias("name")).collect())
+    return [r[1] for r in found], [r[0] for r in found]
 
 
-def _name_cell(column: str):
-    return F.coalesce(F.crc32(F.col(column).cast("binary")) % 256, F.lit(0)).cast("int")
+def cells_of(names: pd.Series, known: tuple[list[str], list[int]]) -> np.ndarray:
+    """The cell of each name: that of the greatest least name which isn't above it; 0 for null."""
+    codes, values = pd.factorize(names)
+    cells = np.array([known[1][max(int(np.searchsorted(known[0], v, side="right")) - 1, 0)] for v in values] + [0], dtype=np.int64)
+    return cells[codes]  # null has code -1, the last
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -68,14 +75,22 @@ def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long")
+    langs, sources = quantiles(docs, "lang", 1 << BITS), quantiles(docs, "source", 1 << BITS)
+
+    @F.pandas_udf("struct<lang:int,source:int,curve:long>")
+    def place(lang: pd.Series, source: pd.Series, size_cell: pd.Series) -> pd.DataFrame:
+        a, b = cells_of(lang, langs), cells_of(source, sources)
+        return pd.DataFrame({"lang": a, "source": b, "curve": hilbert(np.stack([a, b, size_cell], axis=1))})
+
     narrow = docs.select(
         "doc_id",
         (size + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.least(F.lit(255), F.floor(12 * F.log2(size + F.lit(1.0)))).cast("int").alias("size_cell"),
-        _name_cell("source").alias("source_cell"),
-        _name_cell("lang").alias("lang_cell"),
-    ).withColumn("curve", _place("lang_cell", "source_cell", "size_cell"))
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
+    ).withColumn("at", place("lang", "source", "size_cell"))
+    narrow = narrow.select("doc_id", "size", "text_crc32", "size_cell", F.col("at.source").alias("source_cell"), F.col("at.lang").alias("lang_cell"), F.col("at.curve").alias("curve"))
     out, total = ranked(narrow, ["curve", "size", "text_crc32", "doc_id"], "_rank")
     shard = F.expr(f"(_rank * {shards}L) div {max(total, 1)}L")
     first = F.expr(f"((_shard * {total}L) + {shards - 1}L) div {shards}L")

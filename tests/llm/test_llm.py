@@ -344,6 +344,30 @@ def test_shards(spark, awkward):
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "rows", None)
 
 
+
+def test_shards_prune_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.hilbert_shards(docs, 40).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    for name, cell in (("lang", "lang_cell"), ("source", "source_cell")):
+        span = {}
+        for r in rows:
+            span.setdefault(r.shard, []).append(r[cell])
+        ends = {k: (min(v), max(v)) for k, v in span.items()}
+        cells = {r[name]: r[cell] for r in rows}
+        assert [cells[n] for n in sorted(cells)] == sorted(cells.values())  # a cell is a range of names
+        hit = [sum(a <= c <= b for a, b in ends.values()) for c in set(cells.values())]
+        assert sum(hit) / len(hit) < 0.7 * 40, (name, hit)
+
+
+def test_cells_of_names(spark):
+    rows = [(n,) for n in ["a"] * 50 + ["b", None, "c"] + [f"x{i:03d}" for i in range(900)]]
+    known = sharding.quantiles(spark.createDataFrame(rows, "lang string"), "lang")
+    assert len(known[0]) <= 255 and known[1] == sorted(known[1]) and known[0] == sorted(known[0])
+    got = sharding.cells_of(sharding.pd.Series(["a", None, "x000", "x899", "x000"]), known)
+    assert got[1] == 0 and 0 < got[0] <= got[2] == got[4] < got[3] <= 255
+    assert sharding.quantiles(spark.createDataFrame([], "lang string"), "lang") == ([], [])
+
+
 # 7 Packing ----------------------------------------------------------------------------------------------------
 
 
