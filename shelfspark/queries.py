@@ -232,7 +232,12 @@ def plan_invariants(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""with recursive p as (select page_id, url, octet_length(encode(html)) as n, {_SPLIT} as split from (select *, {_MOD.format(x="cast(page_id as varchar)")} as k from pages)),
+o as (select *, row_number() over (partition by split order by url nulls first, cast(page_id as varchar)) as place from p),
+walk as (select *, 0 as shard, 0 as before from o where place = 1
+    union all select o.*, case when w.before + w.n >= 100000 then w.shard + 1 else w.shard end, case when w.before + w.n >= 100000 then 0 else w.before + w.n end
+    from walk w join o on o.split = w.split and o.place = w.place + 1)
+select 'pages' as role, split, cast(page_id as varchar) as key, url as path, n as n_bytes, shard, before as "offset" from walk""")
 def shard_plan(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("role"), scalars.hash_split(F.col("page_id")).alias("split"), F.col("page_id").cast("string").alias("key"), F.col("url").alias("path"), F.octet_length("html").alias("n_bytes"))
     return planning.rolled(pages, 100_000)
@@ -638,11 +643,21 @@ def false_negative_mask(spark, sf_dir):
     return training.false_negatives(_samples(spark, sf_dir))
 
 
-@query()
+@query("""with t as (select vec_id as i, vec_id // 64 as batch, embedding::double[] as image,
+    coalesce(lead(embedding) over (partition by label order by vec_id), first(embedding) over (partition by label order by vec_id))::double[] as text from embeddings),
+z as (select a.batch, a.i, b.i as j, 20.0::double * list_dot_product(a.image, b.text) as z from t a join t b on a.batch = b.batch),
+tops as (select *, max(z) over (partition by batch, i) as row_top, max(z) over (partition by batch, j) as column_top, row_number() over (partition by batch, i order by z desc, j) as place from z),
+by_row as (select batch, i, ln(sum(exp(z - row_top))) + any_value(row_top) - max(case when i = j then z end) as loss, max(case when i = j and place = 1 then 1.0::double else 0 end) as found from tops group by batch, i),
+by_column as (select batch, j, ln(sum(exp(z - column_top))) + any_value(column_top) - max(case when i = j then z end) as loss from tops group by batch, j),
+r as (select batch, avg(loss) as loss_i2t, avg(found) as accuracy from by_row group by batch),
+c as (select batch, avg(loss) as loss_t2i from by_column group by batch)
+select batch, round((loss_i2t + loss_t2i) / 2, 9) as loss, round(loss_i2t, 9) as loss_i2t, round(loss_t2i, 9) as loss_t2i, round(accuracy, 9) as accuracy, 0 as masked from r join c using (batch)""")
 def info_nce(spark, sf_dir):
     order = Window.partitionBy("label").orderBy("vec_id")
     rows = table(spark, sf_dir, "embeddings").withColumn("text", F.coalesce(F.lead("embedding").over(order), F.first("embedding").over(order)))
-    return training.info_nce(rows.select(F.expr("vec_id div 64").alias("batch"), F.col("vec_id").alias("i"), F.col("embedding").alias("image"), "text", F.col("vec_id").alias("product_hash"), F.lit(0).cast("long").alias("title_hash")), 20.0)
+    return training.info_nce(rows.select(F.expr("vec_id div 64").alias("batch"), F.col("vec_id").alias("i"), F.col("embedding").alias("image"), "text", F.col("vec_id").alias("product_hash"), F.lit(0).cast("long").alias("title_hash")), 20.0).select(
+        "batch", *(F.round(c, 9).alias(c) for c in ("loss", "loss_i2t", "loss_t2i", "accuracy")), "masked"
+    )
 
 
 @query("select o_orderkey, o_orderpriority, length(o_orderpriority)::float as n from orders")
