@@ -332,7 +332,7 @@ def _stars(groups: DataFrame, percent: int) -> DataFrame:
 def _shingled(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int) -> DataFrame:
     """node and shingles of the nodes ``wanted`` (node, doc_id), and of few others; a node may have several equal rows.
 
-    Documents go on if a table of fixed width marks their doc_id; their texts alone go to Python.
+    Documents go on if a table of fixed width marks their doc_id; of the others the text isn't looked at.
     """
 
     def marked(arrays: Iterable[pa.Array]) -> np.ndarray:
@@ -345,17 +345,14 @@ def _shingled(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int)
     table = labelled.summed(wanted.select(slot("doc_id")), "slot", marked, np.bitwise_or)
     held, odd = docs.sparkSession.sparkContext.broadcast(np.zeros((1 << WANTED) // 64, np.int64) if table is None else table), frozenset(clashes)
 
-    @F.arrow_udf(BooleanType())
-    def named(slots: pa.Array) -> pa.Array:
-        at = slots.to_numpy()
-        return pa.array(((held.value.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        table = held.value.view(np.uint8)
         for batch in batches:
+            at = batch.column(0).to_numpy()
             out, bulk = [], 0
-            for text in batch.column(0):
-                found = shingles(text.as_py(), size)
+            for row in np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).tolist():
+                found = shingles(batch.column(1)[row].as_py(), size)
                 node = _node(*name_of(found), odd) if len(found) else None
                 if node is None or node in seen:
                     continue
@@ -370,9 +367,7 @@ def _shingled(docs: DataFrame, wanted: DataFrame, clashes: list[int], size: int)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["node", "shingles"])
 
-    named = named.asNondeterministic()  # else it is evaluated anew in each filter that the optimizer adds
-    some = docs.select(F.col("text").cast("binary").alias("text"), named(slot("doc_id")).alias("named")).where("named")
-    return cut(some.select("text").mapInArrow(run, "node long, shingles binary"))
+    return cut(docs.select(slot("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles binary"))
 
 
 class _Verifier(NamedTuple):

@@ -90,7 +90,7 @@ def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.n
 
 
 def summed_rows(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray], rows: int, width: int, block: int = 512) -> np.ndarray:
-    """As ``summed``, of int64 arrays of ``rows`` by ``width``, for tables too large to travel whole.
+    """As ``summed``, of arrays of whole numbers, of ``rows`` by ``width``, for tables too large to travel whole.
 
     A partition gives its table in blocks of rows, without those that are all zero; blocks are added by number, ``FAN_IN`` at
     a time, so that a task meets a block of so many tables, and the driver each block once.

@@ -41,6 +41,8 @@ from .memo import forget
 WORD_BITS, FORMS = 18, 4096
 ROWS = (1 << WORD_BITS) + FORMS
 DIMENSIONS, NONZERO, REACH = 32, 4, 2
+#: Length of a word vector, in whole numbers of a byte.
+SCALE = 127
 HIDDEN, EPOCHS, RATE, DECAY = 16, 400, 0.02, 1e-4
 PRIOR = 8
 THRESHOLD = 0.3
@@ -147,21 +149,25 @@ def index_vectors() -> np.ndarray:
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
-    """The rows of ``raw`` at length 1, or 0."""
-    out = np.empty(raw.shape, np.float32)
+    """The rows of ``raw`` at a length of ``SCALE``, in whole numbers, so that sums of them don't depend on their order."""
+    out = np.empty(raw.shape, np.int8)
     for at in range(0, len(raw), 1 << 14):
         some = raw[at : at + (1 << 14)].astype(np.float64)
-        out[at : at + len(some)] = some / (np.linalg.norm(some, axis=1, keepdims=True) + 1e-9)
+        out[at : at + len(some)] = np.rint(SCALE * some / (np.linalg.norm(some, axis=1, keepdims=True) + 1e-9))
     return out
 
 
 def contexts(batches: Iterable[pa.Array]) -> np.ndarray:
     """Summed index vectors of what stands near each symbol in the texts."""
     forget()
-    index, out = index_vectors(), np.zeros((ROWS, DIMENSIONS), np.int64)
+    index, out, whole, held = index_vectors(), np.zeros((ROWS, DIMENSIONS), np.int32), 0, 0
     for texts in batches:
         for (text, *rows), _ in blocks(texts):
-            own = index[rows[0]].astype(np.int32) + index[rows[1]]
+            held += len(text)
+            if held * 4 * REACH >= 1 << 31:  # what 32 bits can hold in any case
+                whole, held = whole + out.astype(np.int64), len(text)
+                out[:] = 0
+            own = index[rows[0]].astype(np.int16) + index[rows[1]]
             near = np.zeros_like(own)
             for reach in range(1, REACH + 1):
                 same = (text[reach:] == text[:-reach])[:, None]
@@ -171,8 +177,8 @@ def contexts(batches: Iterable[pa.Array]) -> np.ndarray:
                 order = np.argsort(row, kind="stable")
                 first = np.flatnonzero(np.diff(row[order], prepend=-1))
                 if len(first):
-                    out[row[order[first]]] += np.add.reduceat(near[order], first, axis=0)
-    return out
+                    out[row[order[first]]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int32)
+    return whole + out
 
 
 def sums(texts: Iterable[pa.Scalar], vectors: np.ndarray) -> np.ndarray:
@@ -183,7 +189,7 @@ def sums(texts: Iterable[pa.Scalar], vectors: np.ndarray) -> np.ndarray:
         out = np.concatenate([out, np.zeros((number - len(out), out.shape[1]))])
         first = np.flatnonzero(np.diff(text, prepend=-1))
         if len(first):
-            both = [np.add.reduceat(vectors[row], first, axis=0, dtype=np.float64) for row in (word, form)]
+            both = [np.add.reduceat(vectors[row], first, axis=0, dtype=np.int64) / SCALE for row in (word, form)]
             out[text[first]] += np.concatenate([*both, np.diff(first, append=len(text))[:, None]], axis=1)
     return out
 

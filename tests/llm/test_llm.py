@@ -69,7 +69,7 @@ def test_words_and_vectors(monkeypatch):
     assert (quality.contexts([texts]) == want).all()
     vectors = quality.unit(want)
     summed = quality.sums(texts, vectors)
-    assert np.allclose(summed[3], [*vectors[found.word[3:]].sum(0), *vectors[found.form[3:]].sum(0), 4])
+    assert np.allclose(summed[3], [*vectors[found.word[3:]].sum(0) / 127, *vectors[found.form[3:]].sum(0) / 127, 4])
     # distinct words have rows of their own, and parts of a long text add up
     many, _ = next(quality.blocks(quality.pa.array([" ".join(f"{chr(97 + i % 26)}{i}" for i in range(650))])))
     assert len(set(many.word.tolist())) >= 648
