@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import colour_name, double, round4
-from .rules import CODES, RULES, fix_for, title_for
+from .rules import CODES, RULES, fix_for, rule_for, title_for
 
 VERDICT_TIERS = ("rule_exact", "measured")
 
@@ -69,7 +69,7 @@ def checks(images: DataFrame, rules: dict = RULES) -> DataFrame:
     """A row for each image and check, in the fixed order of checks.
 
     ``images``: set_id, idx, width, height, format, had_alpha, is_main (null: unknown) and the columns that
-    ``pixels.measured`` gives. Returns set_id, idx, place, check_id, status, tier, value, reason.
+    ``pixels.measured`` gives. Returns set_id, idx, place, check_id, status, tier, value, reason and rule (what the value is held against).
     """
     tier = {n: c["tier"] for n, c in rules["checks"].items()}
     percent = lambda c: F.concat(F.round(c * 100, 1).cast("string"), F.lit("%"))
@@ -90,6 +90,7 @@ def checks(images: DataFrame, rules: dict = RULES) -> DataFrame:
                 tier_of(F.lit(name), F.lit(tier[name]), F.col("is_main"), rules).alias("tier"),
                 value.cast("double").alias("value"),
                 F.when(status != "pass", reason).otherwise("").alias("reason"),
+                F.lit(rule_for(name, rules)).alias("rule"),
             )
             for i, (name, status, value, reason) in enumerate(told)
         )
@@ -132,23 +133,39 @@ def headlines(checked: DataFrame, supplied: DataFrame, rules: dict = RULES) -> D
     return supplied.join(every.groupBy("set_id").agg(worst(F.col("status"), F.col("tier")).alias("headline")), "set_id").join(main, "set_id", "left")
 
 
+#: What the parts of a report mean to who reads it.
+KEY = {
+    "f": "broken rules, as f_schema says; the only verdicts",
+    "n_measured_only": "how many measurements are NOT rule verdicts; their values are left out and nothing follows from them",
+    "fix": "how to take the photo again so that the rule is met",
+}
+
+
+def _triples(findings: Column) -> Column:
+    """JSON of a list of (code, status, value) as lists of three."""
+    one = lambda f: F.concat(F.lit('["'), f["code"], F.lit('","'), f["status"], F.lit('",'), F.coalesce(f["value"].cast("string"), F.lit("null")), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(findings, one), ","), F.lit("]"))
+
+
 def payloads(checked: DataFrame, supplied: DataFrame, rules: dict = RULES, clusters: DataFrame | None = None, mismatches: DataFrame | None = None) -> DataFrame:
-    """(set_id, payload): a compact JSON report of each set.
+    """(set_id, headline, payload): a compact JSON report of each set, told by its set_id.
 
-    The legend names the checks that were not passed; advice is given for verdicts that failed and for a low count.
-    ``clusters`` (set_id, cluster, idx) raise a passing headline to a warning. ``mismatches``: set_id, idx, own, nearest.
+    The legend names the checks that were not passed and their rules; advice is given for verdicts that failed and for a
+    low count. ``clusters`` (set_id, cluster, idx) raise a passing headline to a warning. ``mismatches``: set_id, idx,
+    own, nearest.
     """
     heads = headlines(checked, supplied, rules).withColumn("count_status", image_count(F.col("n_images"), rules))
-    groups = finding_groups(checked).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("indices", "n_pass", "findings", "n_measured_only"))).alias("groups"))
-    names = {n: {"check": n, "title": title_for(n), "fix": fix_for(n, rules)} for n in CODES}
+    named = lambda tell: F.try_element_at(F.create_map(*(F.lit(x) for n in CODES for x in (n, tell(n)))), F.col("check_id"))
+    each = finding_groups(checked)
+    measured_only = F.when(F.col("n_measured_only") > 0, F.concat(F.lit(',"n_measured_only":'), F.col("n_measured_only").cast("string"))).otherwise("")
+    spelt = F.concat(F.lit('{"i":'), F.to_json("indices"), F.lit(',"n_pass":'), F.col("n_pass").cast("string"), F.lit(',"f":'), _triples(F.col("findings")), measured_only, F.lit("}"))
+    groups = each.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("indices", spelt.alias("json")))).alias("groups"))
     counted = supplied.select("set_id", F.lit("image_count").alias("check_id"), image_count(F.col("n_images"), rules).alias("status"), F.lit("rule_exact").alias("tier"))
     met = checked.select("set_id", "check_id", "status", "tier").unionByName(counted).where("status <> 'pass'")
-    fixed = F.max(F.col("tier").isin(*VERDICT_TIERS))
-    lookup = lambda field: F.element_at(F.create_map(*(F.lit(x) for n, d in names.items() if d[field] for x in (n, d[field]))), F.col("check_id"))
-    legend = met.groupBy("set_id", "check_id").agg(fixed.alias("broken"))
-    code = F.element_at(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv)), F.col("check_id"))
-    entry = F.struct(code.alias("code"), F.col("check_id").alias("check"), lookup("title").alias("title"), F.when(F.col("broken"), F.try_element_at(F.create_map(*(F.lit(x) for n, d in names.items() if d["fix"] for x in (n, d["fix"]))), F.col("check_id"))).alias("fix"))
-    legend = legend.groupBy("set_id").agg(F.array_sort(F.collect_list(entry)).alias("legend"))
+    legend = met.groupBy("set_id", "check_id").agg(F.max(F.col("tier").isin(*VERDICT_TIERS)).alias("broken"))
+    fix = F.when(F.col("broken"), named(lambda n: fix_for(n, rules)))
+    entry = F.struct(named(CODES.get).alias("code"), F.struct(F.col("check_id").alias("check"), named(title_for).alias("title"), named(lambda n: rule_for(n, rules)).alias("rule"), fix.alias("fix")).alias("entry"))
+    legend = legend.groupBy("set_id").agg(F.array_sort(F.collect_list(entry)).alias("entries")).withColumn("fixes", F.exists("entries", lambda e: e["entry"]["fix"].isNotNull()))
     out = heads.join(groups, "set_id", "left").join(legend, "set_id", "left")
     headline = F.col("headline")
     extra = []
@@ -161,9 +178,15 @@ def payloads(checked: DataFrame, supplied: DataFrame, rules: dict = RULES, clust
         out = out.join(mismatches.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("idx", "own", "nearest"))).alias("group_mismatches")), "set_id", "left")
         extra.append("group_mismatches")
     caveat = F.when(F.col("main_index").isNull(), "The main image was not named, so its three rules were measured and not judged.")
-    set_checks = F.when(F.col("count_status") != "pass", F.array(F.struct(F.lit(CODES["image_count"]).alias("code"), F.col("count_status").alias("status"), F.col("n_images").cast("double").alias("value"))))
-    body = F.struct(F.lit(rules["rules_version"]).alias("rules_version"), "n_images", headline.alias("headline"), "main_index", caveat.alias("caveat"), set_checks.alias("set_checks"), "legend", "groups", *extra)
-    return out.select("set_id", headline.alias("headline"), F.to_json(body).alias("payload"))
+    key = F.struct(*(F.lit(KEY[k]).alias(k) for k in ("f", "n_measured_only")), F.when(F.col("fixes"), KEY["fix"]).alias("fix"))
+    fields = F.array(*map(F.lit, ("check_code", "status", "measured_value")))
+    head = F.struct(F.lit(rules["rules_version"]).alias("rules_version"), F.col("set_id").cast("string").alias("audit_id"), "n_images", headline.alias("headline"), "main_index", caveat.alias("caveat"), fields.alias("f_schema"), key.alias("key"), F.map_from_entries(F.coalesce("entries", F.array())).alias("legend"), *extra)
+    low = F.struct(F.lit(CODES["image_count"]).alias("code"), F.col("count_status").alias("status"), F.col("n_images").alias("value"))
+    of_set = F.when(F.col("count_status") == "pass", "[]").otherwise(_triples(F.array(low)))
+    told = F.array_join(F.transform("groups", lambda g: g["json"]), ",")
+    body = F.to_json(head)
+    whole = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"set_checks":'), of_set, F.lit(',"groups":['), F.coalesce(told, F.lit("")), F.lit("]}"))
+    return out.select("set_id", headline.alias("headline"), whole.alias("payload"))
 
 
 def latest(audits: DataFrame, n: int = 64) -> DataFrame:

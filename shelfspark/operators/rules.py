@@ -84,3 +84,17 @@ def fix_for(check: str, rules: dict = RULES) -> str | None:
         "background_artifacts": "Take away all but the product for sale: props, other items, badges, text, frames and watermarks.",
         "image_count": "Add photos from other angles, of details, in use, for scale, and of what is in the box.",
     }.get(check)
+
+
+def rule_for(check: str, rules: dict = RULES) -> str:
+    """What a check's value is held against, in words."""
+    c = rules["checks"]
+    size, white, frame = c["resolution_and_format"], c["white_background"], c["frame_occupancy"]
+    return {
+        "resolution_and_format": f"longest side from {size['accepted_min_longest_side']} to {size['max_longest_side']} pixels, {size['zoom_min_longest_side']} for zoom, as {', '.join(size['accepted_formats'])}",
+        "white_background": f"pure white on {white['exact_white_pass_frac']:.0%} of the border",
+        "frame_occupancy": f"the product's box fills {frame['min_bbox_occupancy']:.0%} of the frame",
+        "background_artifacts": "nothing but the product",
+        "aspect_ratio": f"width to height near {c['aspect_ratio']['recommended_ratio']:g}",
+        "image_count": f"{c['image_count']['recommended_min']} photos or more",
+    }.get(check, "")

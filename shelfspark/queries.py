@@ -493,7 +493,7 @@ def _images(spark, sf_dir):
 
 @query(f"with {_IMAGES} select set_id, idx, place, check_id, status, tier, value from checked")
 def rule_verdicts(spark, sf_dir):
-    return audit.checks(_images(spark, sf_dir)).drop("reason")
+    return audit.checks(_images(spark, sf_dir)).drop("reason", "rule")
 
 
 def _supplied(images):

@@ -233,5 +233,9 @@ def test_payload(spark):
     row = audit.payloads(audit.checks(images), supplied, clusters=clusters).first()
     body = audit.as_dict(row.payload)
     assert body["headline"] == "fail" and "caveat" in body and body["clusters"] == [[0, 1]] and len(row.payload) < 2400
-    assert [f["code"] for f in body["groups"][0]["findings"]] == ["res"] and body["groups"][0]["n_measured_only"] == 1
-    assert {e["code"] for e in body["legend"] if "fix" in e} == {"res"}
+    assert body["groups"] == [{"i": list(range(9)), "n_pass": 3, "f": [["res", "fail", 400.0]], "n_measured_only": 1}]
+    assert {c for c, e in body["legend"].items() if "fix" in e} == {"res"} and all(e["rule"] and e["title"] for e in body["legend"].values())
+    assert body["audit_id"] == "s" and body["f_schema"] == ["check_code", "status", "measured_value"] and body["set_checks"] == []
+    assert "NOT rule verdicts" in body["key"]["n_measured_only"] and "fix" in body["key"]
+    few = audit.as_dict(audit.payloads(audit.checks(images), spark.createDataFrame([("s", 2)], "set_id string, n_images long")).first().payload)
+    assert few["set_checks"] == [["cnt", "warn", 2]] and "cnt" in few["legend"]
