@@ -64,6 +64,26 @@ def looked_up(rows: DataFrame, vectors: DataFrame, key: str = "key") -> tuple[Da
     return rows.join(vectors, key), rows.join(vectors.select(key), key, "left_anti")
 
 
+def usable_batches(rows: DataFrame, vectors: DataFrame, key: str = "key", least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``rows`` (batch, key and others) with their vector, and (batch, dropped) of each batch.
+
+    A batch with fewer than ``least`` vectors is left out whole: one sample has no negatives, so its loss is 0 and says nothing.
+    """
+    met, _ = looked_up(rows, vectors, key)
+    counts = rows.join(vectors.select(key, F.lit(1).alias("known")), key, "left").groupBy("batch").agg(F.count("known").alias("usable"), F.count("*").alias("n"))
+    kept = counts.where(F.col("usable") >= least)
+    dropped = counts.select("batch", F.when(F.col("usable") >= least, F.col("n") - F.col("usable")).otherwise(F.col("n")).alias("dropped"))
+    return met.join(kept.select("batch"), "batch", "left_semi"), dropped
+
+
+def with_titles(samples: DataFrame) -> DataFrame:
+    """``samples`` of pairs; one without a title is an error, not a row that is trained on an empty text."""
+    bare = [r.key for r in samples.where("title is null or trim(title) = ''").select("key").limit(3).collect()]
+    if bare:
+        raise ValueError(f"samples without a title: {bare}")
+    return samples
+
+
 def run_id(settings: dict) -> str:
     """Twelve digits for what a run computes: the SHA-1 of its sorted settings."""
     kept = {k: v for k, v in settings.items() if k not in NOT_HASHED}

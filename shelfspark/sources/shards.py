@@ -137,10 +137,18 @@ def manifest(archives: DataFrame, most: int = 500) -> dict:
 
 
 def save_embeddings(rows: DataFrame, path: str, meta: dict) -> None:
-    """(key, vector) as Parquet, each row with what encoded it; a null vector is an error."""
-    if rows.where("vector is null or key is null").limit(1).count():
+    """(key, vector) as Parquet in half precision, each row with what encoded it; a null, and vectors of two lengths, are errors."""
+    found = rows.agg(F.count_if(F.col("vector").isNull() | F.col("key").isNull()).alias("missing"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")).first()
+    if found.missing:
         raise ValueError("a key or vector is missing")
-    rows.select("key", F.col("vector").cast("array<float>").alias("vector"), F.lit(json.dumps(meta, sort_keys=True)).alias("meta")).write.mode("overwrite").parquet(path)
+    if found.least != found.most:
+        raise ValueError(f"vectors of {found.least} to {found.most} numbers")
+
+    @F.pandas_udf("binary")
+    def halves(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: np.asarray(v, dtype="<f2").tobytes())
+
+    rows.select("key", halves(F.col("vector").cast("array<float>")).alias("vector"), F.lit(json.dumps(meta, sort_keys=True)).alias("meta")).write.mode("overwrite").parquet(path)
 
 
 def load_embeddings(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -149,9 +157,9 @@ def load_embeddings(spark: SparkSession, paths: list[str]) -> DataFrame:
     twice = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(3).collect()
     if twice:
         raise ValueError(f"keys in more than one place: {[r.key for r in twice]}")
-    return rows.select("key", "vector")
 
+    @F.pandas_udf("array<float>")
+    def singles(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: np.frombuffer(v, dtype="<f2").astype(np.float32))
 
-def half(vector: np.ndarray) -> np.ndarray:
-    """Rounded to half precision, as stored vectors are."""
-    return vector.astype(np.float16).astype(np.float32)
+    return rows.select("key", singles("vector").alias("vector"))

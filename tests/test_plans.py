@@ -113,6 +113,22 @@ def test_embeddings(spark, tmp_path):
         shards.load_embeddings(spark, [str(tmp_path / "train"), str(tmp_path / "val")])
     with pytest.raises(ValueError):
         shards.save_embeddings(rows.union(spark.createDataFrame([("c", None)], rows.schema)), str(tmp_path / "bad"), {})
+    with pytest.raises(ValueError, match="1 to 2 numbers"):
+        shards.save_embeddings(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "key string, vector array<double>"), str(tmp_path / "odd"), {})
+    shards.save_embeddings(spark.createDataFrame([("a", [0.1, 70.03])], "key string, vector array<double>"), str(tmp_path / "half"), {})
+    assert shards.load_embeddings(spark, [str(tmp_path / "half")]).first().vector == [float(np.float16(0.1)), float(np.float16(70.03))]
+
+
+def test_batches_of_one_are_left_out(spark):
+    from shelfspark.operators import training
+
+    rows = spark.createDataFrame([(0, "a", "t"), (0, "b", "t"), (0, "x", "t"), (1, "c", "t"), (1, "y", "t")], "batch long, key string, title string")
+    vectors = spark.createDataFrame([(k, [1.0]) for k in "abc"], "key string, vector array<double>")
+    kept, dropped = training.usable_batches(rows, vectors)
+    assert {r.key for r in kept.collect()} == {"a", "b"} and {(r.batch, r.dropped) for r in dropped.collect()} == {(0, 1), (1, 2)}
+    assert training.with_titles(rows).count() == 5
+    with pytest.raises(ValueError, match="without a title"):
+        training.with_titles(rows.union(spark.createDataFrame([(2, "z", None)], rows.schema)))
 
 
 def test_retrieval_report(spark):
