@@ -3,13 +3,37 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: How model input is made, for those who read it elsewhere: fixed values.
 PREPROCESS = {"image_size": 224, "resize_shortest": 224, "resample": "bicubic", "crop": "center", "layout": "CHW", "range": [0.0, 1.0], "alpha": "white"}
 
 
+def write_whole(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file at ``path`` on any Hadoop file system, written beside it and then moved there, so that it is never seen in part."""
+    context = spark.sparkContext
+    place, own = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    out = system.create(own, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    system.delete(place, False)
+    if not system.rename(own, place):
+        raise OSError(f"{own} could not be moved to {path}")
+
+
+def relation(spark: SparkSession, frame: pd.DataFrame, name: str) -> DataFrame:
+    """A frame in memory as a view of that name, for SQL; a later one replaces it."""
+    rows = spark.createDataFrame(frame)
+    rows.createOrReplaceTempView(name)
+    return rows
+
+
 def write_json(row: DataFrame, path: str) -> dict:
     """One row as a JSON file; its values."""
     row.coalesce(1).write.mode("overwrite").json(path)

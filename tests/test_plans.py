@@ -119,6 +119,17 @@ def test_embeddings(spark, tmp_path):
     assert shards.load_embeddings(spark, [str(tmp_path / "half")]).first().vector == [float(np.float16(0.1)), float(np.float16(70.03))]
 
 
+def test_whole_files_and_relations(spark, tmp_path):
+    for data in (b"one", b"another"):
+        reports.write_whole(spark, str(tmp_path / "state.bin"), data)
+        assert (tmp_path / "state.bin").read_bytes() == data
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["state.bin"]
+    import pandas as pd
+
+    reports.relation(spark, pd.DataFrame({"a": [1, 2], "b": ["x", None]}), "small")
+    assert spark.sql("select sum(a) as s, count(b) as n from small").first() == (3, 1)
+
+
 def test_batches_of_one_are_left_out(spark):
     from shelfspark.operators import training
 
