@@ -88,6 +88,25 @@ def test_scores_do_not_depend_on_partitions(spark):
         assert one == other
 
 
+def test_scores_as_made_in_one_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}
+    vectors = quality.unit(quality.contexts([quality.pa.array(list(texts.values()))]))
+    summed = dict(zip(texts, quality.sums(quality.pa.array(list(texts.values())), vectors), strict=True))
+    rows = sorted(((str(i), marks[i], summed[i].tolist()) for i in texts if i in marks and not held(i)))
+    found, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    prior = found[:, :-1].sum(0) / found[:, -1].sum()
+    x = quality.pooled(found, prior)
+    apart = np.array([zlib.crc32(f"calibrate {r[0]}".encode()) % 5 == 0 for r in rows])
+    network = quality.train(x[~apart], y[~apart])
+    network.temperature = quality.calibrate(network.logits(x[apart]), y[apart])
+    want = dict(zip(texts, network.probabilities(quality.pooled(np.array(list(summed.values())), prior)), strict=True))
+    got = {r.doc_id: r.score for r in quality.score(docs.repartition(3), quality.fit(docs.repartition(4), labels)).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
 def test_the_bound_of_learning_rows_holds(spark):
     docs = spark.createDataFrame([(k, f"text {i % 3}") for k in range(40) for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
@@ -148,6 +167,22 @@ def test_the_penalty_moves_identity_weights(spark):
     assert abs(moved[0]) < 0.01 and moved[1] > 0.05
 
 
+def test_vocabulary_as_by_brute_force(spark):
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("ban", "kor", "mil") for b in ("ter", "dol", "ris") for c in ("", "es", "ing", "os")]
+    rows = [(" ".join(rng.choices(words, weights=[1 + (k % 5) * (y + 1) for k in range(len(words))], k=rng.randint(3, 12))), y, rng.choice([0.25, 0.5, 1.0])) for y in (0, 1) for _ in range(60)]
+    n, n1 = sum(r[2] for r in rows), sum(r[2] for r in rows if r[1])
+    chi = {}
+    for mark in {m for t, _, _ in rows for m in toxicity.marks_of(toxicity.words_of(t))}:
+        held_by = [(toxicity.marks_of(toxicity.words_of(t)).get(mark), y, w) for t, y, w in rows]
+        a, b = (round(sum(v * w for v, y, w in held_by if v is not None and y == k), 6) for k in (1, 0))
+        if sum(v is not None for v, _, _ in held_by) >= toxicity.LEAST_ROWS and a + b > 0:
+            chi[mark] = n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * n1 * (n - n1))
+    want = sorted(chi, key=lambda m: (-round(chi[m], 4), m))[:25]
+    frame = spark.createDataFrame(rows, "text string, y int, weight double").repartition(5)
+    assert toxicity.vocabulary(frame, n1, n, 25) == want
+
+
 def test_near_copies_share_a_weight():
     texts = [" ".join(f"w{i}_{k}" for k in range(200)) for i in range(3)]
     texts += [texts[0] + " end", texts[0] + " other end", "unrelated longestword", "another longestword here", None]
@@ -213,6 +248,60 @@ def test_items_rich_in_slots(spark):
     assert all(r.matched == r.windows and r.n_items == 1 for r in got)
 
 
+def brute_leaks(texts, items):
+    """Of items whose windows all have four literals or more, by loops over diagonals."""
+    found = {}
+    for item_id, item in items:
+        words = [decontaminate.told(p) for p in item.split()]
+        n = len(words) - 7
+        assert all(sum(k == decontaminate.LITERAL for k, _ in words[i : i + 8]) >= 4 for i in range(n))
+        template = lambda w: tuple(decontaminate.PLACEHOLDERS[k] or x for k, x in w)
+        for doc_id, text in texts:
+            said = [w for w in map(decontaminate.told, text.split()) if w[0] != decontaminate.MARK]
+            for diagonal in range(-len(words), len(said)):
+                matched, values = set(), {}
+                for at in range(n):
+                    if at + diagonal < 0 or at + diagonal + 8 > len(said):
+                        continue
+                    own, other = words[at : at + 8], said[at + diagonal : at + diagonal + 8]
+                    for equal, of in ((template(own) == template(other), other), ([w for _, w in own] == [w for _, w in other], own)):
+                        if equal:
+                            matched.add(at)
+                            for k in range(8):
+                                if own[k][0] != decontaminate.LITERAL:
+                                    values.setdefault(own[k], set()).add(of[k][1])
+                if (2 * len(matched) >= n or len(matched) >= 13) and matched and all(len(v) == 1 for v in values.values()):
+                    found[doc_id, item_id] = max(found.get((doc_id, item_id), 0), len(matched))
+    return found
+
+
+def test_leaks_as_by_brute_force(spark):
+    rng = random.Random(12)
+    plain = [f"{a}{b}" for a in ("ma", "lo", "ki", "su") for b in ("ra", "ten", "vil", "dor", "pes")]
+    items, texts = [], []
+    for k in range(6):
+        words = rng.choices(plain, k=rng.randint(14, 34))
+        for at in range(2, len(words), 5):
+            words[at] = rng.choice(["7", "12", "Anna", "Boris", "7"])
+        items.append((k, " ".join(words)))
+        for turn in range(6):
+            copy = list(words)
+            if turn == 1:  # other values, each alike wherever it stands
+                copy = [{"7": "31", "12": "45", "Anna": "Clara", "Boris": "Dan"}.get(w, w) for w in copy]
+            if turn == 2:  # other values, at random
+                copy = [rng.choice(["31", "45"]) if w.isdigit() else w for w in copy]
+            if turn == 3:
+                copy = copy[rng.randrange(10) :]
+            if turn == 4:
+                copy[rng.randrange(len(copy))] = "other"
+            if turn == 5:
+                copy = [w.upper() for w in copy]
+            texts.append((10 * k + turn, " ".join(rng.choices(plain, k=rng.randint(0, 9)) + copy + rng.choices(plain, k=5))))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.leaks(docs.repartition(3), bench).collect()}
+    assert got == brute_leaks(texts, items) and len(got) >= 18
+
+
 def test_exact_passages_are_found_at_scale(spark):
     docs, items = (queries.table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "benchmark"))
     flat = lambda t: " ".join((t or "").lower().split())
