@@ -752,10 +752,30 @@ def test_awkward_rows_pass_the_pipeline(spark, awkward, tmp_path):
 
     for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
-    docs = awkward
-    for _, stage in corpus_pipeline.STAGES:
+    names = ("_node", "_row", "_chosen", "_id", "_leaked", "_own0", "_OWN1", "m1", "comp", "_rank", "score", "component_id")
+    docs = awkward.withColumns({n: F.lit(n) for n in names})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-    assert docs.count() >= 8
+        assert docs.columns == columns
+    kept = sorted((tuple(r[:2]) for r in docs.collect()), key=str)
+    assert kept == sorted([*((i, AWKWARD[i]) for i in (0, 1, 2, 3, 5, 7, 8)), (None, "no id at all")], key=str)
+    assert all(r[n] == n for r in docs.collect() for n in names)
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {0, 1, 2, 3, 5, 7, 8, None} and sum(r.piece == 0 for r in packed) == 8
+    empty = awkward.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    item = "the quick brown foxes jump over seven lazy dogs while nobody at all is looking at them"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, ["clean words only here", f"it says {item} there"]).withColumn("_leaked", F.lit(1))
+    docs = docs.union(docs.withColumn("doc_id", F.lit(None).cast("long"))).union(docs.withColumn("doc_id", F.lit(0).cast("long")))
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(0, "clean words only here")] * 2 + [(None, "clean words only here")], key=str)
 
 
 def test_duckdb_is_there():
