@@ -169,15 +169,19 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
                 continue
             size = sizes[k]
             first, n = gaps[size].pop()
-            taken = min(n, left)
-            if taken < n:
-                gaps[size].append((first + taken, n - taken))
-            elif not gaps[size]:
+            if not gaps[size]:
                 del gaps[size], sizes[k]
-            runs.append((length, rank, first, 1, capacity - size))
-            add(size - length, first, taken)
-            rank += taken
-            left -= taken
+            each = size // length  # what is left of a gap is a smaller one, and so the next piece's successor
+            full = min(n, left // each)
+            part = left % each if full < n and left < (full + 1) * each else 0
+            for used, held in ((full, each), (1 if part else 0, part)):
+                if used:
+                    runs.append((length, rank, first, held, capacity - size))
+                    add(size - held * length, first, used)
+                    first, n = first + used, n - used
+                    rank, left = rank + used * held, left - used * held
+            if n:
+                add(size, first, n)
     return runs
 
 
