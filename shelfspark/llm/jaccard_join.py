@@ -53,6 +53,8 @@ COUNTERS, BITS, WIDEST, FAN = 19, 10, 17, 64
 ROUNDS = 2
 #: Pivots on either side of a member that a further round tries, and other keys that a tree's member carries.
 NEAR, KEYS = 4, 16
+#: Parts that a component's nodes are dealt over when they are named.
+PARTS = 16
 #: Members of a subtree that one task walks, and rows of the sorted keys that it reads at once.
 SUBTREE, BLOCK = 4096, 200_000
 #: Bits of the table that tells which documents are wanted, and sets that a task remembers.
@@ -701,8 +703,10 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     found = verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"))
     links = found if links is None else links.unionAll(found)
     placed = nodes.join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
-    ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = cut(placed.join(ids, "comp").select("node", "comp", "component_id"))
+    # a component may hold a third of all nodes, so its rows are dealt over parts, and its name goes to each
+    placed = cut(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")))
+    ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = cut(placed.join(ids, ["comp", "part"]).select("node", "comp", "component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = members.join(named, "node", "left").select("doc_id", "m1", "m2", F.col("n").alias("n_shingles"), "node", "comp", own.alias("component_id"))
     return Joined(out, links)
