@@ -245,12 +245,13 @@ def pivots(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: in
     return np.where(first, at, out)
 
 
-def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
+def _sorted_groups(rows: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """Groups of two nodes and more among ``rows``, as ``_keys`` gives them: key, node, n (a size), early, pivot and pivot_n.
 
     The first key that two linked nodes share is early in the smaller, so a group begins with a node in which it is.
     A range sort splits a large group over partitions; the first rows of its parts get the group's first as their pivot.
-    Of each partition its first and its last group are told to the driver: two rows, whatever they hold.
+    Of each partition its first and its last group are told to the driver: two rows, whatever they hold. The groups lie in a
+    table, whose place is given back too.
     """
     order = ["key", "n", "node"]
     dealt = rows.repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
@@ -293,7 +294,7 @@ def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
         for columns, last in _whole_groups(batches, lambda b: [b.column(i).to_numpy() for i in range(3)], BLOCK):
             yield from handed(columns, last)
 
-    found = cut(dealt.mapInArrow(run, "key long, node long, n int, early boolean, pivot long, pivot_n int, edge int, members long"))
+    found, path = tabled(dealt.mapInArrow(run, "key long, node long, n int, early boolean, pivot long, pivot_n int, edge int, members long"))
     by_key: dict[int, list] = {}
     for r in sorted(found.where("members is not null").collect(), key=lambda r: (r.key, r.edge)):
         by_key.setdefault(r.key, []).append(r)
@@ -302,7 +303,7 @@ def _sorted_groups(rows: DataFrame, percent: int) -> DataFrame:
     table = pa.table([pa.array(c, t) for c, t in zip(list(zip(*fixed, strict=True)) or [()] * 5, kinds, strict=True)], names=["key", "edge", "node", "whole", "whole_n"])
     told = F.broadcast(rows.sparkSession.createDataFrame(table).withColumn("met", F.lit(True)))  # two rows a partition at most
     known = found.where("members is null").drop("members").join(told, ["key", "edge", "node"], "left").where("met is null or whole is not null")
-    return known.select("key", "node", "n", "early", F.coalesce("whole", "pivot").alias("pivot"), F.coalesce("whole_n", "pivot_n").alias("pivot_n"))
+    return known.select("key", "node", "n", "early", F.coalesce("whole", "pivot").alias("pivot"), F.coalesce("whole_n", "pivot_n").alias("pivot_n")), path
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], most: int) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -684,7 +685,7 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     members = sets.withColumn("node", F.when(F.col("n") > 0, node))
     nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.first("bits").alias("bits")))
     keyed, path = tabled(_keys(docs, counts, clashes, size, percent))
-    shared = _sorted_groups(keyed, percent)
+    shared, groups_path = _sorted_groups(keyed, percent)
     dropped(spark, path)
     release(spark)
     sharing = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
@@ -693,12 +694,15 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     rows = shared.select("key", "node", "n", "early")
     if not rounds:
         rows = _contested(rows, None)
+        dropped(spark, groups_path)
     for turn in range(rounds):
         pairs = cut(_again(rows, sharing, percent, turn) if turn else _stars(shared, percent))
         found = verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         links, tested = (found, pairs) if links is None else (links.unionAll(found), tested.unionAll(pairs))
         names = connected_components(links)
         rows = _contested(rows, names)
+        if not turn:
+            dropped(spark, groups_path)
     left = _tree_pairs(rows, sharing, percent, subtree)
     found = verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"))
     links = found if links is None else links.unionAll(found)
