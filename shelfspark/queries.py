@@ -626,7 +626,8 @@ def image_hashes(spark, sf_dir):
 
 @query()
 def near_dup_report(spark, sf_dir):
-    return dedup.near_duplicates(pixels.hashed(_pixels(spark, sf_dir)).withColumnRenamed("image_id", "idx"))["pairs"]
+    # the hash that is calibrated, and what tells pictures without features
+    return dedup.near_duplicates(pixels.hashed(_pixels(spark, sf_dir), (dedup.calibrated_method(), "detail_std")).withColumnRenamed("image_id", "idx"))["pairs"]
 
 
 # Training side ------------------------------------------------------------------------------------------------

@@ -284,3 +284,17 @@ def test_mismatches_find_the_nearest_of_their_tag_in_blocks(spark, monkeypatch):
         if best and best[2] != tag:
             want.add((i, tag, best[2], best[1], best[0], min((d for d, _, other in others if other == tag), default=None)))
     assert len(want) > 20 and {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_near_duplicates_hash_their_images_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kind = "idx long, dhash long, detail_std double"
+    report = dedup.near_duplicates(spark.createDataFrame([(i, i, 9.0) for i in range(10)], kind).mapInArrow(run, kind))
+    assert report["pairs"].count() == 45 and report["clusters"].count() == 10 and report["skipped"].count() == 0
+    assert seen.value == 10
