@@ -32,6 +32,7 @@ component if there is another. An empty table gives no rows. Extra columns are i
 
 from __future__ import annotations
 
+import pickle
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -47,8 +48,8 @@ from ..plans.cut import bounded_batches, cut, dropped, release, tabled, width
 from . import labelled
 
 WORDS, PERCENT = 5, 75
-#: Counters of shingles, by the first bits of their hash; least and greatest width of a bitmap; children of a tree's node.
-COUNTERS, BITS, WIDEST, FAN = 19, 10, 17, 64
+#: Counters of shingles, by the first bits of their hash; bits of a tree's bitmaps; least and greatest width of a node's own bitmap, and the greatest that a tree's member carries; children of a tree's node.
+COUNTERS, BITS, NARROWEST, WIDEST, CARRIED, FAN = 19, 10, 12, 17, 13, 64
 #: Rounds of pivots. What they leave, however much, the trees find.
 ROUNDS = 2
 #: Pivots on either side of a member that a further round tries, and other keys that a tree's member carries.
@@ -82,7 +83,7 @@ def name_of(found: np.ndarray) -> tuple[int, int]:
 
 def bitmap(found: np.ndarray) -> bytes:
     """A bit for each shingle at the first bits of its hash, as many as give two places a shingle, within limits."""
-    width = min(WIDEST, max(BITS, (2 * len(found) - 1).bit_length() if len(found) else 0))
+    width = min(WIDEST, max(NARROWEST, (2 * len(found) - 1).bit_length() if len(found) else 0))
     bits = np.zeros(1 << width, bool)
     bits[(found >> np.uint64(64 - width)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -131,8 +132,8 @@ def row_marks(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(7919), text).alias("m2")]
 
 
-def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, m1, m2, n, h1 and h2 (the set's name) and bits of each row, and how many documents have a shingle of each counter."""
+def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, str, np.ndarray]:
+    """doc_id, m1, m2, n, h1 and h2 (the set's name) and bits of each row, in a table; its place; and how many documents have a shingle of each counter."""
     rows = docs.select("doc_id", *row_marks(F.col("text")), F.col("text").cast("binary").alias("text"))
     longs = [StructField(c, LongType()) for c in ("m1", "m2", "n", "h1", "h2")]
     schema = StructType([rows.schema["doc_id"], *longs, StructField("bits", BinaryType()), StructField("counts", BinaryType())])
@@ -151,10 +152,10 @@ def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in longs), pa.nulls(1, pa.binary()), pa.array([labelled.packed(counts)], pa.binary())], names=schema.names)
 
-    both = cut(rows.mapInArrow(run, schema))
+    both, path = tabled(rows.mapInArrow(run, schema))
     none = np.zeros(1 << COUNTERS, dtype=np.int64)
     total = labelled.summed(both.where("counts is not null"), "counts", lambda arrays: sum((labelled.unpacked(x.as_py()) for a in arrays for x in a), none))
-    return both.where("counts is null").drop("counts"), none if total is None else total
+    return both.where("counts is null").drop("counts"), path, none if total is None else total
 
 
 def _clashes(sets: DataFrame) -> list[int]:
@@ -420,8 +421,14 @@ def _unpacked(packed: Iterable[bytes]) -> np.ndarray:
     return np.unpackbits(np.stack(rows), axis=1) if rows else np.zeros((0, 1 << BITS), np.uint8)
 
 
+def _objects(some: list) -> np.ndarray:
+    out = np.empty(len(some), object)
+    out[:] = some
+    return out
+
+
 class Subtree(NamedTuple):
-    """Members of a group in the order of their components and sizes, as arrays; bits: a folded bitmap each; keys: a row of other early keys of each, the least first."""
+    """Members of a group in the order of their components and sizes, as arrays; bits: a folded bitmap each; keys: a row of other early keys of each, the least first; wide: their own bitmaps, as objects."""
 
     node: np.ndarray
     n: np.ndarray
@@ -429,10 +436,23 @@ class Subtree(NamedTuple):
     early: np.ndarray
     bits: np.ndarray
     keys: np.ndarray
+    wide: np.ndarray
 
     def part(self, at: int) -> Subtree:
         return Subtree(*(x[at * FAN : (at + 1) * FAN] for x in self))
 
+    def packed(self) -> bytes:
+        held = np.zeros(len(self.node), _MEMBER)
+        for name in _MEMBER.names:
+            held[name] = getattr(self, name)
+        return pickle.dumps((held.tobytes(), self.wide.tolist()))
+
+    @classmethod
+    def of(cls, packed: bytes) -> Subtree:
+        held, wide = pickle.loads(packed)
+        held = np.frombuffer(held, dtype=_MEMBER)
+        return cls(*(held[name] for name in _MEMBER.names), _objects(wide))
+
     def told(self, percent: int) -> tuple[np.ndarray, int, int, int, int | None]:
         """What a tree's node over all members knows: bits, least and greatest size, bits that a link shares at least, and the component if it is one."""
         own = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
@@ -454,7 +474,8 @@ def compared(key: int, x: Subtree, y: Subtree, percent: int) -> tuple[np.ndarray
     """Pairs of members of two leaves that may be linked and are in two components.
 
     The key must be early in the smaller of a pair. A pair that shares a lesser key that is early in both is left to that
-    key's tree, so pairs aren't made again and again.
+    key's tree, so pairs aren't made again and again. What the trees' bitmaps let pass is held against the members' own,
+    where it lies: trees' bitmaps tell long sets badly, and pairs that nearly link would else go on by the square of a group.
     """
     fit = x.comp[:, None] != y.comp[None, :]
     if x is y:
@@ -469,6 +490,8 @@ def compared(key: int, x: Subtree, y: Subtree, percent: int) -> tuple[np.ndarray
         shared = ((some[:, :, None] == other[:, None, :]) & (some[:, :, None] < key)).any((1, 2))
         i[at : at + 4096] = np.where(shared, -1, i[at : at + 4096])
     i, j = i[i >= 0], j[i >= 0]
+    fit = np.fromiter((may_link(x.wide[a], y.wide[b], int(x.n[a]), int(y.n[b]), percent) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+    i, j = i[fit], j[fit]
     return np.minimum(x.node[i], y.node[j]), np.maximum(x.node[i], y.node[j])
 
 
@@ -527,6 +550,12 @@ def _small_bits(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([folded(x.as_py(), (1 << BITS) // 8) for x in batch.column("bits")])
 
 
+def _carried(batch: pa.RecordBatch) -> np.ndarray:
+    """Members' own bitmaps, of bounded width."""
+    most = (1 << CARRIED) // 8
+    return _objects([x if len(x) <= most else folded(x, most).tobytes() for x in batch.column("bits").to_pylist()])
+
+
 def _again(contested: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of a further round of pivots: members and the pivots near them in their groups, of other components."""
 
@@ -536,7 +565,7 @@ def _again(contested: DataFrame, nodes: DataFrame, percent: int, turn: int) -> D
 
         for (key, node, n, comp, bits), _ in _whole_groups(batches, columns_of, BLOCK // 4):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            a, b = near_pivots(starts, Subtree(node, n, comp, None, bits, None), percent, turn)
+            a, b = near_pivots(starts, Subtree(node, n, comp, None, bits, None, None), percent, turn)
             both = np.unique(np.stack([a, b], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -571,9 +600,7 @@ def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
                     yield from pairs(key, tree)
                 if several:
                     bits, least, most, need, comp = tree.told(percent)
-                    held = np.zeros(len(tree.node), _MEMBER)
-                    held["node"], held["n"], held["comp"], held["early"], held["bits"], held["keys"] = tree
-                    values = [None, None, key, base + turn, bits.tobytes(), least, most, need, comp, held.tobytes()]
+                    values = [None, None, key, base + turn, bits.tobytes(), least, most, need, comp, tree.packed()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], e.type) for v, e in zip(values, empty, strict=True)], names=names)
                     turn += 1
 
@@ -593,7 +620,7 @@ def _subtrees(rows: DataFrame, percent: int, subtree: int) -> DataFrame:
             keys = np.full((batch.num_rows, KEYS), np.iinfo(np.int64).max)
             for row, some in enumerate(batch.column("keys").to_pylist()):
                 keys[row, : len(some)] = some
-            return [*plain, early, _small_bits(batch), keys]
+            return [*plain, early, _small_bits(batch), keys, _carried(batch)]
 
         for columns, last in _whole_groups(batches, columns_of, BLOCK // 4):
             yield from groups(columns, last)
@@ -650,8 +677,8 @@ def _across(subtrees: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                trees = [np.frombuffer(c[row].as_py(), dtype=_MEMBER) for c in batch.columns[1:]]
-                for a, b in traversed(batch.column(0)[row].as_py(), *(Subtree(*(t[f] for f in Subtree._fields)) for t in trees), percent):
+                trees = [Subtree.of(c[row].as_py()) for c in batch.columns[1:]]
+                for a, b in traversed(batch.column(0)[row].as_py(), *trees, percent):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -679,16 +706,20 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    sets, counts = _sets(docs, size)
+    sets, sets_path, counts = _sets(docs, size)
     clashes = _clashes(sets)
     node = F.when(F.col("h1").isin(clashes), F.col("h2")).otherwise(F.col("h1")) if clashes else F.col("h1")
-    members = sets.withColumn("node", F.when(F.col("n") > 0, node))
-    nodes = cut(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.first("bits").alias("bits")))
+    sets = sets.withColumn("node", F.when(F.col("n") > 0, node))
+    members = cut(sets.select("doc_id", "m1", "m2", "n", "node"))
+    nodes, nodes_path = tabled(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.first("bits").alias("bits")))
+    dropped(spark, sets_path)
     keyed, path = tabled(_keys(docs, counts, clashes, size, percent))
     shared, groups_path = _sorted_groups(keyed, percent)
     dropped(spark, path)
     release(spark)
-    sharing = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
+    sharing, sharing_path = tabled(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
+    bare = cut(nodes.select("node", "doc_id"))
+    dropped(spark, nodes_path)
     verified = _Verifier(docs, sharing, clashes, size, percent)
     links, tested, names = None, None, None  # names: of nodes that rounds have put in another's component
     rows = shared.select("key", "node", "n", "early")
@@ -706,7 +737,8 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
     left = _tree_pairs(rows, sharing, percent, subtree)
     found = verified(left if tested is None else left.join(tested, ["a", "b"], "left_anti"))
     links = found if links is None else links.unionAll(found)
-    placed = nodes.join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
+    dropped(spark, sharing_path)
+    placed = bare.join(connected_components(links), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
     # a component may hold a third of all nodes, so its rows are dealt over parts, and its name goes to each
     placed = cut(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")))
     ids = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))

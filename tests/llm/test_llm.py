@@ -790,3 +790,14 @@ def test_rows_without_an_id_are_judged_by_their_text(spark):
 
 def test_duckdb_is_there():
     assert duckdb.sql("select 1").fetchall() == [(1,)]
+
+
+@pytest.mark.parametrize("subtree", [4096, 1])
+def test_trees_tell_long_sets_apart(spark, subtree):
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    base = draw(3000)
+    some = [*(draw(3000) for _ in range(6)), base, np.unique(np.concatenate([base[:2900], draw(100)])), draw(100_000), draw(40)]
+    shared = spark.createDataFrame([(5, i, len(s), True, i) for i, s in enumerate(some)], "key long, node long, n int, early boolean, comp long")
+    nodes = spark.createDataFrame([(i, bytearray(jaccard_join.bitmap(s))) for i, s in enumerate(some)], "node long, bits binary")
+    assert {tuple(r) for r in jaccard_join._tree_pairs(shared, nodes, 75, subtree).collect()} == {(6, 7)}
