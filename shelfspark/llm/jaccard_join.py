@@ -399,6 +399,7 @@ class _Verifier(NamedTuple):
         side = lambda df, x, *columns: df.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
         both = pairs.join(side(self.nodes, "b", "n", "bits"), "b").join(side(self.nodes, "a", "n", "bits"), "a")
         fit = cut(both.where(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b"))
+        release(self.docs.sparkSession)
         wanted = self.nodes.join(fit.select("a").unionAll(fit.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi")
         sets = _shingled(self.docs, wanted.select("node", "doc_id"), self.clashes, self.size)
         out = cut(fit.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").where(linked("shingles_a", "shingles_b")).select("a", "b").distinct())
@@ -689,6 +690,7 @@ def _tree_pairs(contested: DataFrame, nodes: DataFrame, percent: int, subtree: i
     early = F.sort_array(F.collect_list(F.when(F.col("early"), F.col("key"))))  # a node has no more keys than shingles
     known = contested.join(contested.groupBy("node").agg(F.slice(early, 1, KEYS).alias("keys")), "node")
     walked = cut(_subtrees(_bitmapped(known, nodes, ["key", "comp", "n", "node"], F.col("keys")), percent, subtree))
+    release(nodes.sparkSession)
     return walked.where("a is not null").select("a", "b").unionAll(_across(walked.where("key is not null").drop("a", "b"), percent)).distinct()
 
 
@@ -732,6 +734,7 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, rounds:
         links, tested = (found, pairs) if links is None else (links.unionAll(found), tested.unionAll(pairs))
         names = connected_components(links)
         rows = _contested(rows, names)
+        release(spark)
         if not turn:
             dropped(spark, groups_path)
     left = _tree_pairs(rows, sharing, percent, subtree)

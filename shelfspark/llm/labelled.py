@@ -89,11 +89,12 @@ def summed(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.n
     return total
 
 
-def summed_rows(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray], rows: int, width: int, block: int = 512) -> np.ndarray:
+def summed_rows(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]], np.ndarray], rows: int, width: int, block: int = 512, finish: Callable[[np.ndarray], np.ndarray] = np.asarray, kind: type = np.int64) -> np.ndarray:
     """As ``summed``, of arrays of whole numbers, of ``rows`` by ``width``, for tables too large to travel whole.
 
     A partition gives its table in blocks of rows, without those that are all zero; blocks are added by number, ``FAN_IN`` at
-    a time, so that a task meets a block of so many tables, and the driver each block once.
+    a time, so that a task meets a block of so many tables, and the driver each block once. There ``finish`` turns a block's
+    rows, each by itself, into numbers of the ``kind`` that is given back, so the driver holds no table of sums.
     """
     some = df.select(column)
     parts = max(1, some.rdd.getNumPartitions())
@@ -120,9 +121,9 @@ def summed_rows(df: DataFrame, column: str, work: Callable[[Iterator[pa.Array]],
     while parts > 1:
         out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part", "block").applyInArrow(add, "part long, block long, data binary")
         parts = -(-parts // FAN_IN)
-    total = np.zeros((rows, width), np.int64)
+    total = np.zeros((rows, width), kind)
     for r in out.select("block", "data").collect():
-        held = unpacked(r.data).reshape(-1, width)
+        held = finish(unpacked(r.data).reshape(-1, width))
         total[r.block * block : r.block * block + len(held)] = held
     return total
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from ..plans.cut import bounded_batches
 from . import labelled
@@ -275,18 +275,18 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS) -> Model:
     """Word vectors from all of ``docs`` (doc_id, text), the network from ``labels`` (doc_id, quality)."""
     bounded_batches(docs.sparkSession)
-    vectors = docs.sparkSession.sparkContext.broadcast(unit(labelled.summed_rows(docs, "text", contexts, ROWS, DIMENSIONS)))  # of fixed size
+    vectors = docs.sparkSession.sparkContext.broadcast(labelled.summed_rows(docs, "text", contexts, ROWS, DIMENSIONS, finish=unit, kind=np.int8))  # of fixed size
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(BinaryType())
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array(sums(texts, vectors.value).tolist(), pa.list_(pa.float64()))
+        return pa.array([x.tobytes() for x in sums(texts, vectors.value)], pa.binary())
 
     rows = labelled.learning_rows(docs, labels, "quality", max_rows).select("doc_id", "y", features("text").alias("x"))
-    got = sorted(((str(r.doc_id), r.y, r.x) for r in rows.collect()))
+    got = sorted(((str(r.doc_id), r.y, r.x) for r in rows.collect()), key=lambda r: r[0])  # one of a doc_id
     y = np.array([r[1] for r in got], dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return Model(vectors, np.zeros(2 * DIMENSIONS), None, float((y.sum() + 1) / (len(y) + 2)) if len(y) else 1.0)
-    found = np.array([r[2] for r in got])
+    found = np.frombuffer(b"".join(r[2] for r in got)).reshape(len(got), -1)
     prior = found[:, :-1].sum(0) / max(found[:, -1].sum(), 1)
     x = pooled(found, prior)
     apart = np.array([zlib.crc32(f"calibrate {r[0]}".encode()) % 5 == 0 for r in got])

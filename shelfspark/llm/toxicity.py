@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ LONGEST = 40
 BEGINNINGS = (4, 5, 6)
 #: Marks counted in a task before it hands over what it has, and words whose marks a worker remembers.
 HELD = 300_000
+#: Learning rows that the fit makes dense at a time.
+DENSE = 1024
 #: Identity terms by group, in the languages of the corpus: fixed values.
 IDENTITY = [
     "women men woman man girls boys female male mujeres hombres mujer hombre frauen männer frau mann femmes hommes femme homme".split(),
@@ -136,29 +139,58 @@ class Model:
         return score
 
 
-def solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, each: np.ndarray | None = None, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> np.ndarray:
+class Sparse(NamedTuple):
+    """A matrix by rows: where each row begins among the columns and values. A block of rows at a time is made dense."""
+
+    starts: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, rows: list[bytes], width: int) -> Sparse:
+        """``rows``: a column and its value in turn, as 32-bit floats."""
+        starts = np.cumsum([0, *(len(r) // 8 for r in rows)])
+        column, value = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, 2).T
+        return cls(starts, column.astype(np.int32), value.copy(), width)
+
+    def block(self, rows: slice) -> np.ndarray:
+        starts = self.starts[rows.start : rows.stop + 1]
+        out = np.zeros((len(starts) - 1, self.width), np.float32)
+        here = slice(starts[0], starts[-1])
+        out[np.repeat(np.arange(len(out)), np.diff(starts)), self.column[here]] = self.value[here]
+        return out
+
+
+def solve(x: Sparse, y: np.ndarray, other: Sparse, each: np.ndarray | None = None, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> np.ndarray:
     """Weights and, last, bias of the penalised logistic fit, by Newton's method; both classes weigh alike, and in them rows as ``each`` says.
 
     The ridge of a word is then divided by its weight and the fit repeated, so words that only go with others that
-    explain the label lose theirs. change: of each row, its counterfactual less itself. The penalty is quadratic in the weights, so its part of
-    the second derivative is constant.
+    explain the label lose theirs. other: the counterfactual of each row. The penalty is quadratic in the weights, so its part of
+    the second derivative is constant. Sums over rows are made ``DENSE`` rows at a time, so no matrix is held whole.
     """
-    a = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1, dtype=np.float32)
-    fixed = np.zeros((a.shape[1], a.shape[1]))
-    each = np.ones(len(x)) if each is None else each
-    fixed[:-1, :-1] = penalty * (change.T @ (change * each[:, None].astype(np.float32)))
+    n, width = len(y), x.width + 1
+    blocks = [slice(at, min(at + DENSE, n)) for at in range(0, n, DENSE)]
+    fixed = np.zeros((width, width))
+    each = np.ones(n) if each is None else each
+    for rows in blocks:
+        change = other.block(rows) - x.block(rows)
+        fixed[:-1, :-1] += penalty * (change.T @ (change * each[rows, None].astype(np.float32)))
     fixed[-1, -1] = 1e-6
-    w = np.zeros(a.shape[1])
+    w = np.zeros(width)
     weight = each * each.sum() * np.where(y == 1, 0.5 / (each * y).sum(), 0.5 / (each * (1 - y)).sum())
     for sweep in range(SWEEPS):
         shrink = ridge if not sweep else ridge / (np.abs(w[:-1]) + 0.1)
         held = fixed.copy()
         held[range(len(w) - 1), range(len(w) - 1)] += shrink
         for _ in range(25):
-            p = sigmoid((a @ w.astype(np.float32)).astype(np.float64))
-            bend = (a * (weight * p * (1 - p) + 1e-9).astype(np.float32)[:, None]).T @ a
-            slope = a.T @ (weight * (p - y)).astype(np.float32)
-            step = np.linalg.solve(bend.astype(np.float64) + held, slope.astype(np.float64) + held @ w)
+            bend, slope = held.copy(), held @ w
+            for rows in blocks:
+                a = np.concatenate([x.block(rows), np.ones((rows.stop - rows.start, 1), np.float32)], axis=1)
+                p = sigmoid((a @ w.astype(np.float32)).astype(np.float64))
+                bend += (a * (weight[rows] * p * (1 - p) + 1e-9).astype(np.float32)[:, None]).T @ a
+                slope += a.T @ (weight[rows] * (p - y[rows])).astype(np.float32)
+            step = np.linalg.solve(bend, slope)
             norm = np.abs(step).max()
             w = w - step * min(1.0, 2.0 / max(norm, 1e-12))  # no step of more than 2, against overshooting
             if norm < 1e-4:
@@ -250,14 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = labelled.MAX_ROWS, m
         return pa.array(out, pa.struct([("own", pa.binary()), ("other", pa.binary())]))
 
     at = {str(r.doc_id): k for k, r in enumerate(known)}
-    x, change = (np.zeros((len(known), len(names)), dtype=np.float32) for _ in range(2))
-    for r in rows.select("doc_id", features("doc_id", "text").alias("x")).collect():
-        k = at[str(r.doc_id)]
-        (here, n), (to, m) = (np.frombuffer(bytes(v), dtype=np.float32).reshape(-1, 2).T for v in (r.x.own, r.x.other))
-        x[k, here.astype(int)] = n
-        change[k, to.astype(int)] = m
-        change[k] -= x[k]
-    w = solve(x, y, change, each, penalty=penalty)
+    got = sorted(rows.select("doc_id", features("doc_id", "text").alias("x")).collect(), key=lambda r: at[str(r.doc_id)])
+    own, other = (Sparse.of([r.x[side] for r in got], len(names)) for side in ("own", "other"))
+    w = solve(own, y, other, each, penalty=penalty)
     return Model({n: float(v) for n, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-9}, float(w[-1]))
 
 

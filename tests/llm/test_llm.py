@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -167,6 +168,43 @@ def test_the_penalty_moves_identity_weights(spark):
     assert abs(moved[0]) < 0.01 and moved[1] > 0.05
 
 
+def peak_mb(work):
+    """What ``work`` gives and the MB that the driver's Python holds for it at most."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_driver_holds_no_table_of_sums(spark):
+    docs = documents(spark, [f"{'good' if i % 2 else 'bad'} words number {i}" for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model, peak = peak_mb(lambda: quality.fit(docs.repartition(3), labels))
+    want = quality.unit(quality.contexts([quality.pa.array([r.text for r in docs.collect()])]))
+    assert model.vectors.value.dtype == np.int8 and (model.vectors.value == want).all()
+    assert peak < 40  # sums in 64 bits are 68 MB
+
+
+def test_the_toxicity_fit_holds_no_whole_matrix(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, width = 16_000, 600
+    rows, others = ([np.stack([np.sort(rng.choice(width, 20, False)), rng.random(20)], 1).astype(np.float32) for _ in range(n)] for _ in range(2))
+    y = np.array([float(r[0, 0] < 15) for r in rows])
+    x, other = (toxicity.Sparse.of([r.tobytes() for r in z], width) for z in (rows, others))
+    assert all(x.block(slice(k, k + 1))[0, int(c)] == v for k in (0, 7, n - 1) for c, v in rows[k])
+    monkeypatch.setattr(toxicity, "SWEEPS", 1)
+    each = rng.random(n) + 0.5
+    w, peak = peak_mb(lambda: toxicity.solve(x, y, other, each))
+    assert peak < 60  # four matrices of 38 MB if whole
+    a = np.concatenate([x.block(slice(0, n)), np.ones((n, 1))], axis=1)
+    change = other.block(slice(0, n)).astype(np.float64) - a[:, :-1]
+    weight = each * each.sum() * np.where(y == 1, 0.5 / (each * y).sum(), 0.5 / (each * (1 - y)).sum())
+    slope = a.T @ (weight * (quality.sigmoid(a @ w) - y))
+    slope[:-1] += toxicity.RIDGE * w[:-1] + toxicity.COUNTERFACTUAL * (change.T @ (each * (change @ w[:-1])))
+    assert np.abs(slope).max() < 0.05
+
+
 def test_vocabulary_as_by_brute_force(spark):
     rng = random.Random(2)
     words = [f"{a}{b}{c}" for a in ("ban", "kor", "mil") for b in ("ter", "dol", "ris") for c in ("", "es", "ing", "os")]
